@@ -68,6 +68,13 @@ def may_hold(words: Column, blocks: int, key: Column) -> Column:
     return out
 
 
+def without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """docs whose column key is not in the one column of keys: only rows that a filter of keys lets through are shuffled."""
+    words, blocks = build_filter(keys, key)
+    hit = may_hold(words.scalar(), blocks, F.col(key))
+    return docs.where(~hit).unionByName(docs.where(hit).join(keys, key, "left_anti").select(*docs.columns))
+
+
 def judge(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """For distinct (host, path) of urls: the longest fitting entry of listed(key, action, rank), rank 0 ahead of 1.
 
