@@ -2,6 +2,368 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import detections as d
+from ..functions import geometry as g
+from ..functions import specs as s
+from ..operators import regions as r
+from . import inputs as i
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "q53_end_to_end_boxes"
+W, H = F.lit(640), F.lit(480)
+c = F.col
+
+BOX = f"box as ({i.BOX})"
+#: The polygon of a box in the other engine.
+POLY = "[{'x': x, 'y': y}, {'x': x + w - 1, 'y': y}, {'x': x + w - 1, 'y': y + h - 1}, {'x': x, 'y': y + h - 1}]"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def key(df: DataFrame, *more) -> DataFrame:
+    return df.select("id", "x", "y", "w", "h", *more)
+
+
+@query(f"with {BOX} select id, x, y, w, h, x as x1, y as y1, x + w as x2, y + h as y2 from box")
+def q01_parse_rect(spark, sf_dir):
+    b = i.boxes(spark, sf_dir)
+    spec = F.format_string(" %d,%d,,%d,%d ", c("x"), c("y"), c("x") + c("w"), c("y") + c("h"))
+    return key(b.withColumn("r", s.parse_rect(spec)), "r.*")
+
+
+@query(f"with {BOX} select id, x, y, w, h, 4::int as points, x as first_x, y + h - 1 as last_y from box")
+def q02_parse_polygon(spark, sf_dir):
+    b = i.boxes(spark, sf_dir).withColumn("p", s.parse_polygon(s.format_polygon(c("polygon"))))
+    return key(b, F.size("p").alias("points"), F.get("p", F.lit(0))["x"].alias("first_x"), F.get("p", F.lit(3))["y"].alias("last_y"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, case when score > 0 and score < 1 and id % 5 < 4 then ['top', 'bottom', 'left', 'right'][id % 5 + 1] end as name, case when score > 0 and score < 1 and id % 5 < 4 then round(score, 1) end as ratio from box")
+def q03_parse_band(spark, sf_dir):
+    b = i.boxes(spark, sf_dir)
+    names = F.array(*map(F.lit, (" Top", "bottom ", "LEFT", "right", "middle")))
+    spec = F.concat(F.get(names, (c("id") % 5).cast("int")), F.lit(":"), F.round("score", 1).cast("string"))
+    return key(b.withColumn("r", s.parse_band(spec)), "r.name", "r.ratio")
+
+
+@query(f"with {BOX} select id, x, y, w, h, concat_ws(',', x, y, x + w, y + h) as spec from box")
+def q04_format_rect(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir), s.format_rect(c("x") + c("w") - 1, c("y"), c("x"), c("y") + c("h") - 1).alias("spec"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, x || ',' || y || ';' || (x + w - 1) || ',' || y || ';' || (x + w - 1) || ',' || (y + h - 1) || ';' || x || ',' || (y + h - 1) as spec from box")
+def q05_format_polygon(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir), s.format_polygon(c("polygon")).alias("spec"))
+
+
+@query(f"""with {BOX}, l as (select *, abs(w) >= abs(h - 40) as flat, round_even((y + y + h - 40) / 2.0::double, 0)::int as py, round_even((x + x + w) / 2.0::double, 0)::int as px from box),
+n as (select *, case when flat then case when py <= 240 then 'top' else 'bottom' end else case when px <= 320 then 'left' else 'right' end end as name from l),
+p as (select *, case name when 'top' then py when 'bottom' then 480 - py when 'left' then px else 640 - px end as pos, case when flat then 480 else 640 end as dim from n)
+select id, x, y, w, h, case when pos > 0 and pos < dim then name end as name, case when pos > 0 and pos < dim then pos end as pos from p""")
+def q06_band_from_line(spark, sf_dir):
+    b = i.boxes(spark, sf_dir).withColumn("r", s.band_from_line(c("x"), c("y"), c("x") + c("w"), c("y") + c("h") - 40, W, H))
+    return key(b, "r.name", "r.pos")
+
+
+@query(f"with {BOX} select id, x, y, w, h, regexp_replace(lpad(((w * 20000 + 640 * 1) // 1280 // 10000)::varchar, 1, '0') || '.' || lpad((((w * 20000 + 640) // 1280) % 10000)::varchar, 4, '0'), '\\.?0+$', '') as ratio from box")
+def q07_format_ratio(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir), s.format_ratio(c("w"), F.lit(640)).alias("ratio"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, x as x1, y as y1, x + w as x2, y + h as y2 from box")
+def q08_bounding_box(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir).withColumn("b", g.bounding_box(c("polygon"))), "b.*")
+
+
+@query(f"with {BOX} select id, x, y, w, h, x >= 0 and y >= 0 and x + w <= 640 and y + h <= 480 as inside from box")
+def q09_fully_inside(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir), g.fully_inside(c("polygon"), W, H).alias("inside"))
+
+
+CENTRE = f"m as (select *, {POLY} as p, (x + x + w - 1) / 2.0::double as cx, (y + y + h - 1) / 2.0::double as cy, (w - 1) / 2.0::double as rx, (h - 1) / 2.0::double as ry from box)"
+LIMIT = "greatest(0, least((639 - cx) / rx, cx / rx, (479 - cy) / ry, cy / ry))"
+
+
+@query(f"with {BOX}, {CENTRE} select id, x, y, w, h, round({LIMIT}, 6) as factor from m")
+def q10_max_uniform_scale(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir), F.round(g.max_uniform_scale(c("polygon"), W, H), 6).alias("factor"))
+
+
+def scaled(f: str) -> str:
+    return f"trunc(cx - rx * {f})::int as x1, trunc(cy - ry * {f})::int as y1, trunc(cx + rx * {f})::int as x2, trunc(cy + ry * {f})::int as y2"
+
+
+def corners(p: str) -> list:
+    return [F.get(p, F.lit(0))["x"].alias("x1"), F.get(p, F.lit(0))["y"].alias("y1"), F.get(p, F.lit(2))["x"].alias("x2"), F.get(p, F.lit(2))["y"].alias("y2")]
+
+
+@query(f"with {BOX}, {CENTRE} select id, x, y, w, h, {scaled('1.5::double')} from m")
+def q11_scale(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir).withColumn("p", g.scale(c("polygon"), F.lit(1.5))), *corners("p"))
+
+
+@query(f"with {BOX}, {CENTRE}, f as (select *, least(1.3::double, {LIMIT}) as e from m), z as (select *, case when e <= 0 then 1.0::double else e end as k from f) select id, x, y, w, h, {scaled('k')} from z")
+def q12_scale_clamped(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir).withColumn("p", g.scale_clamped(c("polygon"), F.lit(1.3), W, H)), *corners("p"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, least(x, 639) as x1, least(y, 479) as y1, least(x + w - 1, 639) as x2, least(y + h - 1, 479) as y2 from box")
+def q13_clip(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir).withColumn("p", g.clip(c("polygon"), W, H)), *corners("p"))
+
+
+@query(f"with f as ({i.FRAME}) select media_id, frame_index, greatest(1, round_even(height * 0.15::double, 0)::int) as top_end, width - greatest(1, round_even(width * 0.08::double, 0)::int) as right_start from f")
+def q14_band_ranges(spark, sf_dir):
+    return i.frames(spark, sf_dir).select("media_id", "frame_index", s.band_size(c("height"), F.lit(0.15)).alias("top_end"), (c("width") - s.band_size(c("width"), F.lit(0.08))).alias("right_start"))
+
+
+BANDS = [("top", 0.15), ("bottom", 0.12), ("left", 0.1)]
+IN_BANDS = "(y + y + h) / 2.0 < 72 or (y + y + h) / 2.0 >= 422 and (y + y + h) / 2.0 < 480 or (x + x + w) / 2.0 < 64"
+
+
+@query(f"with {BOX} select id, x, y, w, h, (y + y + h) / 2.0 < 72 as in_top, (y + y + h) / 2.0 >= 422 and (y + y + h) / 2.0 < 480 as in_bottom from box")
+def q15_region_in_band(spark, sf_dir):
+    b = i.boxes(spark, sf_dir)
+    return key(b, *[s.in_band(c("polygon"), F.lit(n), F.lit(x), W, H).alias(f"in_{n}") for n, x in BANDS[:2]])
+
+
+@query(f"with {BOX} select frame, id, x, y, w, h from box where {IN_BANDS}")
+def q16_filter_by_bands(spark, sf_dir):
+    return r.in_bands(i.boxes(spark, sf_dir), BANDS, W, H).select("frame", "id", "x", "y", "w", "h")
+
+
+SPECS = ["0,90,200,100", "19,993,480,1079", "0,972;1919,972;1919,1079;0,1079", "0,972;1920,972;1920,1080;0,1080"]
+
+
+@query(f"""with f as ({i.FRAME}), s(ord, label, x1, y1, x2, y2) as (values (0, 'region_0', 0, 90, 200, 100), (1, 'region_1', 19, 993, 480, 1079), (2, 'region_2', 0, 972, 1920, 1080), (3, 'region_3', 0, 972, 1921, 1081))
+select media_id, frame_index, ord::int as ord, label, x1::int as x1, y1::int as y1, x2::int as x2, y2::int as y2 from f, s where x2 <= width and y2 <= height""")
+def q17_fixed_regions(spark, sf_dir):
+    out = r.fixed_regions(i.frames(spark, sf_dir), SPECS)
+    return out.withColumn("b", g.bounding_box(c("polygon"))).select("media_id", "frame_index", "ord", "label", "b.*")
+
+
+PATTERNS = [r"[\w.]+@[\w.]+", r"\d{3}-\d{4}", r"\d+\.\d+\.\d+\.\d+"]
+LINES = r"line as (select doc_id, cast(unnest(range(0, len(string_split(text, chr(10))))) as int) as ord, unnest(string_split(text, chr(10))) as text, (n_chars % 100) / 100.0::double as rec_score from documents)"
+
+
+@query(f"with {LINES} select doc_id, ord, text from line where " + " or ".join(f"regexp_matches(text, '{p}')" for p in PATTERNS))
+def q18_text_regex(spark, sf_dir):
+    t = i.lines(spark, sf_dir)
+    return t.where(s.matches_any(c("text"), PATTERNS)).select("doc_id", "ord", "text")
+
+
+@query(f"with {LINES} select doc_id, ord, rec_score from line where rec_score >= 0.5")
+def q19_ocr_confidence(spark, sf_dir):
+    return i.lines(spark, sf_dir).where("rec_score >= 0.5D").select("doc_id", "ord", "rec_score")
+
+
+@query(f"with {LINES} select doc_id, ord, text from line where " + " or ".join(f"regexp_matches(text, '{p}')" for p in PATTERNS))
+def q20_pattern_semi_join(spark, sf_dir):
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    return i.lines(spark, sf_dir).join(F.broadcast(patterns), F.expr("text rlike pattern"), "left_semi").select("doc_id", "ord", "text")
+
+
+STEP = "step as (select vec_id, cast(t as int) as t, embedding[t * 4 + 1 : t * 4 + 4] as cls from embeddings, (select unnest(range(0, 16)) as t)), best as (select *, list_max(cls) as m, list_position(cls, list_max(cls)) - 1 as k from step)"
+
+
+@query(f"with {STEP} select vec_id, t, round(m::double, 6) as score, k::int as cls from best where k <> 0 and m >= 0.1::float")
+def q21_class_filter(spark, sf_dir):
+    t = i.tensors(spark, sf_dir).select("vec_id", F.posexplode("steps").alias("t", "v")).withColumn("b", d.best_class(c("v")))
+    return t.where("b.cls <> 0 and b.score >= float(0.1)").select("vec_id", "t", F.round(c("b.score").cast("double"), 6).alias("score"), "b.cls")
+
+
+@query(f"with {STEP} select vec_id, t, round(m::double, 6) as score, k::int as cls from best")
+def q22_argmax(spark, sf_dir):
+    t = i.tensors(spark, sf_dir).select("vec_id", F.posexplode("steps").alias("t", "v")).withColumn("b", d.best_class(c("v")))
+    return t.select("vec_id", "t", F.round(c("b.score").cast("double"), 6).alias("score"), "b.cls")
+
+
+def nms_sql(where: str, top: str) -> str:
+    a, b = "k", "b"
+    both = f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))::double"
+    return f"""with {BOX}, l as (select frame, list(struct_pack(s := -score, id := id, x := x, y := y, w := w, h := h) order by -score, id, x, y, w, h) as bs from box where {where} group by frame),
+k as (select frame, list_reduce(list_transform(bs{top}, lambda e: [e]), lambda acc, n: case when len(list_filter(acc, lambda k: (with_b(k, n[1])))) > 0 then acc else list_concat(acc, n) end) as kept from l)
+select frame, unnest(kept) as u from k""".replace("with_b(k, n[1])", both.replace("b.", "n[1].") + " / (k.w * k.h + n[1].w * n[1].h - " + both.replace("b.", "n[1].") + ") > 0.3")
+
+
+def kept_sql(where: str, top: str = "") -> str:
+    return f"select frame, u.id as id, u.x as x, u.y as y, u.w as w, u.h as h, -u.s as score from ({nms_sql(where, top)})"
+
+
+@query(kept_sql("id < 50000 and score > 0.3"))
+def q23_nms(spark, sf_dir):
+    return r.suppress(i.boxes(spark, sf_dir).where("id < 50000 and score > 0.3D"), top=None).select("frame", "id", "x", "y", "w", "h", "score")
+
+
+@query(kept_sql("id < 50000", "[1:10]"))
+def q24_nms_topk(spark, sf_dir):
+    return r.suppress(i.boxes(spark, sf_dir).where("id < 50000"), top=10).select("frame", "id", "x", "y", "w", "h", "score")
+
+
+@query(f"with {STEP} select vec_id, t, trunc(greatest(cls[1]::double * 640 - cls[3]::double * 320, 0) * 1.5::double)::int as x, trunc(greatest(cls[2]::double * 640 - cls[4]::double * 320, 0) * 2)::int as y, trunc(cls[3]::double * 640 * 1.5::double)::int as w, trunc(cls[4]::double * 640 * 2)::int as h from step")
+def q25_yolo_decode(spark, sf_dir):
+    t = i.tensors(spark, sf_dir).select("vec_id", F.posexplode("steps").alias("t", "v"))
+    v = [F.get("v", F.lit(n)).cast("double") * 640 for n in range(4)]
+    return t.withColumn("b", d.yolo_box(*v, F.lit(1.5), F.lit(2.0))).select("vec_id", "t", "b.*")
+
+
+@query(f"with {STEP} select vec_id, t, round((t % 4 + 0.5::double) * 8 + cls[1]::double * 8, 6) as cx, round((t // 4 + 0.5::double) * 8 + cls[2]::double * 8, 6) as cy, round(exp(cls[3]::double) * 8, 6) as w, round(exp(cls[4]::double) * 8, 6) as h from step")
+def q26_multiscale_decode(spark, sf_dir):
+    t = i.tensors(spark, sf_dir).select("vec_id", F.posexplode("steps").alias("t", "v"))
+    v = [F.get("v", F.lit(n)).cast("double") for n in range(4)]
+    t = t.withColumn("b", d.level_box(c("t") % 4, F.floor(c("t") / 4), *v, F.lit(8.0)))
+    return t.select("vec_id", "t", *[F.round(c(f"b.{n}"), 6).alias(n) for n in ("cx", "cy", "w", "h")])
+
+
+CTC = f"{STEP}, prev as (select *, lag(k) over (partition by vec_id order by t) as before from best), kept as (select * from prev where k <> 0 and (before is null or before <> k))"
+
+
+@query(f"with {CTC} select e.vec_id, coalesce((select string_agg(k::varchar, '' order by t) from kept where kept.vec_id = e.vec_id), '') as text from embeddings e")
+def q27_ctc_text(spark, sf_dir):
+    return i.tensors(spark, sf_dir).select("vec_id", F.array_join(d.ctc(c("steps"))["tokens"].cast("array<string>"), "").alias("text"))
+
+
+@query(f"with {CTC} select e.vec_id, round(coalesce((select avg(m::double) from kept where kept.vec_id = e.vec_id), 0), 6) as score from embeddings e")
+def q28_ctc_score(spark, sf_dir):
+    return i.tensors(spark, sf_dir).select("vec_id", F.round(d.ctc(c("steps"))["score"], 6).alias("score"))
+
+
+@query(f"with f as ({i.FRAME}) select media_id, frame_index, round_even(width * least(1, least(640 / width::double, 640 / height::double)), 0)::int as w, round_even(height * least(1, least(640 / width::double, 640 / height::double)), 0)::int as h from f")
+def q29_letterbox(spark, sf_dir):
+    return i.frames(spark, sf_dir).withColumn("b", d.letterbox(c("width"), c("height"), 640, 640)).select("media_id", "frame_index", "b.w", "b.h")
+
+
+@query(f"with f as (select *, case when least(width, height) < 736 then 736 / least(width, height)::double else 1.0::double end as r from ({i.FRAME})) select media_id, frame_index, greatest(32, round_even(trunc(width * r) / 32, 0)::int * 32) as w, greatest(32, round_even(trunc(height * r) / 32, 0)::int * 32) as h from f")
+def q30_det_size(spark, sf_dir):
+    return i.frames(spark, sf_dir).withColumn("b", d.det_size(c("width"), c("height"))).select("media_id", "frame_index", "b.w", "b.h")
+
+
+@query(f"with {BOX}, r as (select *, greatest(320 / 48::double, max(w / h::double) over (partition by frame)) as m from box) select id, x, y, w, h, least(floor(48 * m)::int, ceil(48 * w / h::double)::int) as width from r")
+def q31_rec_width(spark, sf_dir):
+    b = i.boxes(spark, sf_dir).withColumn("m", F.expr("greatest(320 / 48D, max(w / double(h)) over (partition by frame))"))
+    return key(b, d.rec_width(c("w"), c("h"), c("m")).alias("width"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, greatest(0, x - 2) as x1, greatest(0, y - 2) as y1, least(640, x + w + 2) as x2, least(480, y + h + 2) as y2 from box")
+def q32_crop_box(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir).withColumn("b", d.padded_box(g.bounding_box(c("polygon")), W, H)), "b.*")
+
+
+@query(f"with {BOX} select id, x, y, w, h, w - 1 as crop_w, h - 1 as crop_h from box")
+def q33_warp_size(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir).withColumn("b", d.warp_size(c("polygon"))), c("b.w").alias("crop_w"), c("b.h").alias("crop_h"))
+
+
+PATHS = "p as (select page_id, '/in/cam' || (page_id % 7) || '/' || page_id || case page_id % 5 when 0 then '.JPG' when 1 then '.png' when 2 then '.mp4' when 3 then '.ts' else '.txt' end as path from pages)"
+
+
+def paths(spark, sf_dir):
+    return i.view(spark, sf_dir, PATHS[6:-1], "pages")
+
+
+@query(f"with {PATHS} select page_id, path, case when page_id % 5 < 2 then 'image' when page_id % 5 < 4 then 'video' end as kind from p")
+def q39_media_kind(spark, sf_dir):
+    return paths(spark, sf_dir).select("page_id", "path", s.media_kind(c("path")).alias("kind"))
+
+
+@query(f"with {PATHS} select path from p where page_id % 5 < 2 and path not like '/in/cam3/%'")
+def q40_collect_files(spark, sf_dir):
+    p = paths(spark, sf_dir)
+    return p.where((s.media_kind(c("path")) == "image") & ~c("path").startswith("/in/cam3/")).select("path").distinct()
+
+
+@query(f"with {PATHS} select path, '/out' || substr(path, 4) as output from p")
+def q41_output_path(spark, sf_dir):
+    return paths(spark, sf_dir).select("path", s.output_path(c("path"), "/in", "/out").alias("output"))
+
+
+@query(f"with {PATHS} select page_id % 7 as cam, '/in/cam' || (page_id % 7) as root from p group by 1, 2")
+def q42_common_root(spark, sf_dir):
+    return r.common_root(paths(spark, sf_dir).withColumn("cam", c("page_id") % 7), "cam", "path")
+
+
+@query(r"""select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) in ('rtsp', 'rtmp', 'http', 'https') as is_stream,
+ regexp_replace(replace(url, '://', '://user:secret@'), '^(\w+://[^:/@]+):[^@/]+@', '\1:***@') as safe from pages""")
+def q43_url_helpers(spark, sf_dir):
+    p = i.read(spark, sf_dir, "pages")
+    return p.select("page_id", s.scheme(c("url")).alias("scheme"), s.is_stream(c("url")).alias("is_stream"), s.without_password(F.replace(c("url"), F.lit("://"), F.lit("://user:secret@"))).alias("safe"))
+
+
+STAGED = f"{BOX}, staged as (select frame, 0 as stage, id, x, y, w, h, score from box where id % 3 = 0 union all select frame, 1, id, x, y, w, h, 1.0 from box where id % 3 = 1 union all select frame, 2, id, x, y, w, h, score from box where id % 3 = 2)"
+
+
+def staged(spark, sf_dir):
+    b = i.boxes(spark, sf_dir).select("frame", "id", "x", "y", "w", "h", "score")
+    return r.union_stages({n: b.where(c("id") % 3 == n).withColumn("score", F.lit(1.0) if n == 1 else c("score")) for n in range(3)})
+
+
+@query(f"with {STAGED} select frame, stage::int as stage, id, x, y, w, h, score from staged")
+def q44_composite_union(spark, sf_dir):
+    return staged(spark, sf_dir).select("frame", "stage", "id", "x", "y", "w", "h", "score")
+
+
+@query(f"with {STAGED} select frame, string_agg(stage || ':' || id, ',' order by stage, id, x, y, w, h) as regions from staged group by frame")
+def q45_ordered_regions(spark, sf_dir):
+    out = r.ordered(staged(spark, sf_dir), ["frame"], ["stage", "id", "x", "y", "w", "h"])
+    return out.select("frame", F.array_join(F.transform("regions", lambda x: F.concat_ws(":", x["stage"], x["id"])), ",").alias("regions"))
+
+
+@query(f"with {STAGED} select stage::int as stage, count(*) as n, count(distinct frame) as frames from staged group by stage")
+def q46_region_counts(spark, sf_dir):
+    return staged(spark, sf_dir).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("frame").alias("frames"))
+
+
+@query(f"with f as ({i.CAMERA}) select media_id, count(*) as frames, string_agg(event_id::varchar, ',' order by frame_index) as sequence from f group by media_id")
+def q47_ordered_frames(spark, sf_dir):
+    out = r.ordered(i.cameras(spark, sf_dir), ["media_id"], ["frame_index", "event_id"])
+    return out.select("media_id", F.size("regions").cast("bigint").alias("frames"), F.array_join(F.transform("regions", lambda x: x["event_id"].cast("string")), ",").alias("sequence"))
+
+
+@query(f"with f as ({i.CAMERA}) select media_id, event_id, frame_index from f where frame_index = trunc(greatest(0, 0.2::double) * 25)::bigint or frame_index = greatest(0, -3)")
+def q48_frame_lookup(spark, sf_dir):
+    return r.frame_at(i.cameras(spark, sf_dir), seconds=0.2, fps=25.0).unionByName(r.frame_at(i.cameras(spark, sf_dir), index=-3)).select("media_id", "event_id", "frame_index")
+
+
+@query(f"with {BOX} select id, x, y, w, h, x as x1, y as y1, x + w - 1 as x2, y + h - 1 as y2 from box")
+def q49_quad_order(spark, sf_dir):
+    shuffled = g.ordered_quad(F.array(*[F.get("polygon", F.lit(n)) for n in (2, 0, 3, 1)]))
+    return key(i.boxes(spark, sf_dir).withColumn("p", shuffled), *corners("p"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, ((w - 1) * (h - 1))::double as area, (2 * (w - 1) + 2 * (h - 1))::double as perimeter from box")
+def q50_area_perimeter(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir), g.area(c("polygon")).alias("area"), g.perimeter(c("polygon")).alias("perimeter"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, round(((w - 1) * (h - 1))::double * 1.6::double / (2 * (w - 1) + 2 * (h - 1))::double, 6) as distance from box")
+def q51_unclip_distance(spark, sf_dir):
+    return key(i.boxes(spark, sf_dir), F.round(g.unclip_distance(c("polygon")), 6).alias("distance"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, id % 2 = 0 as convex from box")
+def q52_convexity(spark, sf_dir):
+    dent = F.array(*[F.get("polygon", F.lit(n)) for n in (0, 1)], g.point(c("x") + 1, c("y") + 1), F.get("polygon", F.lit(3)))
+    cross = F.array(*[F.get("polygon", F.lit(n)) for n in (0, 2, 1, 3)])
+    return key(i.boxes(spark, sf_dir), F.when(c("id") % 4 == 1, g.is_convex(dent)).when(c("id") % 2 == 1, g.is_convex(cross)).otherwise(g.is_convex(c("polygon"))).alias("convex"))
+
+
+@query(f"""with kept as ({kept_sql(f"id < 50000 and score > 0.3 and ({IN_BANDS})")}), box as (select * from kept), {CENTRE},
+f as (select *, least(1.3::double, {LIMIT}) as e from m), z as (select *, case when e <= 0 then 1.0::double else e end as k from f), o as (select *, {scaled("k")} from z)
+select frame, count(*) as n, string_agg(concat_ws(',', id, x1, y1, x2, y2), ';' order by id, x1, y1, x2, y2) as regions from o where x1 >= 0 and y1 >= 0 and x2 < 640 and y2 < 480 group by frame""")
+def q53_end_to_end_boxes(spark, sf_dir):
+    b = i.boxes(spark, sf_dir).where("id < 50000 and score > 0.3D")
+    kept = r.suppress(r.in_bands(b, BANDS, W, H), top=None)
+    kept = kept.withColumn("p", g.scale_clamped(g.from_bbox(c("x"), c("y"), c("x") + c("w"), c("y") + c("h")), F.lit(1.3), W, H)).where(g.fully_inside(c("p"), W, H))
+    out = r.ordered(kept.select("frame", "id", *corners("p")), ["frame"], ["id", "x1", "y1", "x2", "y2"])
+    return out.select("frame", F.size("regions").cast("bigint").alias("n"), F.array_join(F.transform("regions", lambda x: F.concat_ws(",", x["id"], x["x1"], x["y1"], x["x2"], x["y2"])), ";").alias("regions"))
