@@ -70,10 +70,10 @@ def q05_format_polygon(spark, sf_dir):
 @query(f"""with {BOX}, l as (select *, abs(w) >= abs(h - 40) as flat, round_even((y + y + h - 40) / 2.0::double, 0)::int as py, round_even((x + x + w) / 2.0::double, 0)::int as px from box),
 n as (select *, case when flat then case when py <= 240 then 'top' else 'bottom' end else case when px <= 320 then 'left' else 'right' end end as name from l),
 p as (select *, case name when 'top' then py when 'bottom' then 480 - py when 'left' then px else 640 - px end as pos, case when flat then 480 else 640 end as dim from n)
-select id, x, y, w, h, case when pos > 0 and pos < dim then name end as name, case when pos > 0 and pos < dim then pos end as pos from p""")
+select id, x, y, w, h, case when pos > 0 and pos < dim then name end as name, case when pos > 0 and pos < dim then pos::double end as pos from p""")
 def q06_band_from_line(spark, sf_dir):
     b = i.boxes(spark, sf_dir).withColumn("r", s.band_from_line(c("x"), c("y"), c("x") + c("w"), c("y") + c("h") - 40, W, H))
-    return key(b, "r.name", "r.pos")
+    return key(b, "r.name", c("r.pos").cast("double").alias("pos"))
 
 
 @query(f"with {BOX} select id, x, y, w, h, regexp_replace(lpad(((w * 20000 + 640 * 1) // 1280 // 10000)::varchar, 1, '0') || '.' || lpad((((w * 20000 + 640) // 1280) % 10000)::varchar, 4, '0'), '\\.?0+$', '') as ratio from box")
@@ -367,3 +367,62 @@ def q53_end_to_end_boxes(spark, sf_dir):
     kept = kept.withColumn("p", g.scale_clamped(g.from_bbox(c("x"), c("y"), c("x") + c("w"), c("y") + c("h")), F.lit(1.3), W, H)).where(g.fully_inside(c("p"), W, H))
     out = r.ordered(kept.select("frame", "id", *corners("p")), ["frame"], ["id", "x1", "y1", "x2", "y2"])
     return out.select("frame", F.size("regions").cast("bigint").alias("n"), F.array_join(F.transform("regions", lambda x: F.concat_ws(",", x["id"], x["x1"], x["y1"], x["x2"], x["y2"])), ";").alias("regions"))
+
+
+def rendered(spark, sf_dir):
+    """Small frames with pixel (3 x + 5 y + 7 channel + frame_index) mod 256, painted in one rectangle."""
+    import numpy as np
+
+    from ..operators import raster
+
+    def draw(batches):
+        for b in batches:
+            images = []
+            for n in b["frame_index"]:
+                ys, xs, ch = np.mgrid[0:24, 0:32, 0:3]
+                images.append(raster.image_of(((xs * 3 + ys * 5 + ch * 7 + n) % 256).astype(np.uint8)))
+            yield b[["media_id", "frame_index"]].assign(image=images)
+
+    return i.frames(spark, sf_dir).where("width = 320").select("media_id", "frame_index").mapInPandas(draw, f"media_id int, frame_index bigint, image {raster.IMAGE}")
+
+
+def painted(spark, sf_dir, mode, shape, corners):
+    from ..operators import raster
+
+    f = rendered(spark, sf_dir)
+    polygon = F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in corners])
+    regions = i.frames(spark, sf_dir).where("width = 320").select("media_id", "frame_index", F.lit(1).alias("stage"), F.lit(0).alias("ord"), polygon.alias("polygon"), F.lit(1.0).alias("factor"))
+    out = raster.mask_frames(f, regions, ["media_id", "frame_index"], mode, shape, 4)
+
+    def add(batches):
+        for b in batches:
+            yield b[["media_id", "frame_index"]].assign(total=[int(sum(x["data"])) for x in b["image"]])
+
+    return out.mapInPandas(add, "media_id int, frame_index bigint, total bigint")
+
+
+@query(f"""with f as ({i.FRAME}), g as (select media_id, frame_index from f where width = 320),
+p as (select x, y, ch from (select unnest(range(0, 32)) as x), (select unnest(range(0, 24)) as y), (select unnest(range(0, 3)) as ch) where not (x between 4 and 19 and y between 6 and 15))
+select media_id, frame_index, sum((x * 3 + y * 5 + ch * 7 + frame_index) % 256)::bigint as total from g, p group by media_id, frame_index""")
+def q34_solid(spark, sf_dir):
+    return painted(spark, sf_dir, "solid", "polygon", [(4, 6), (19, 6), (19, 15), (4, 15)])
+
+
+@query()
+def q35_polygon(spark, sf_dir):
+    return painted(spark, sf_dir, "solid", "polygon", [(4, 6), (19, 10), (10, 20)])
+
+
+@query()
+def q36_ellipse(spark, sf_dir):
+    return painted(spark, sf_dir, "solid", "ellipse", [(4, 6), (19, 6), (19, 15), (4, 15)])
+
+
+@query()
+def q37_mosaic(spark, sf_dir):
+    return painted(spark, sf_dir, "mosaic", "polygon", [(4, 6), (19, 6), (19, 15), (4, 15)])
+
+
+@query()
+def q38_blur(spark, sf_dir):
+    return painted(spark, sf_dir, "blur", "polygon", [(4, 6), (19, 6), (19, 15), (4, 15)])
