@@ -35,15 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and survives lost executors.
 
     As a file source it also carries its true size, so that Spark's own threshold
-    decides between a broadcast and a shuffled join.
+    decides between a broadcast and a shuffled join.  free: shuffle files that
+    nothing needs any more are given back now, not when the driver next happens
+    to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -132,41 +132,53 @@ def can_link(a: str, b: str, percent: int) -> str:
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link."""
-    pairs = cut(pairs, "join-pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(classes.select("u", "id"), "u"), "join-wanted")
-    words, blocks = build_filter(wanted.select("id").distinct(), "id")
-    # a bounded filter keeps most other texts out of the shuffle; the join itself is exact
-    some = docs.where(F.col("doc_id").isNull() | may_hold(words.scalar(), blocks, F.col("doc_id")))
-    joined = some.join(wanted, some["doc_id"].eqNullSafe(wanted["id"])).select("u", "text")
+    """The pairs (a, b) of classes whose whole sets link.
+
+    Sets travel as 32-bit halves of their hashes at first.  Pairs that these
+    leave nearer to the limit than chance collisions could matter are decided
+    by whole hashes.
+    """
+    key = classes.select("u", "k")
+    pairs = pairs.join(key.select(F.col("u").alias("a"), F.col("k").alias("ka")), "a").join(key.select(F.col("u").alias("b"), F.col("k").alias("kb")), "b")
+    pairs = cut(pairs, "join-pairs", free=True)
+    tried = cut(compare(pairs, docs, percent, np.uint32), "join-tried", free=True)
+    unsure = cut(tried.where("linked is null").select("a", "b", "ka", "kb"), "join-unsure")
+    exact = compare(unsure, docs, percent, np.uint64)
+    return tried.where("linked").select("a", "b").unionByName(exact.where("linked").select("a", "b"))
+
+
+def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> DataFrame:
+    """pairs (a, b, ka, kb) with linked: whether the sets of the documents ka and kb, hashes cut to kind, link; null if collisions might decide that."""
+    wanted = cut(pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct(), "join-wanted")
+    words, blocks = build_filter(wanted, "k")
+    # a bounded filter keeps most other texts out of it; the joins are exact
+    some = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").where(may_hold(words.scalar(), blocks, F.col("k")))
 
     def sets(batches):
         hashes = WordHashes()
         for b in batches:
-            us, out = [], []
-            for u, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, hashes)
-                # other rows may share the id
-                if len(s) and int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))) == u:
-                    us.append(u), out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(out, pa.binary())], names=["u", "s"])
+            out = [np.unique(shingles(t, hashes).astype(kind)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "s"])
 
-    whole = cut(joined.mapInArrow(sets, "u bigint, s binary"), "join-sets").dropDuplicates(["u"])
-    both = pairs.join(whole.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    whole = cut(some.mapInArrow(sets, "k bigint, s binary"), "join-sets").dropDuplicates(["k"])
+    both = pairs.join(whole.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(whole.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb").select("a", "b", "ka", "kb", "sa", "sb")
 
     def check(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            linked = []
+            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                over = 100 * common - percent * (len(x) + len(y) - common)
+                # a collision moves over by 200 at most; far fewer than these are to be expected
+                near = 200 * (1 + len(y) ** 2 // 2**28) if kind is np.uint32 else 0
+                linked.append(None if abs(over) < near else over >= 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], names=["a", "b", "ka", "kb", "linked"])
 
-    return both.mapInArrow(check, "a bigint, b bigint")
+    return both.mapInArrow(check, "a bigint, b bigint, ka bigint, kb bigint, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,11 +226,13 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     """Signatures of all documents (with class u), and (u, root) of each class that is linked to another."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = cut(signatures(docs, percent), "join-signatures")
-    classes = cut(signed.where("u is not null").groupBy("u").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g")), "join-classes")
-    groups = classes.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("u").alias("u"))).alias("first"), F.count(F.lit(1)).alias("classes")).select("g", "first.id", "first.u", "classes")
-    groups = cut(groups, "join-groups")
-    carriers = signed.join(groups.select("u", F.col("id").alias("of")), "u").where(F.col("doc_id").eqNullSafe(F.col("of")))
+    signed = cut(signatures(docs, percent), "join-signatures", free=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k")))
+    classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), F.first("n").alias("n"), F.first("g").alias("g")).select("u", "n", "g", "f.id", "f.k"), "join-classes")
+    groups = cut(classes.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"))).alias("first"), F.count(F.lit(1)).alias("classes")).select("g", "first.id", "first.k", "first.u", "classes"), "join-groups")
+    # a group's prefix is taken from one document; only the others are shuffled away
+    others = cut(signed.where("u is not null").select("k").distinct().join(groups.select("k"), "k", "left_anti"), "join-others")
+    carriers = without(signed.where("u is not null"), "k", others)
 
     light = carriers.select("g", "n", F.posexplode("light").alias("pos", "token")).select("token", "g", "n", "pos")
     pairs = light.alias("x").join(light.alias("y"), F.expr(f"x.token = y.token and x.g < y.g and {can_link('x', 'y', percent)}")).selectExpr("x.g as ga", "y.g as gb").distinct()
@@ -229,7 +243,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     stars = blocks.join(pivot, "token").where("g != pg").select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
 
     member = classes.select("g", "u")
-    tried = pairs.unionByName(stars).distinct().join(member.select(F.col("g").alias("ga"), F.col("u").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("u").alias("b")), "gb").select("a", "b")
+    tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried", free=True).join(member.select(F.col("g").alias("ga"), F.col("u").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("u").alias("b")), "gb").select("a", "b")
     within = member.join(groups.where("classes > 1").select("g", F.col("u").alias("a")), "g").where("u != a").select("a", F.col("u").alias("b"))
     good = cut(verify(tried.unionByName(within), classes, docs, percent), "join-links")
     found = cut(components(good), "join-components")

@@ -56,7 +56,8 @@ def build_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     every = keys.sparkSession.range(blocks * WORDS).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("bit"))
     words = bits.unionByName(every).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     # at most MAX_BLOCKS * 8 rows, whatever the list's length
-    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("words")), blocks
+    one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("words"))
+    return cut(one, "bloom"), blocks
 
 
 def may_hold(words: Column, blocks: int, key: Column) -> Column:
