@@ -18,10 +18,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 SPACE_SQL = r"[\x20\x09-\x0D]+"
-ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def ascii_words(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, A-Z lower-cased: on bytes, lower() and split() know ASCII alone."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, MIX, WORD, cut, mix64, small_batches, table
+from .common import MIX, ascii_words, cut, mix64, small_batches, table
 from .url_filter import build_filter, may_hold, without
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,16 +51,16 @@ CACHE = 400_000
 
 
 class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
 def shingles(text: str | None, hashes: WordHashes, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = WORD.findall(text.translate(ASCII_LOWER)) if text else []
+    words = ascii_words(text)
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
