@@ -60,6 +60,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def revive(kind: type, state: dict):
+    """An object from its broadcast attributes: a broadcast class would have to be installed on the executors."""
+    out = object.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     x = x ^ (x >> np.uint64(30))
@@ -78,12 +85,12 @@ class HashIndex:
 
     def __init__(self, keys: np.ndarray):
         mixed = mix64(keys.astype(np.uint64))
-        self.order = np.argsort(mixed, kind="stable")
-        self.mixed = mixed[self.order]
+        order = np.argsort(mixed, kind="stable")
+        self.mixed, self.order = mixed[order], order.astype(np.int32)
         bits = max(1, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.start = np.searchsorted(self.mixed, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
-        self.start = np.append(self.start, len(keys))
+        self.start = np.searchsorted(self.mixed, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(keys)))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's position in the array given at first, or -1."""

@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, table
+from .common import mix64, revive, small_batches, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -180,10 +180,10 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and the spans (first word, words, language) of each document."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^16 floats
+    shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)  # languages x 2^16 floats
 
     def run(batches):
-        m, cache, matrix = shared.value, Numbered(), None
+        m, cache, matrix = revive(Model, shared.value), Numbered(), None
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             preds, scores, found = [], [], []

@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, revive, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -105,10 +105,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     probes = min(lists, max(PROBE_LEAST, int(PROBE_SHARE * lists)))
     take = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < min(1_000_000, SAMPLE * 1_000_000 // n + 1)).limit(2 * SAMPLE)
     sample = np.array([r["v"] for r in take.select("v").collect()] or [r["v"] for r in v.select("v").limit(CODES).collect()])
-    shared = spark.sparkContext.broadcast(Index(unit(sample), lists))  # under 2 MB: MAX_LISTS + CODES vectors
+    shared = spark.sparkContext.broadcast(Index(unit(sample), lists).__dict__)  # under 2 MB: MAX_LISTS + CODES vectors
 
     def assign(batches):
-        index = shared.value
+        index = revive(Index, shared.value)
         for b in batches:
             if len(b):
                 x = unit(np.array(b.column(1).to_pylist()))
@@ -117,7 +117,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array(codes, pa.binary())], names=["vec_id", "v", "list", "code"])
 
     def probe(batches):
-        index = shared.value
+        index = revive(Index, shared.value)
         for b in batches:
             if len(b):
                 at = index.near(unit(np.array(b.column(1).to_pylist())), probes)
@@ -144,8 +144,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         x = x[first]
         codes = np.frombuffer(b"".join(left["code"].to_numpy()), np.uint8).reshape(len(left), -1)[first]
         q, qids = np.vstack(right["q"].to_numpy()), right["query_id"].to_numpy()
-        near = unit(q)
-        scores = (near @ shared.value.coarse[key[0]])[:, None] + sum(t[:, codes[:, m]] for m, t in enumerate(shared.value.tables(near)))
+        near, index = unit(q), revive(Index, shared.value)
+        scores = (near @ index.coarse[key[0]])[:, None] + sum(t[:, codes[:, m]] for m, t in enumerate(index.tables(near)))
         norms, qnorms = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
         out_q, out_v, out_s = [], [], []
         for i in range(len(q)):
