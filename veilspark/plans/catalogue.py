@@ -14,7 +14,6 @@ from . import inputs as i
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "q53_end_to_end_boxes"
-W, H = F.lit(640), F.lit(480)
 c = F.col
 
 BOX = f"box as ({i.BOX})"
@@ -72,7 +71,7 @@ n as (select *, case when flat then case when py <= 240 then 'top' else 'bottom'
 p as (select *, case name when 'top' then py when 'bottom' then 480 - py when 'left' then px else 640 - px end as pos, case when flat then 480 else 640 end as dim from n)
 select id, x, y, w, h, case when pos > 0 and pos < dim then name end as name, case when pos > 0 and pos < dim then pos::double end as pos from p""")
 def q06_band_from_line(spark, sf_dir):
-    b = i.boxes(spark, sf_dir).withColumn("r", s.band_from_line(c("x"), c("y"), c("x") + c("w"), c("y") + c("h") - 40, W, H))
+    b = i.boxes(spark, sf_dir).withColumn("r", s.band_from_line(c("x"), c("y"), c("x") + c("w"), c("y") + c("h") - 40, F.lit(640), F.lit(480)))
     return key(b, "r.name", c("r.pos").cast("double").alias("pos"))
 
 
@@ -88,7 +87,7 @@ def q08_bounding_box(spark, sf_dir):
 
 @query(f"with {BOX} select id, x, y, w, h, x >= 0 and y >= 0 and x + w <= 640 and y + h <= 480 as inside from box")
 def q09_fully_inside(spark, sf_dir):
-    return key(i.boxes(spark, sf_dir), g.fully_inside(c("polygon"), W, H).alias("inside"))
+    return key(i.boxes(spark, sf_dir), g.fully_inside(c("polygon"), F.lit(640), F.lit(480)).alias("inside"))
 
 
 CENTRE = f"m as (select *, {POLY} as p, (x + x + w - 1) / 2.0::double as cx, (y + y + h - 1) / 2.0::double as cy, (w - 1) / 2.0::double as rx, (h - 1) / 2.0::double as ry from box)"
@@ -97,7 +96,7 @@ LIMIT = "greatest(0, least((639 - cx) / rx, cx / rx, (479 - cy) / ry, cy / ry))"
 
 @query(f"with {BOX}, {CENTRE} select id, x, y, w, h, round({LIMIT}, 6) as factor from m")
 def q10_max_uniform_scale(spark, sf_dir):
-    return key(i.boxes(spark, sf_dir), F.round(g.max_uniform_scale(c("polygon"), W, H), 6).alias("factor"))
+    return key(i.boxes(spark, sf_dir), F.round(g.max_uniform_scale(c("polygon"), F.lit(640), F.lit(480)), 6).alias("factor"))
 
 
 def scaled(f: str) -> str:
@@ -115,12 +114,12 @@ def q11_scale(spark, sf_dir):
 
 @query(f"with {BOX}, {CENTRE}, f as (select *, least(1.3::double, {LIMIT}) as e from m), z as (select *, case when e <= 0 then 1.0::double else e end as k from f) select id, x, y, w, h, {scaled('k')} from z")
 def q12_scale_clamped(spark, sf_dir):
-    return key(i.boxes(spark, sf_dir).withColumn("p", g.scale_clamped(c("polygon"), F.lit(1.3), W, H)), *corners("p"))
+    return key(i.boxes(spark, sf_dir).withColumn("p", g.scale_clamped(c("polygon"), F.lit(1.3), F.lit(640), F.lit(480))), *corners("p"))
 
 
 @query(f"with {BOX} select id, x, y, w, h, least(x, 639) as x1, least(y, 479) as y1, least(x + w - 1, 639) as x2, least(y + h - 1, 479) as y2 from box")
 def q13_clip(spark, sf_dir):
-    return key(i.boxes(spark, sf_dir).withColumn("p", g.clip(c("polygon"), W, H)), *corners("p"))
+    return key(i.boxes(spark, sf_dir).withColumn("p", g.clip(c("polygon"), F.lit(640), F.lit(480))), *corners("p"))
 
 
 @query(f"with f as ({i.FRAME}) select media_id, frame_index, greatest(1, round_even(height * 0.15::double, 0)::int) as top_end, width - greatest(1, round_even(width * 0.08::double, 0)::int) as right_start from f")
@@ -135,12 +134,12 @@ IN_BANDS = "(y + y + h) / 2.0 < 72 or (y + y + h) / 2.0 >= 422 and (y + y + h) /
 @query(f"with {BOX} select id, x, y, w, h, (y + y + h) / 2.0 < 72 as in_top, (y + y + h) / 2.0 >= 422 and (y + y + h) / 2.0 < 480 as in_bottom from box")
 def q15_region_in_band(spark, sf_dir):
     b = i.boxes(spark, sf_dir)
-    return key(b, *[s.in_band(c("polygon"), F.lit(n), F.lit(x), W, H).alias(f"in_{n}") for n, x in BANDS[:2]])
+    return key(b, *[s.in_band(c("polygon"), F.lit(n), F.lit(x), F.lit(640), F.lit(480)).alias(f"in_{n}") for n, x in BANDS[:2]])
 
 
 @query(f"with {BOX} select frame, id, x, y, w, h from box where {IN_BANDS}")
 def q16_filter_by_bands(spark, sf_dir):
-    return r.in_bands(i.boxes(spark, sf_dir), BANDS, W, H).select("frame", "id", "x", "y", "w", "h")
+    return r.in_bands(i.boxes(spark, sf_dir), BANDS, F.lit(640), F.lit(480)).select("frame", "id", "x", "y", "w", "h")
 
 
 SPECS = ["0,90,200,100", "19,993,480,1079", "0,972;1919,972;1919,1079;0,1079", "0,972;1920,972;1920,1080;0,1080"]
@@ -257,7 +256,7 @@ def q31_rec_width(spark, sf_dir):
 
 @query(f"with {BOX} select id, x, y, w, h, greatest(0, x - 2) as x1, greatest(0, y - 2) as y1, least(640, x + w + 2) as x2, least(480, y + h + 2) as y2 from box")
 def q32_crop_box(spark, sf_dir):
-    return key(i.boxes(spark, sf_dir).withColumn("b", d.padded_box(g.bounding_box(c("polygon")), W, H)), "b.*")
+    return key(i.boxes(spark, sf_dir).withColumn("b", d.padded_box(g.bounding_box(c("polygon")), F.lit(640), F.lit(480))), "b.*")
 
 
 @query(f"with {BOX} select id, x, y, w, h, w - 1 as crop_w, h - 1 as crop_h from box")
@@ -363,8 +362,8 @@ f as (select *, least(1.3::double, {LIMIT}) as e from m), z as (select *, case w
 select frame, count(*) as n, string_agg(concat_ws(',', id, x1, y1, x2, y2), ';' order by id, x1, y1, x2, y2) as regions from o where x1 >= 0 and y1 >= 0 and x2 < 640 and y2 < 480 group by frame""")
 def q53_end_to_end_boxes(spark, sf_dir):
     b = i.boxes(spark, sf_dir).where("id < 50000 and score > 0.3D")
-    kept = r.suppress(r.in_bands(b, BANDS, W, H), top=None)
-    kept = kept.withColumn("p", g.scale_clamped(g.from_bbox(c("x"), c("y"), c("x") + c("w"), c("y") + c("h")), F.lit(1.3), W, H)).where(g.fully_inside(c("p"), W, H))
+    kept = r.suppress(r.in_bands(b, BANDS, F.lit(640), F.lit(480)), top=None)
+    kept = kept.withColumn("p", g.scale_clamped(g.from_bbox(c("x"), c("y"), c("x") + c("w"), c("y") + c("h")), F.lit(1.3), F.lit(640), F.lit(480))).where(g.fully_inside(c("p"), F.lit(640), F.lit(480)))
     out = r.ordered(kept.select("frame", "id", *corners("p")), ["frame"], ["id", "x1", "y1", "x2", "y2"])
     return out.select("frame", F.size("regions").cast("bigint").alias("n"), F.array_join(F.transform("regions", lambda x: F.concat_ws(",", x["id"], x["x1"], x["y1"], x["x2"], x["y2"])), ";").alias("regions"))
 
