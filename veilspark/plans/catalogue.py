@@ -200,14 +200,14 @@ def kept_sql(where: str, top: str = "") -> str:
     return f"select frame, u.id as id, u.x as x, u.y as y, u.w as w, u.h as h, -u.s as score from ({nms_sql(where, top)})"
 
 
-@query(kept_sql("id < 50000 and score > 0.3"))
+@query(kept_sql("score > 0.3"))
 def q23_nms(spark, sf_dir):
-    return r.suppress(i.boxes(spark, sf_dir).where("id < 50000 and score > 0.3D"), top=None).select("frame", "id", "x", "y", "w", "h", "score")
+    return r.suppress(i.boxes(spark, sf_dir).where("score > 0.3D"), top=None).select("frame", "id", "x", "y", "w", "h", "score")
 
 
-@query(kept_sql("id < 50000", "[1:10]"))
+@query(kept_sql("true", "[1:10]"))
 def q24_nms_topk(spark, sf_dir):
-    return r.suppress(i.boxes(spark, sf_dir).where("id < 50000"), top=10).select("frame", "id", "x", "y", "w", "h", "score")
+    return r.suppress(i.boxes(spark, sf_dir), top=10).select("frame", "id", "x", "y", "w", "h", "score")
 
 
 @query(f"with {STEP} select vec_id, t, trunc(greatest(cls[1]::double * 640 - cls[3]::double * 320, 0) * 1.5::double)::int as x, trunc(greatest(cls[2]::double * 640 - cls[4]::double * 320, 0) * 2)::int as y, trunc(cls[3]::double * 640 * 1.5::double)::int as w, trunc(cls[4]::double * 640 * 2)::int as h from step")
@@ -357,11 +357,11 @@ def q52_convexity(spark, sf_dir):
     return key(i.boxes(spark, sf_dir), F.when(c("id") % 4 == 1, g.is_convex(dent)).when(c("id") % 2 == 1, g.is_convex(cross)).otherwise(g.is_convex(c("polygon"))).alias("convex"))
 
 
-@query(f"""with kept as ({kept_sql(f"id < 50000 and score > 0.3 and ({IN_BANDS})")}), box as (select * from kept), {CENTRE},
+@query(f"""with kept as ({kept_sql(f"score > 0.3 and ({IN_BANDS})")}), box as (select * from kept), {CENTRE},
 f as (select *, least(1.3::double, {LIMIT}) as e from m), z as (select *, case when e <= 0 then 1.0::double else e end as k from f), o as (select *, {scaled("k")} from z)
 select frame, count(*) as n, string_agg(concat_ws(',', id, x1, y1, x2, y2), ';' order by id, x1, y1, x2, y2) as regions from o where x1 >= 0 and y1 >= 0 and x2 < 640 and y2 < 480 group by frame""")
 def q53_end_to_end_boxes(spark, sf_dir):
-    b = i.boxes(spark, sf_dir).where("id < 50000 and score > 0.3D")
+    b = i.boxes(spark, sf_dir).where("score > 0.3D")
     kept = r.suppress(r.in_bands(b, BANDS, F.lit(640), F.lit(480)), top=None)
     kept = kept.withColumn("p", g.scale_clamped(g.from_bbox(c("x"), c("y"), c("x") + c("w"), c("y") + c("h")), F.lit(1.3), F.lit(640), F.lit(480))).where(g.fully_inside(c("p"), F.lit(640), F.lit(480)))
     out = r.ordered(kept.select("frame", "id", *corners("p")), ["frame"], ["id", "x1", "y1", "x2", "y2"])
@@ -375,14 +375,13 @@ def rendered(spark, sf_dir):
     from ..operators import raster
 
     def draw(batches):
+        ys, xs, ch = np.mgrid[0:24, 0:32, 0:3]
+        base = xs * 3 + ys * 5 + ch * 7
         for b in batches:
-            images = []
-            for n in b["frame_index"]:
-                ys, xs, ch = np.mgrid[0:24, 0:32, 0:3]
-                images.append(raster.image_of(((xs * 3 + ys * 5 + ch * 7 + n) % 256).astype(np.uint8)))
+            images = [raster.image_of(((base + n) % 256).astype(np.uint8)) for n in b["frame_index"]]
             yield b[["media_id", "frame_index"]].assign(image=images)
 
-    return i.frames(spark, sf_dir).where("width = 320").select("media_id", "frame_index").mapInPandas(draw, f"media_id int, frame_index bigint, image {raster.IMAGE}")
+    return i.frames(spark, sf_dir).select("media_id", "frame_index").mapInPandas(draw, f"media_id int, frame_index bigint, image {raster.IMAGE}")
 
 
 def painted(spark, sf_dir, mode, shape, corners):
@@ -390,7 +389,7 @@ def painted(spark, sf_dir, mode, shape, corners):
 
     f = rendered(spark, sf_dir)
     polygon = F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in corners])
-    regions = i.frames(spark, sf_dir).where("width = 320").select("media_id", "frame_index", F.lit(1).alias("stage"), F.lit(0).alias("ord"), polygon.alias("polygon"), F.lit(1.0).alias("factor"))
+    regions = i.frames(spark, sf_dir).select("media_id", "frame_index", F.lit(1).alias("stage"), F.lit(0).alias("ord"), polygon.alias("polygon"), F.lit(1.0).alias("factor"))
     out = raster.mask_frames(f, regions, ["media_id", "frame_index"], mode, shape, 4)
 
     def add(batches):
@@ -400,7 +399,7 @@ def painted(spark, sf_dir, mode, shape, corners):
     return out.mapInPandas(add, "media_id int, frame_index bigint, total bigint")
 
 
-@query(f"""with f as ({i.FRAME}), g as (select media_id, frame_index from f where width = 320),
+@query(f"""with f as ({i.FRAME}), g as (select media_id, frame_index from f),
 p as (select x, y, ch from (select unnest(range(0, 32)) as x), (select unnest(range(0, 24)) as y), (select unnest(range(0, 3)) as ch) where not (x between 4 and 19 and y between 6 and 15))
 select media_id, frame_index, sum((x * 3 + y * 5 + ch * 7 + frame_index) % 256)::bigint as total from g, p group by media_id, frame_index""")
 def q34_solid(spark, sf_dir):

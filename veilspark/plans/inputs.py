@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
-BOX = """select cast(l_orderkey % 500 as int) as frame, cast(l_partkey % 600 as int) as x, cast((l_suppkey * 4) % 400 as int) as y,
+BOX = """select cast(floor(l_orderkey / 16) as bigint) as frame, cast(l_partkey % 600 as int) as x, cast((l_suppkey * 4) % 400 as int) as y,
  cast(floor(20 + l_quantity) as int) as w, cast(20 + l_linenumber * 10 as int) as h, l_discount * 10 as score, l_orderkey * 10 + l_linenumber as id from lineitem"""
 FRAME = """select cast(o_custkey % 50 as int) as media_id, cast(row_number() over (partition by o_custkey % 50 order by o_orderkey) - 1 as bigint) as frame_index,
  cast(case o_orderkey % 4 when 0 then 1920 when 1 then 1280 when 2 then 640 else 320 end as int) as width,
