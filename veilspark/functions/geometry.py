@@ -44,17 +44,24 @@ def max_uniform_scale(p: Column, width: Column, height: Column) -> Column:
     return F.when((width <= 0) | (height <= 0) | (F.size(p) < 3), F.lit(1.0)).otherwise(free)
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value evaluated once: inside a lambda a column stands for its whole expression each time."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def scale(p: Column, factor: Column) -> Column:
     """About the vertex mean; coordinates are cut towards zero."""
-    cx, cy = centre(p, "x"), centre(p, "y")
-    moved = F.transform(p, lambda v: point(cx + (v["x"] - cx) * factor, cy + (v["y"] - cy) * factor))
-    return F.when(factor == 1, p).otherwise(moved)
+
+    def moved(t):
+        return F.transform(p, lambda v: point(t["x"] + (v["x"] - t["x"]) * t["f"], t["y"] + (v["y"] - t["y"]) * t["f"]))
+
+    return F.when(factor == 1, p).otherwise(let(F.struct(centre(p, "x").alias("x"), centre(p, "y").alias("y"), factor.alias("f")), moved))
 
 
 def scale_clamped(p: Column, factor: Column, width: Column, height: Column) -> Column:
     """scale(), by no more than fits: a polygon that hangs over an edge shrinks."""
     fits = F.least(factor, max_uniform_scale(p, width, height))
-    return F.when((factor == 1) | (fits <= 0), p).otherwise(scale(p, fits))
+    return F.when(factor == 1, p).otherwise(let(fits, lambda f: F.when(f <= 0, p).otherwise(scale(p, f))))
 
 
 def clip(p: Column, width: Column, height: Column) -> Column:
