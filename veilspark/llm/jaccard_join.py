@@ -47,7 +47,8 @@ PERCENT = 80
 SAMPLE, HEAVY = 32, 3
 #: Bound of the broadcast list of heavy tokens: 1 MB.
 MAX_HEAVY = 1 << 17
-CACHE = 400_000
+#: Words whose hashes a worker remembers.
+CACHE = 1 << 16
 
 
 class WordHashes(dict):
@@ -141,8 +142,12 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     key = classes.select("u", "k")
     pairs = pairs.join(key.select(F.col("u").alias("a"), F.col("k").alias("ka")), "a").join(key.select(F.col("u").alias("b"), F.col("k").alias("kb")), "b")
     pairs = cut(pairs, "join-pairs", free=True)
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     tried = cut(compare(pairs, docs, percent, np.uint32), "join-tried", free=True)
     unsure = cut(tried.where("linked is null").select("a", "b", "ka", "kb"), "join-unsure")
+    if unsure.isEmpty():
+        return tried.where("linked").select("a", "b")
     exact = compare(unsure, docs, percent, np.uint64)
     return tried.where("linked").select("a", "b").unionByName(exact.where("linked").select("a", "b"))
 
@@ -255,7 +260,9 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
     rows = cut(rows.join(open_, "token", "left_semi").select("token", "u", "n", "pos", "shared", "c"), "join-open")
     cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.c != y.c and x.u < y.u and {can_link('x', 'y', percent)} and array_min(array_intersect(x.shared, y.shared)) = x.token"))
-    late = verify(cross.selectExpr("x.u as a", "y.u as b").distinct(), classes, docs, percent)
+    late = cut(verify(cross.selectExpr("x.u as a", "y.u as b").distinct(), classes, docs, percent), "join-late")
+    if late.isEmpty():
+        return signed, found.withColumnRenamed("node", "u")
     known = found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return signed, components(known.unionByName(late)).withColumnRenamed("node", "u")
 
