@@ -11,8 +11,9 @@ are extended both ways while lines agree, and later runs are deleted; every
 deleted line has an equal one at an earlier place that stays.
 
 Only hashes and positions are shuffled, then the text once.  The hot key (a
-line or passage in a third of all rows) is combined before the shuffle; the
-join back to it is an equi-join that adaptive execution splits.
+line or passage in a third of all rows) is combined before the shuffle.  The joins
+back to it are equi-joins that can spill, but adaptive execution does not split
+them: one side of each is aggregated in the same stage.
 
 Defined results: null text stays null; empty lines stay unless a deleted run
 encloses them.  Null ids come last.  Rows equal in doc_id and text are one
