@@ -11,9 +11,8 @@ are extended both ways while lines agree, and later runs are deleted; every
 deleted line has an equal one at an earlier place that stays.
 
 Only hashes and positions are shuffled, then the text once.  The hot key (a
-line or passage in a third of all rows) is combined before the shuffle.  The joins
-back to it are equi-joins that can spill, but adaptive execution does not split
-them: one side of each is aggregated in the same stage.
+line or passage in a third of all rows) is combined before the shuffle; the joins
+back to it are equi-joins of plain shuffles that adaptive execution splits.
 
 Defined results: null text stays null; empty lines stay unless a deleted run
 encloses them.  Null ids come last.  Rows equal in doc_id and text are one
@@ -100,6 +99,8 @@ def find_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     units = cut(docs.select("_ld_k", "doc_id", "text").mapInArrow(run, UNITS), "line-units")
     at = units.select("_ld_k", "doc_id", F.posexplode(F.arrays_zip("mark", "window", "last")).alias("first", "w")).select("w.*", "_ld_k", F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("_ld_k").alias("k"), F.col("first").alias("i")).alias("place"))
     earliest = at.groupBy("mark", "window").agg(F.min("place").alias("of"), F.max("place").alias("to")).where("of != to").drop("to")
+    # as tables, the small sides leave joins of plain shuffles, which adaptive execution splits at a hot passage
+    earliest = cut(earliest, "line-earliest")
     hits = at.join(earliest, ["mark", "window"]).where("place != of")
     # matches on one diagonal, end to end: a run from its first window's first unit to its last window's last
     hits = hits.select("_ld_k", F.col("place.i").alias("a"), F.col("last").alias("b"), F.col("of.k").alias("fk"), F.col("of.d").alias("fd"), (F.col("of.i") - F.col("place.i")).alias("shift"))
@@ -111,7 +112,8 @@ def find_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.select("_ld_k", "fk", "fd", "shift", F.explode(merged).alias("r")).select("_ld_k", "fk", "fd", "shift", "r.*")
     # what is still equal beyond a run has under min_words words, hence fewer lines than that
     mine = units.dropDuplicates(["_ld_k"]).select("_ld_k", "line", F.col("hash").alias("xh"))
-    theirs = units.dropDuplicates(["_ld_k"]).select(F.col("_ld_k").alias("fk"), F.col("hash").alias("fh"))
+    firsts = earliest.select(F.col("of.k").alias("_ld_k")).distinct()
+    theirs = cut(units.join(firsts, "_ld_k", "left_semi").dropDuplicates(["_ld_k"]).select(F.col("_ld_k").alias("fk"), F.col("hash").alias("fh")), "line-firsts")
     runs = runs.join(theirs, "fk").select("_ld_k", "fk", "fd", "a", "b", F.slice("fh", F.col("b") + F.col("shift") + 1, F.lit(min_words)).alias("f_after"), F.reverse(F.slice("fh", F.greatest(F.col("a") + F.col("shift") - min_words, F.lit(0)) + 1, F.least(F.col("a") + F.col("shift"), F.lit(min_words)))).alias("f_before"))
     runs = runs.join(mine, "_ld_k").withColumns({"x_after": F.slice("xh", F.col("b") + 1, F.lit(min_words)), "x_before": F.reverse(F.slice("xh", F.greatest(F.col("a") - min_words, F.lit(0)) + 1, F.least(F.col("a"), F.lit(min_words))))})
 
