@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from veilspark.llm import lm_score
+from veilspark.llm import lm_score, nearest
 
 
 def test_lm_trains_on_every_position(spark):
@@ -23,3 +24,18 @@ def test_lm_trains_on_every_position(spark):
         flat = lm_score.train_round(encoded, np.arange(3), flat, i, 2)
     ends = lambda x: lm_score.Net().load(x).inp[:, lm_score.CLASSES].copy()
     assert (ends(flat) != ends(start)).any(1).all()
+
+
+def test_nearest_within_a_tight_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x[::3] = rng.normal(size=64) + 0.05 * rng.normal(size=(2000, 64))
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = nearest.nearest(table, F.col("vec_id") % 150 == 0).toPandas()
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 6000, 150):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
+    print("recall", hits / 200)
+    assert hits >= 195

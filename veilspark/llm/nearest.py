@@ -4,7 +4,9 @@ Unit vectors are assigned to coarse centroids; residuals are coded by a
 product quantiser.  A query probes the lists of its nearest centroids, scores
 codes through tables of its inner products with the sub-centroids, and the
 best RERANK of each block are ranked again by their exact cosine in double
-precision on the original vectors.
+precision on the original vectors; so are all others whose score is within
+their quantisation error of the k-th exact one, so that a block's k nearest are
+never cut.
 
 Centroids are fitted on a bounded sample (SAMPLE vectors, by a hash of the
 id); every vector is indexed.  Lists are cut into blocks of about BLOCK rows
@@ -43,6 +45,8 @@ PROBE_SHARE, PROBE_LEAST = 0.85, 8
 SUBSPACES, CODES = 16, 256
 RERANK = 100
 BLOCK, QUERIES = 4096, 512
+#: More than rounding in single precision can move a score.
+ROUNDING = 1e-4
 
 
 def usable(v: Column) -> Column:
@@ -146,10 +150,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         q, qids = np.vstack(right["q"].to_numpy()), right["query_id"].to_numpy()
         near, index = unit(q), revive(Index, shared.value)
         scores = (near @ index.coarse[key[0]])[:, None] + sum(t[:, codes[:, m]] for m, t in enumerate(index.tables(near)))
+        # a unit query moves a score by no more than the length of what the code leaves of the vector
+        coded = np.hstack([s[codes[:, m]] for m, s in enumerate(index.subs)])
+        slack = np.linalg.norm(unit(x) - index.coarse[key[0]] - coded, axis=1) + ROUNDING
         norms, qnorms = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
         out_q, out_v, out_s = [], [], []
-        for i in range(len(q)):
-            top = np.argpartition(-scores[i], RERANK)[:RERANK] if len(x) > RERANK else np.arange(len(x))
+
+        def ranked(i, top):
             exact = (x[top] * q[i]).sum(1) / (norms[top] * qnorms[i])
             top, exact = (y[np.argsort(-exact, kind="stable")] for y in (top, exact))
             got = []
@@ -160,6 +167,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 got += [(s, j) for j in own if j != qids[i]]
                 got.sort(key=lambda y: (-y[0], y[1]))
                 got = got[: k + 1]
+            return got
+
+        for i in range(len(q)):
+            top = np.argpartition(-scores[i], RERANK)[:RERANK] if len(x) > RERANK else np.arange(len(x))
+            got = ranked(i, top)
+            if len(x) > RERANK:
+                least = got[k - 1][0] if len(got) >= k else -np.inf
+                near_enough = scores[i] + slack >= least
+                near_enough[top] = False
+                more = np.flatnonzero(near_enough)
+                more = more[x[more] @ q[i] >= (least - ROUNDING) * norms[more] * qnorms[i]]
+                if len(more):
+                    got = ranked(i, np.sort(np.concatenate([top, more])))
             out_q += [qids[i]] * len(got[:k])
             out_v += [j for _, j in got[:k]]
             out_s += [s for s, _ in got[:k]]
