@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilspark.llm import lm_score, nearest
+from veilspark.llm import language, lm_score, nearest
 
 
 def test_lm_trains_on_every_position(spark):
@@ -39,3 +41,12 @@ def test_nearest_within_a_tight_group(spark):
         hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
     print("recall", hits / 200)
     assert hits >= 195
+
+
+def test_viterbi_is_exact():
+    rng = np.random.default_rng(3)
+    cases = [np.array([[-7, 0, -50]] * 2 + [[-7, -50, 0]] * 2, np.float32)] + [rng.choice([-50, -14, -7, -3, 0], (5, 3)).astype(np.float32) for _ in range(300)]
+    for s in cases:
+        cost = lambda p: s[np.arange(len(s)), list(p)].sum() - language.SWITCH * (np.diff(p) != 0).sum()  # noqa: B023, E731
+        assert cost(language.viterbi(s)) >= max(map(cost, itertools.product(range(3), repeat=len(s)))) - 1e-3
+    assert list(language.viterbi(cases[0])) == [1, 1, 2, 2]

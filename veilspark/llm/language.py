@@ -101,15 +101,18 @@ class Model:
 def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word.
 
-    If no stretch of words gains more than one switch over the best single
-    language, staying with it is optimal, as any other path pays at least one
-    switch for each stretch; else the full recursion runs.
+    A path that uses the best single language somewhere pays a switch for each
+    stretch without it, one that never does a switch less than it has stretches.
+    So staying with that language is optimal if no stretch gains more than half
+    a switch over it, or none more than a switch and the best other languages of
+    all words together neither; else the full recursion runs.
     """
     best = int(s.sum(0, dtype=np.float64).argmax())
     gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     low = np.vstack([np.zeros((1, s.shape[1])), low[:-1]])
-    if (gain - low).max() <= switch:
+    most = (gain - low).max()
+    if most <= switch / 2 or most <= switch and (np.delete(s, best, 1).max(1) - s[:, best]).sum(dtype=np.float64) <= switch:
         return np.full(len(s), best, np.int32)
     rows, n = s.tolist(), s.shape[1]
     total, back = rows[0], np.zeros(s.shape, np.int32)
