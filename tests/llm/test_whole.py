@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilspark.llm import language, lm_score, nearest
+from veilspark.llm import jaccard_join, language, lm_score, nearest
 
 
 def test_lm_trains_on_every_position(spark):
@@ -50,3 +50,19 @@ def test_viterbi_is_exact():
         cost = lambda p: s[np.arange(len(s)), list(p)].sum() - language.SWITCH * (np.diff(p) != 0).sum()  # noqa: B023, E731
         assert cost(language.viterbi(s)) >= max(map(cost, itertools.product(range(3), repeat=len(s)))) - 1e-3
     assert list(language.viterbi(cases[0])) == [1, 1, 2, 2]
+
+
+def test_jaccard_of_short_sets_of_heavy_tokens(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard_join, "HEAVY", 1)
+    rng = np.random.default_rng(11)
+    rows, n = [], 400
+    for i in range(n):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 14)]
+        # texts of one shingle are every star's pivot and link with neither; the other two have 9 of 10 shingles in common
+        rows += [(12 * i + j, " ".join(w[j : j + 5])) for j in range(10)]
+        rows += [(12 * i + 10, " ".join(w)), (12 * i + 11, " ".join([*w[:13], "z"]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    lost = [i for i in range(n) if got[12 * i + 11] != 12 * i + 10]
+    print("lost links", len(lost))
+    assert not lost

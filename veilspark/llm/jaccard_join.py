@@ -103,7 +103,8 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             n, u, g, low, high = [], [], [], [], []
             for text in b.column(2).to_pylist():
-                s = shingles(text, hashes)
+                # in order as signed numbers, as SQL compares tokens
+                s = np.sort(shingles(text, hashes).view(np.int64)).view(np.uint64)
                 n.append(len(s))
                 if not len(s):
                     u.append(None), g.append(None), low.append([]), high.append([])
