@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,33 +34,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none, as in tests, a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a temporary one, which only a local master may use."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and survives lost executors.
 
     As a file source it also carries its true size, so that Spark's own threshold
-    decides between a broadcast and a shuffled join.  free: shuffle files that
-    nothing needs any more are given back now, not when the driver next happens
-    to collect its garbage.
+    decides between a broadcast and a shuffled join.  The shuffle files of the
+    write are given back with its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: documents can be long, and a batch stands in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, as documents can be long and a batch stands in memory; settings of the user's own stay.
+
+    Results are lazy, so the setting has to last as long as the session.
+    """
+    for key, small in SMALL.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, small)
+
+
+def returned() -> None:
+    """Gives the memory that a worker process has freed back to the system; workers are reused by later stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pa.default_memory_pool().release_unused()
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, with the worker's freed memory returned at a task's end."""
+
+    def whole(batches):
+        yield from run(batches)
+        returned()
+
+    return whole
 
 
 def revive(kind: type, state: dict):

@@ -8,15 +8,19 @@ prefix and size form a group; groups are joined on prefix tokens, filtered by
 size and position, expanded to classes and verified on whole sets.
 
 Heavy tokens (found in a hash sample; they only affect the order, never the
-result) would make blocks whose pairs grow with the square.  Such a block is
+result) and any other token that more than BLOCK groups turn out to share make
+large blocks, whose pairs would grow with the square.  Such a block is
 first joined as a star: its earliest member with every other.  After the
 verified links have been made components, only pairs between different
-components remain to be tried, each at the first heavy token that its members
+components remain to be tried, each at the first such token that its members
 share.  Groups with several classes are treated in the same way.  No block is
 gathered in a task: all joins are equi-joins that can spill and be split.
 
-The result is exact.  Text is shuffled only for classes that are in a
-candidate pair.  Intermediate tables lie in the shared folder.
+The result is exact.  Many texts that share frequent shingles without being
+alike, at sizes and positions that would allow it, cost a comparison of hashes'
+positions for each pair; that is the limit of a prefix filter.  Text is
+shuffled only for classes that are in a candidate pair (beyond a million of
+them, all of it once).  Intermediate tables lie in the shared folder.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and are linked with nothing; null ids are linked but name no
@@ -32,21 +36,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, ascii_words, cut, mix64, small_batches, table
-from .url_filter import build_filter, may_hold, without
+from .common import MIX, ascii_words, cut, mix64, small_batches, table, tidy
+from .url_filter import among, without
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 #: Least Jaccard coefficient, in hundredths.
 PERCENT = 80
-#: One document in SAMPLE is looked through for heavy tokens; a token seen HEAVY times there is heavy.
-SAMPLE, HEAVY = 32, 3
-#: Bound of the broadcast list of heavy tokens: 1 MB.
-MAX_HEAVY = 1 << 17
+#: One document in SAMPLE is looked through for heavy tokens; one seen HEAVY times there, and more often than
+#: once in SHARE tokens, is heavy.  So there are at most SHARE of them (1 MB to broadcast) at any size.
+SAMPLE, HEAVY, SHARE = 32, 3, 1 << 17
+#: Groups in a block that are compared with each other at once.
+BLOCK = 64
 #: Words whose hashes a worker remembers.
 CACHE = 1 << 16
 
@@ -85,8 +90,10 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
             token, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
 
-    seen = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(count, "token bigint, n bigint")
-    top = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "token").limit(MAX_HEAVY)
+    seen = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tidy(count), "token bigint, n bigint")
+    seen = cut(seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY), "join-heavy")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    top = seen.where(F.col("n") * SHARE >= total)
     return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
 
@@ -123,7 +130,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip((n, u, g, low, high), kinds, strict=True))], names=names)
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(sign, SIGNATURES)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(tidy(sign), SIGNATURES)
 
 
 def can_link(a: str, b: str, percent: int) -> str:
@@ -142,10 +149,10 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     """
     key = classes.select("u", "k")
     pairs = pairs.join(key.select(F.col("u").alias("a"), F.col("k").alias("ka")), "a").join(key.select(F.col("u").alias("b"), F.col("k").alias("kb")), "b")
-    pairs = cut(pairs, "join-pairs", free=True)
+    pairs = cut(pairs, "join-pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    tried = cut(compare(pairs, docs, percent, np.uint32), "join-tried", free=True)
+    tried = cut(compare(pairs, docs, percent, np.uint32), "join-tried")
     unsure = cut(tried.where("linked is null").select("a", "b", "ka", "kb"), "join-unsure")
     if unsure.isEmpty():
         return tried.where("linked").select("a", "b")
@@ -156,9 +163,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> DataFrame:
     """pairs (a, b, ka, kb) with linked: whether the sets of the documents ka and kb, hashes cut to kind, link; null if collisions might decide that."""
     wanted = cut(pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct(), "join-wanted")
-    words, blocks = build_filter(wanted, "k")
-    # a bounded filter keeps most other texts out of it; the joins are exact
-    some = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").where(may_hold(words.scalar(), blocks, F.col("k")))
+    some = among(docs.select(F.xxhash64("doc_id", "text").alias("k"), "text"), "k", wanted)
 
     def sets(batches):
         hashes = WordHashes()
@@ -166,7 +171,7 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
             out = [np.unique(shingles(t, hashes).astype(kind)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "s"])
 
-    whole = cut(some.mapInArrow(sets, "k bigint, s binary"), "join-sets").dropDuplicates(["k"])
+    whole = cut(some.mapInArrow(tidy(sets), "k bigint, s binary"), "join-sets").dropDuplicates(["k"])
     both = pairs.join(whole.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(whole.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb").select("a", "b", "ka", "kb", "sa", "sb")
 
     def check(batches):
@@ -184,7 +189,7 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
                 linked.append(None if abs(over) < near else over >= 0)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], names=["a", "b", "ka", "kb", "linked"])
 
-    return both.mapInArrow(check, "a bigint, b bigint, ka bigint, kb bigint, linked boolean")
+    return both.mapInArrow(tidy(check), "a bigint, b bigint, ka bigint, kb bigint, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,14 +230,14 @@ def components(edges: DataFrame) -> DataFrame:
         links = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")  # large star
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         links = links.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b")  # small star
-        links = cut(links.distinct().mapInArrow(shrink, "a bigint, b bigint").distinct(), "components")
+        links = cut(links.distinct().mapInArrow(tidy(shrink), "a bigint, b bigint").distinct(), "components")
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all documents (with class u), and (u, root) of each class that is linked to another."""
+    """Signatures of all documents (with class u), and the classes: u, id and k of the first document, component c."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = cut(signatures(docs, percent), "join-signatures", free=True)
+    signed = cut(signatures(docs, percent), "join-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k")))
     classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), F.first("n").alias("n"), F.first("g").alias("g")).select("u", "n", "g", "f.id", "f.k"), "join-classes")
     groups = cut(classes.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"))).alias("first"), F.count(F.lit(1)).alias("classes")).select("g", "first.id", "first.k", "first.u", "classes"), "join-groups")
@@ -240,56 +245,62 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     others = cut(signed.where("u is not null").select("k").distinct().join(groups.select("k"), "k", "left_anti"), "join-others")
     carriers = without(signed.where("u is not null"), "k", others)
 
-    light = carriers.select("g", "n", F.posexplode("light").alias("pos", "token")).select("token", "g", "n", "pos")
-    pairs = light.alias("x").join(light.alias("y"), F.expr(f"x.token = y.token and x.g < y.g and {can_link('x', 'y', percent)}")).selectExpr("x.g as ga", "y.g as gb").distinct()
+    id_ = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("g").alias("g")).alias("id")
+    light = carriers.select("g", "n", id_, F.posexplode("light").alias("pos", "token"))
+    light = light.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
+    light = cut(light, "join-light")
+    small = light.where(F.col("m") <= BLOCK).select("token", "g", "n", "pos")
+    pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.token = y.token and x.g < y.g and {can_link('x', 'y', percent)}")).selectExpr("x.g as ga", "y.g as gb").distinct()
 
-    blocks = carriers.where(F.size("heavy") > 0).select("g", "n", "heavy", F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token")).select("token", "g", "n", (F.col("at") + F.col("i")).alias("pos"), F.col("heavy").alias("shared"))
-    blocks = blocks.join(groups.select("g", "id"), "g").dropDuplicates(["token", "g"])
-    pivot = blocks.groupBy("token").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("g").alias("g"))).alias("p")).select("token", F.col("p.g").alias("pg"))
-    stars = blocks.join(pivot, "token").where("g != pg").select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
+    heavy = carriers.where(F.size("heavy") > 0).select("g", "n", id_, F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token"))
+    blocks = light.where(F.col("m") > BLOCK).select("token", "g", "n", "pos", "id").unionByName(heavy.select("token", "g", "n", (F.col("at") + F.col("i")).alias("pos"), "id"))
+    blocks = cut(blocks.dropDuplicates(["token", "g"]), "join-blocks")
+    pivot = blocks.groupBy("token").agg(F.min("id").alias("p")).select("token", F.col("p.g").alias("pg"))
+    stars = blocks.join(cut(pivot, "join-pivots"), "token").where("g != pg").select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
 
     member = classes.select("g", "u")
-    tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried", free=True).join(member.select(F.col("g").alias("ga"), F.col("u").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("u").alias("b")), "gb").select("a", "b")
+    tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried").join(member.select(F.col("g").alias("ga"), F.col("u").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("u").alias("b")), "gb").select("a", "b")
     within = member.join(groups.where("classes > 1").select("g", F.col("u").alias("a")), "g").where("u != a").select("a", F.col("u").alias("b"))
     good = cut(verify(tried.unionByName(within), classes, docs, percent), "join-links")
     found = cut(components(good), "join-components")
 
     # what the stars left open: pairs of one block in different components
     many = member.join(groups.where("classes > 1").select("g"), "g").join(classes.select("u", "n"), "u").select(F.col("g").alias("token"), "u", "n", F.lit(0).alias("pos"), F.array("g").alias("shared"))
-    rows = blocks.select("token", "g", "n", "pos", "shared").join(member, "g").select("token", "u", "n", "pos", "shared").unionByName(many)
+    order = blocks.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("shared"))
+    rows = blocks.select("token", "g", "n", "pos").join(member, "g").join(order, "g").select("token", "u", "n", "pos", "shared").unionByName(many)
     rows = rows.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("root", "u"))
     open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
     rows = cut(rows.join(open_, "token", "left_semi").select("token", "u", "n", "pos", "shared", "c"), "join-open")
-    cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.c != y.c and x.u < y.u and {can_link('x', 'y', percent)} and array_min(array_intersect(x.shared, y.shared)) = x.token"))
+    cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.c != y.c and x.u < y.u and {can_link('x', 'y', percent)} and get(array_intersect(x.shared, y.shared), 0) = x.token"))
     late = cut(verify(cross.selectExpr("x.u as a", "y.u as b").distinct(), classes, docs, percent), "join-late")
-    if late.isEmpty():
-        return signed, found.withColumnRenamed("node", "u")
-    known = found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return signed, components(known.unionByName(late)).withColumnRenamed("node", "u")
+    if not late.isEmpty():
+        known = found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(known.unionByName(late))
+    classes = classes.select("u", "id", "k").join(found.withColumnRenamed("node", "u"), "u", "left")
+    return signed, cut(classes.select("u", "id", "k", F.coalesce("root", "u").alias("c")), "join-found")
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to, itself included)."""
-    signed, found = links(docs, percent)
-    found = cut(found, "join-found")
-    rows = signed.select("doc_id", "n", "u").join(found, "u", "left").withColumn("c", F.coalesce("root", "u"))
-    first = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    signed, classes = links(docs, percent)
+    # small tables and no aggregate above: adaptive execution splits a large component or class
+    first = cut(classes.groupBy("c").agg(F.min("id").alias("first")), "join-first")
+    first = cut(classes.select("u", "c").join(first, "c").select("u", "first"), "join-named")
+    return signed.select("doc_id", "n", "u").join(first, "u", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("u").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that of the smallest id; rows that are linked with nothing stay."""
-    signed, found = links(docs, percent)
-    rows = signed.where("u is not null").select("doc_id", "k", "u").join(cut(found, "join-found"), "u", "left").withColumn("c", F.coalesce("root", "u"))
-    rows = rows.groupBy("c", "k", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    first = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k").alias("k"))).alias("f")).select("c", F.col("f.k").alias("first"))
-    rows = cut(rows.join(first, "c").select(F.col("k").alias("_jj_k"), (F.col("k") == F.col("first")).alias("stays"), "rows"), "join-verdicts")
+    signed, classes = links(docs, percent)
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k")))
+    kept = cut(classes.groupBy("c").agg(first.alias("f")).select("f.k"), "join-kept")
+    rows = cut(signed.where("u is not null").groupBy("k").agg(F.count(F.lit(1)).alias("rows")), "join-rows")
     docs = docs.withColumn("_jj_k", F.xxhash64("doc_id", "text"))
-    out = without(docs, "_jj_k", rows.where("not stays").select("_jj_k").distinct())
+    out = without(docs, "_jj_k", cut(rows.join(kept, "k", "left_anti").select(F.col("k").alias("_jj_k")), "join-dropped"))
     # a kept row that is repeated stays once
-    many = cut(rows.where("stays and rows > 1").select("_jj_k"), "join-repeated")
-    once = out.join(many, "_jj_k", "left_semi").dropDuplicates(["_jj_k"])
-    return out.join(many, "_jj_k", "left_anti").unionByName(once).drop("_jj_k")
+    many = cut(rows.where("rows > 1").join(kept, "k", "left_semi").select(F.col("k").alias("_jj_k")), "join-repeated")
+    once = among(out, "_jj_k", many).dropDuplicates(["_jj_k"])
+    return without(out, "_jj_k", many).unionByName(once).drop("_jj_k")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,9 @@ LISTED = ["spam-farm.example.org/", "cheap-pills.example.com/"]
 
 #: A block is eight 64-bit words; a key sets one bit in each.
 WORDS = 8
-#: Bound of the filter: 2^13 blocks of 64 bytes, 512 KiB.  A longer list only lets more candidates reach the join.
-MAX_BLOCKS = 1 << 13
-KEYS_PER_BLOCK = 32
+#: 16 bits a key.  A filter is broadcast, so it has a bound: 2^15 blocks of 64 bytes, 2 MiB, a million keys.
+#: Beyond that there is none, and the exact join, a plain shuffle, gets every row.
+KEYS_PER_BLOCK, MAX_BLOCKS = 32, 1 << 15
 
 
 def host_of(url: Column) -> Column:
@@ -46,10 +46,12 @@ def _bit(key_hash: Column, word: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key_hash, F.lit(word)), F.lit(64)).cast("int"))
 
 
-def build_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """One row with the filter's words as array<bigint>, and its number of blocks."""
+def build_filter(keys: DataFrame, key: str) -> tuple[DataFrame | None, int]:
+    """One row with the filter's words as array<bigint>, and its number of blocks; none beyond MAX_BLOCKS."""
     n = keys.count()
-    blocks = min(MAX_BLOCKS, max(1, -(-n // KEYS_PER_BLOCK)))
+    blocks = max(1, -(-n // KEYS_PER_BLOCK))
+    if blocks > MAX_BLOCKS:
+        return None, 0
     h = keys.select(F.xxhash64(key).alias("h"))
     block = F.pmod(F.col("h"), F.lit(blocks)).cast("int")
     bits = h.select(F.explode(F.array(*[F.struct((block * WORDS + w).alias("at"), _bit(F.col("h"), w).alias("bit")) for w in range(WORDS)])).alias("x")).select("x.*")
@@ -60,19 +62,25 @@ def build_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     return cut(one, "bloom"), blocks
 
 
-def may_hold(words: Column, blocks: int, key: Column) -> Column:
+def may_hold(words: DataFrame | None, blocks: int, key: Column) -> Column:
+    if words is None:
+        return F.lit(True)
     h = F.xxhash64(key)
     base = F.pmod(h, F.lit(blocks)).cast("int") * WORDS
     out = F.lit(True)
     for w in range(WORDS):
-        out = out & (F.get(words, base + w).bitwiseAND(_bit(h, w)) != 0)
+        out = out & (F.get(words.scalar(), base + w).bitwiseAND(_bit(h, w)) != 0)
     return out
 
 
+def among(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """docs whose column key is in the one column of keys: only rows that a filter of keys lets through are shuffled."""
+    return docs.where(may_hold(*build_filter(keys, key), F.col(key))).join(keys, key, "left_semi").select(*docs.columns)
+
+
 def without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """docs whose column key is not in the one column of keys: only rows that a filter of keys lets through are shuffled."""
-    words, blocks = build_filter(keys, key)
-    hit = may_hold(words.scalar(), blocks, F.col(key))
+    hit = may_hold(*build_filter(keys, key), F.col(key))
     return docs.where(~hit).unionByName(docs.where(hit).join(keys, key, "left_anti").select(*docs.columns))
 
 
@@ -91,7 +99,7 @@ def judge(urls: DataFrame, listed: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     found = pairs.select("host", "path", F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))).alias("key"))
-    found = found.where(may_hold(words.scalar(), blocks, F.col("key")))
+    found = found.where(may_hold(words, blocks, F.col("key")))
     exact = found.join(listed, "key")
     best = F.max_by(F.struct("key", "action", "rank"), F.struct(-F.col("rank"), F.length("key"), F.col("key")))
     return exact.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.*")
@@ -107,7 +115,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: list[str
     more = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
     entries = cut(entries.unionByName(more.where("key like '%/%'").distinct().select("key", F.lit("block").alias("action"), F.lit(1).alias("rank"))), "url-entries")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    out = urls.join(judge(urls, entries), ["host", "path"], "left")
+    # urls without a host, of which there may be very many, can fit no entry
+    hosted = urls.where("host <> ''").join(judge(urls, entries), ["host", "path"], "left")
+    none = urls.where("host = ''").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("action", "string"), ("rank", "int"))])
+    out = hosted.unionByName(none)
     return out.select(
         "page_id", "host", "path",
         F.when(F.col("rank") == 0, F.col("key")).alias("rule"),
