@@ -2,13 +2,21 @@
 
 A document's units are its lines that hold a word, without surrounding white
 space.  A window is the shortest run of lines from some line on with MIN_WORDS
-words.  Each window's smallest line hash, rightmost at ties, is its
-fingerprint; so a run of MIN_WORDS words or more that two places share has a
-whole window, and with it a fingerprint, in common.  Positions are joined by
-fingerprint and window content: each window meets the first place, by
-(doc_id, line), of its like.  Matches on a diagonal are joined to runs, runs
-are extended both ways while lines agree, and later runs are deleted; every
-deleted line has an equal one at an earlier place that stays.
+words.  Winnowing selects each window's smallest line hash, rightmost at ties;
+the distinct (hash, position) pairs are the document's fingerprints, and a run
+of MIN_WORDS words or more that two places share has one in common.  A line of
+at least SHORT_WORDS but fewer words is a fingerprint of its own, which counts
+only if it is found at FREQUENT places: a boilerplate line.
+
+Fingerprints that occur at one place alone are dropped: what they cover is not
+repeated.  The windows that the others stand for are joined to the first place,
+by (doc_id, line), with their content.  Matches on a diagonal are joined to
+runs, runs are extended both ways while lines agree, and later runs are
+deleted; every deleted line has an equal one at an earlier place that stays.
+
+Shorter repeats stay: lines of under SHORT_WORDS words, lines of under
+MIN_WORDS words at fewer than FREQUENT places, and what a passage shares with
+another in parts of lines, as lines are the units.
 
 Only hashes and positions are shuffled, then the text once.  The hot key (a
 line or passage in a third of all rows) is combined before the shuffle; the joins
@@ -32,76 +40,84 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, WORD, cut, mix64, small_batches, table
+from .common import MIX, cut, mix64, small_batches, table, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words that a repeated run has at least.
-MIN_WORDS = 50
+MIN_WORDS = 20
+#: Words of a shorter line, and places at which it is boilerplate.
+SHORT_WORDS, FREQUENT = 8, 20
 
-UNITS = "_ld_k bigint, doc_id bigint, line array<int>, hash array<bigint>, last array<int>, mark array<bigint>, window array<bigint>"
+#: marks: a fingerprint with the windows (first unit, end, content) that chose it.
+UNITS = "_ld_k bigint, doc_id bigint, line array<int>, hash array<bigint>, marks array<struct<mark:bigint,short:boolean,windows:array<struct<first:int,last:int,window:bigint>>>>"
 
 
-def units_of(text: str, min_words: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Line numbers, line hashes; of each window (by first unit): its last unit, its fingerprint, its content's hash."""
+def units_of(text: str, min_words: int = MIN_WORDS, short_words: int = SHORT_WORDS) -> tuple[list[int], np.ndarray, list[dict]]:
+    """Line numbers, line hashes, and the fingerprints with their windows."""
     lines, hashes, words = [], [], []
-    for i, x in enumerate(text.split("\n")):
-        if n := len(WORD.findall(x)):
+    for i, x in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        if n := len(x.split()):
             lines.append(i)
-            hashes.append(xxhash.xxh64_intdigest(x.strip(" \t\n\v\f\r").encode("utf-8", "surrogatepass")))
+            hashes.append(xxhash.xxh64_intdigest(x.strip()))
             words.append(n)
     h = np.array(hashes, np.uint64)
     sums = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
     last = np.searchsorted(sums, sums[:-1] + min_words)  # window i is [i, last)
-    n = int((last <= len(lines)).sum())
-    last = last[:n]
-    if not n:
-        return lines, h, last, h[:0], h[:0]
+    last = last[: int((last <= len(lines)).sum())]
+    signed = h.view(np.int64).tolist()
+    out = [{"mark": signed[i], "short": True, "windows": [{"first": i, "last": i + 1, "window": signed[i]}]} for i, n in enumerate(words) if short_words <= n < min_words]
+    if not len(last):
+        return lines, h, out
     # polynomial of the hashes, modulo 2^64: window = pre[last] - pre[first] * base^length
     pre, acc, base = [0], 0, int(MIX)
     for x in hashes:
         acc = (acc * base + x) & 0xFFFFFFFFFFFFFFFF
         pre.append(acc)
     pre = np.array(pre, np.uint64)
-    length = last - np.arange(n)
+    length = last - np.arange(len(last))
     power = np.ones(int(length.max()) + 1, np.uint64)
     power[1:] = np.multiply.accumulate(np.full(len(power) - 1, MIX))
-    content = mix64(pre[last] - pre[:n] * power[length])
-    mark, best = np.empty(n, np.uint64), -1
-    for i in range(n):
+    content = mix64(pre[last] - pre[: len(last)] * power[length] + length.astype(np.uint64)).view(np.int64).tolist()
+    best, chosen, end = -1, -1, 0
+    for i, stop in enumerate(last.tolist()):
         if best < i:
-            best, new = i, i + 1
-        else:
-            new = int(last[i - 1])
-        for j in range(new, int(last[i])):
+            best, end = i, i + 1
+        for j in range(end, stop):
             if hashes[j] <= hashes[best]:
                 best = j
-        mark[i] = hashes[best]
-    return lines, h, last, mark, content
+        end = stop
+        if best != chosen:
+            out.append({"mark": signed[best], "short": False, "windows": []})
+            chosen = best
+        out[-1]["windows"].append({"first": i, "last": stop, "window": content[i]})
+    return lines, h, out
 
 
-def find_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def find_runs(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int = SHORT_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """_ld_k and runs: the lines to delete of each document that has any, as array<struct<a, b, of>> with line numbers and the first place's doc_id."""
     small_batches(docs.sparkSession)
 
     def run(batches):
+        names = ["_ld_k", "doc_id", "line", "hash", "marks"]
+        window = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64())])
+        marks = pa.list_(pa.struct([("mark", pa.int64()), ("short", pa.bool_()), ("windows", pa.list_(window))]))
         for b in batches:
-            rows = [(k, d, *units_of(t, min_words)) for k, d, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if t]
-            c = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in c[3]], pa.list_(pa.int64())),
-                    pa.array([x.astype(np.int32) for x in c[4]], pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in c[5]], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in c[6]], pa.list_(pa.int64())),
-                ],
-                names=[x.split()[0] for x in UNITS.split(", ")],
-            )
-
-    units = cut(docs.select("_ld_k", "doc_id", "text").mapInArrow(run, UNITS), "line-units")
-    at = units.select("_ld_k", "doc_id", F.posexplode(F.arrays_zip("mark", "window", "last")).alias("first", "w")).select("w.*", "_ld_k", F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("_ld_k").alias("k"), F.col("first").alias("i")).alias("place"))
-    earliest = at.groupBy("mark", "window").agg(F.min("place").alias("of"), F.max("place").alias("to")).where("of != to").drop("to")
+            rows = [(k, d, *units_of(t, min_words, short_words)) for k, d, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if t]
+            c = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in c[3]], pa.list_(pa.int64())), pa.array(c[4], marks)], names=names)
+
+    units = cut(docs.select("_ld_k", "doc_id", "text").mapInArrow(tidy(run), UNITS), "line-units")
+    marks = units.select("_ld_k", "doc_id", F.explode("marks").alias("m")).select("m.*", "_ld_k", "doc_id")
+    # a fingerprint that is found once, or a short line that is not frequent, repeats nothing
+    shared = marks.groupBy("mark", "short").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.when(F.col("short"), F.lit(frequent)).otherwise(F.lit(2))).select("mark", "short")
+    marks = marks.join(cut(shared, "line-marks"), ["mark", "short"], "left_semi")
+    at = marks.select("mark", "short", "_ld_k", "doc_id", F.explode("windows").alias("w")).select("mark", "short", "w.window", "w.last", "_ld_k", F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("_ld_k").alias("k"), F.col("w.first").alias("i")).alias("place"))
+    at = cut(at, "line-places")
+    earliest = at.groupBy("mark", "short", "window").agg(F.min("place").alias("of"), F.max("place").alias("to")).where("of != to").drop("to")
     # as tables, the small sides leave joins of plain shuffles, which adaptive execution splits at a hot passage
     earliest = cut(earliest, "line-earliest")
-    hits = at.join(earliest, ["mark", "window"]).where("place != of")
+    hits = at.join(earliest, ["mark", "short", "window"]).where("place != of")
     # matches on one diagonal, end to end: a run from its first window's first unit to its last window's last
     hits = hits.select("_ld_k", F.col("place.i").alias("a"), F.col("last").alias("b"), F.col("of.k").alias("fk"), F.col("of.d").alias("fd"), (F.col("of.i") - F.col("place.i")).alias("shift"))
     runs = hits.groupBy("_ld_k", "fk", "fd", "shift").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("w"))
@@ -111,11 +127,17 @@ def find_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     runs = runs.select("_ld_k", "fk", "fd", "shift", F.explode(merged).alias("r")).select("_ld_k", "fk", "fd", "shift", "r.*")
     # what is still equal beyond a run has under min_words words, hence fewer lines than that
-    mine = units.dropDuplicates(["_ld_k"]).select("_ld_k", "line", F.col("hash").alias("xh"))
-    firsts = earliest.select(F.col("of.k").alias("_ld_k")).distinct()
-    theirs = cut(units.join(firsts, "_ld_k", "left_semi").dropDuplicates(["_ld_k"]).select(F.col("_ld_k").alias("fk"), F.col("hash").alias("fh")), "line-firsts")
-    runs = runs.join(theirs, "fk").select("_ld_k", "fk", "fd", "a", "b", F.slice("fh", F.col("b") + F.col("shift") + 1, F.lit(min_words)).alias("f_after"), F.reverse(F.slice("fh", F.greatest(F.col("a") + F.col("shift") - min_words, F.lit(0)) + 1, F.least(F.col("a") + F.col("shift"), F.lit(min_words)))).alias("f_before"))
-    runs = runs.join(mine, "_ld_k").withColumns({"x_after": F.slice("xh", F.col("b") + 1, F.lit(min_words)), "x_before": F.reverse(F.slice("xh", F.greatest(F.col("a") - min_words, F.lit(0)) + 1, F.least(F.col("a"), F.lit(min_words))))})
+    runs = cut(runs.select("_ld_k", "fk", "fd", "a", "b", (F.col("a") + F.col("shift")).alias("fa"), (F.col("b") + F.col("shift")).alias("fb")), "line-runs")
+
+    def around(h: str, a: str, b: str, out: str) -> dict:
+        """The hashes after a run and, nearest first, those before it."""
+        return {f"{out}_after": F.slice(h, F.col(b) + 1, F.lit(min_words)), f"{out}_before": F.reverse(F.slice(h, F.greatest(F.col(a) - min_words, F.lit(0)) + 1, F.least(F.col(a), F.lit(min_words))))}
+
+    # a first place's surroundings are cut out once, however often it is repeated
+    firsts = runs.select("fk", "fa", "fb").distinct()
+    theirs = firsts.join(units.dropDuplicates(["_ld_k"]).select(F.col("_ld_k").alias("fk"), "hash"), "fk").withColumns(around("hash", "fa", "fb", "f")).drop("hash")
+    runs = runs.join(cut(theirs, "line-firsts"), ["fk", "fa", "fb"])
+    runs = runs.join(units.dropDuplicates(["_ld_k"]).select("_ld_k", "line", "hash"), "_ld_k").withColumns(around("hash", "a", "b", "x"))
 
     def agreeing(x: str, y: str):
         same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
@@ -126,10 +148,10 @@ def find_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy("_ld_k").agg(F.array_sort(F.collect_set("r")).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int = SHORT_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """docs with text lacking later repeated runs, plus _ld_lines, _ld_removed (lines) and _ld_runs."""
     keyed = docs.withColumn("_ld_k", F.xxhash64("doc_id", "text"))
-    out = keyed.join(find_runs(keyed, min_words), "_ld_k", "left")
+    out = keyed.join(find_runs(keyed, min_words, short_words, frequent), "_ld_k", "left")
     merged = F.aggregate(
         "runs", F.array().cast("array<struct<a:int,b:int>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["b"] >= x["a"] - 1), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(x["b"], F.get(acc, F.size(acc) - 1)["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))),
