@@ -22,6 +22,7 @@ and text are read, so names cannot clash.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import sys
 import types
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD, small_batches, table
+from .common import small_batches, table, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,18 +42,33 @@ CAPACITY = 2048
 BLOCK = 24
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a worker remembers.
-CACHE = 500_000
+#: Words whose ids a worker remembers, until its task ends.
+CACHE = 200_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+#: What a tokenizer file must say for words to be encoded one by one: white space is dropped, case is folded, and
+#: each run of letters, each digit and each run of other marks is a word of a byte-level BPE.  Fixed values of the format.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Tokens(dict):
     """The ids of white-space-delimited chunks as bytes, remembered.
 
-    The tokenizer drops white space and never merges across it, so a text's
-    ids are its chunks' ids.  Chunks of plain Latin letters and ASCII marks go
-    straight to the model; all others through the whole tokenizer.
+    A tokenizer as in BY_WORDS drops white space and never merges across it, so
+    a text's ids are its chunks' ids.  Chunks of plain Latin letters and ASCII
+    marks go straight to the model; all others through the whole tokenizer.
+    Any other tokenizer gets whole texts.
     """
 
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@\[\]^_{}~|-]*)\Z")
@@ -63,6 +79,8 @@ class Tokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        said = json.loads(self.tokenizer.to_str())
+        self.by_words = all(said[k] == v for k, v in BY_WORDS.items()) and said["model"]["type"] == "BPE"
         # byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
@@ -76,19 +94,29 @@ class Tokens(dict):
             self.words[word] = got
         return got
 
-    def __missing__(self, chunk: str) -> bytes:
-        if (m := self.PLAIN.match(chunk)) and not chunk.startswith("<|"):
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if (m := self.PLAIN.match(text)) and not text.startswith("<|"):
             ids = self.of_word(m[1].lower()) + (self.of_word(m[2]) if m[2] else b"")
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
+            ids = self.whole(text)
         self[chunk] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: bytes) -> bytes:
+        if not self.by_words:
+            return self.whole(text.decode("utf-8", "replace"))
         if len(self) + len(self.words) > CACHE:
-            self.clear()
-            self.words.clear()
-        return b"".join(map(self.__getitem__, WORD.findall(text)))
+            self.forget()
+        # on bytes, split() knows ASCII white space alone
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
 
 
 def tokens_at(path: str | None) -> Tokens:
@@ -224,15 +252,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                packer.add(doc_id, np.frombuffer(tokens.ids(text or "") + end, "<u4"))
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                packer.add(doc_id, np.frombuffer(tokens.ids(text or b"") + end, "<u4"))
                 if len(packer.rows) >= 20_000:
                     yield batch(packer.take())
             yield batch(packer.take())
         packer.close_block(last=True)
         yield batch(packer.take())
+        tokens.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
