@@ -44,24 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is cut: shuffle files are given back with the write's end, and the driver keeps no long texts of its plans.
+CUTTING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4096"}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and survives lost executors.
 
     As a file source it also carries its true size, so that Spark's own threshold
-    decides between a broadcast and a shuffled join.  The shuffle files of the
-    write are given back with its end.
+    decides between a broadcast and a shuffled join.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE, None)
-    spark.conf.set(FREE, "true")
+    before = {k: spark.conf.get(k, None) for k in CUTTING}
+    for k, v in CUTTING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

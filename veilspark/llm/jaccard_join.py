@@ -153,11 +153,8 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     if pairs.isEmpty():
         return pairs.select("a", "b")
     tried = cut(compare(pairs, docs, percent, np.uint32), "join-tried")
-    unsure = cut(tried.where("linked is null").select("a", "b", "ka", "kb"), "join-unsure")
-    if unsure.isEmpty():
-        return tried.where("linked").select("a", "b")
-    exact = compare(unsure, docs, percent, np.uint64)
-    return tried.where("linked").select("a", "b").unionByName(exact.where("linked").select("a", "b"))
+    sure, unsure = tried.where("linked").select("a", "b"), tried.where("linked is null").select("a", "b", "ka", "kb")
+    return sure if unsure.isEmpty() else sure.unionByName(compare(unsure, docs, percent, np.uint64).where("linked").select("a", "b"))
 
 
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> DataFrame:
@@ -240,11 +237,11 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     signed = cut(signatures(docs, percent), "join-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k")))
     classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), F.first("n").alias("n"), F.first("g").alias("g")).select("u", "n", "g", "f.id", "f.k"), "join-classes")
-    groups = cut(classes.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"))).alias("first"), F.count(F.lit(1)).alias("classes")).select("g", "first.id", "first.k", "first.u", "classes"), "join-groups")
-    # a group's prefix is taken from one document; only the others are shuffled away
-    others = cut(signed.where("u is not null").select("k").distinct().join(groups.select("k"), "k", "left_anti"), "join-others")
-    carriers = without(signed.where("u is not null"), "k", others)
-
+    groups = classes.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"))).alias("first"), F.count(F.lit(1)).alias("classes")).select("g", "first.u", "classes")
+    # a group's prefix is taken from its first document
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
+    carriers = signed.where("u is not null").groupBy("g").agg(F.min_by(F.struct("doc_id", "n", "light", "heavy"), order).alias("c")).select("g", "c.*")
+    carriers = cut(carriers, "join-carriers")
     id_ = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("g").alias("g")).alias("id")
     light = carriers.select("g", "n", id_, F.posexplode("light").alias("pos", "token"))
     light = light.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
@@ -262,7 +259,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried").join(member.select(F.col("g").alias("ga"), F.col("u").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("u").alias("b")), "gb").select("a", "b")
     within = member.join(groups.where("classes > 1").select("g", F.col("u").alias("a")), "g").where("u != a").select("a", F.col("u").alias("b"))
     good = cut(verify(tried.unionByName(within), classes, docs, percent), "join-links")
-    found = cut(components(good), "join-components")
+    found = components(good)
 
     # what the stars left open: pairs of one block in different components
     many = member.join(groups.where("classes > 1").select("g"), "g").join(classes.select("u", "n"), "u").select(F.col("g").alias("token"), "u", "n", F.lit(0).alias("pos"), F.array("g").alias("shared"))
