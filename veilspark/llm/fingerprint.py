@@ -1,16 +1,20 @@
 """Document fingerprints by winnowing, in built-in expressions only.
 
 A text's units are its words (runs of characters other than ASCII white
-space).  Rolling hashes of K words, as array expressions by doubling; in each
+space); those of a text with fewer than K words, or with more than LONG code
+points to a word, are its code points, as scripts without blanks need it.
+Rolling hashes of K units, as array expressions by doubling; in each
 window of W hashes the smallest is chosen, with ties to the rightmost; its
-position is kept.  Any passage of K + W - 1 words that two texts share
-therefore leaves a common fingerprint in both.  A hash and its position travel
-as one long: the 38 upper bits are the hash, the 26 lower ones count down from
-the text's start, so that the minimum of longs is the rightmost minimum.
-
-Defined results: null and empty texts have n_chars 0 and fingerprint ''; texts
-of under K words have one hash of all their words; texts with fewer than W
-hashes have one window.  Likeness is the Jaccard coefficient of the sets of
+position is kept.  Any passage of K + W - 1 units that two texts share
+therefore leaves a common fingerprint in both.  Short texts, with fewer than
+2 W hashes, keep all of them, and those with fewer than FEW units also the hash
+of each unit, so that their likeness has more values than 0 and 1.  A hash and
+its position travel as one long: the 38 upper bits are the hash, the 26 lower
+ones count down from the text's start, so that the minimum of longs is the
+rightmost minimum; positions beyond 2^26 units are all told as that.
+
+Defined results: null and empty texts have n_chars 0 and fingerprint ''.
+Likeness is the Jaccard coefficient of the sets of
 hashes, and 1 for two empty sets.  Null ids come before all others; equal ids
 are ordered by text; each repeated row is a document.  A table with one row is
 its own next document.  Only doc_id and text are read, so names cannot clash.
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_SQL, table
 
-#: Words in a hash (a power of two) and hashes in a window (a power of two).
+#: Units in a hash (a power of two) and hashes in a window (a power of two).
 K, W = 4, 8
+#: Units of a text that also keeps their single hashes; code points to a word of a text whose units they are.
+FEW, LONG = 12, 16
 POS_BITS = 26
 LOW = (1 << POS_BITS) - 1
 #: Documents in a window partition, about.
@@ -55,16 +61,19 @@ def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
     step's expression into each place that names it.
     """
     w, h, n, g, m = (f"_{out}_{x}" for x in "whngm")
-    df = df.withColumn(w, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_SQL), lambda x: x != ""))
+    none = F.array().cast("array<bigint>")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn(w, F.filter(F.split(whole, SPACE_SQL), lambda x: x != ""))
+    df = df.withColumn(w, F.when((F.size(w) >= K) & (F.char_length(whole) <= F.size(w) * LONG), F.col(w)).otherwise(F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0))))
     df = df.withColumn(n, F.size(w))
-    # under K words: one hash of the whole text
-    df = df.withColumn(h, F.when(F.col(n).between(1, K - 1), F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.transform(w, lambda x: F.xxhash64(x))))
-    df = df.withColumn(g, F.when(F.col(n) >= K, F.col(h)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    df = df.withColumn(g, F.when(F.col(n) >= K, F.col(h)).otherwise(none))
     df = _doubled(df, g, K, lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn(g, F.transform(F.when(F.col(n) >= K, F.col(g)).otherwise(F.col(h)), lambda x, i: x.bitwiseAND(F.lit(~LOW)).bitwiseOR(F.lit(LOW) - i)))
-    df = df.withColumn(m, F.when(F.size(g) >= W, F.col(g)).otherwise(F.array().cast("array<bigint>")))
+    marked = lambda a: F.transform(a, lambda x, i: x.bitwiseAND(F.lit(~LOW)).bitwiseOR(F.lit(LOW) - F.least(i, F.lit(LOW))))
+    df = df.withColumn(g, marked(F.col(g)))
+    df = df.withColumn(m, F.when(F.size(g) >= 2 * W, F.col(g)).otherwise(none))
     df = _doubled(df, m, W, lambda a, b: F.least(a, b))
-    chosen = F.when(F.size(g) >= W, F.array_distinct(m)).when(F.size(g) == 0, F.col(g)).otherwise(F.array(F.array_min(g)))
+    chosen = F.when(F.size(g) >= 2 * W, F.array_distinct(m)).when(F.col(n) < FEW, F.concat(g, marked(F.col(h)))).otherwise(F.col(g))
     return df.withColumn(out, chosen).drop(w, h, n, g, m)
 
 
@@ -102,10 +111,14 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
     docs = docs.withColumn("_seg", F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))) - 1)
     within = F.floor((F.col("doc_id") - low).cast("double") * per / (high - low).cast("double"))
     docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-2)).when(F.col("_seg") < 0, F.lit(-1)).otherwise(F.col("_seg").cast("long") * per + F.least(within, F.lit(per - 1)))).drop("_seg")
-    # the first document of each bucket, handed to the bucket before it; a row for each bucket
-    firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("first"))
-    over = Window.orderBy("bucket")
-    firsts = firsts.select(F.coalesce(F.lag("bucket").over(over), F.max("bucket").over(Window.partitionBy())).alias("to"), F.col("bucket").alias("of"), "first")
+    # the first document of each bucket, handed to the bucket before it: within a segment, and from one segment, of which
+    # there are 259 at most, to the next
+    firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("first")).withColumn("seg", F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.floor(F.col("bucket") / per)))
+    last = firsts.groupBy("seg").agg(F.max("bucket").alias("last"))
+    over = Window.orderBy("seg")
+    last = last.select("seg", F.coalesce(F.lag("last").over(over), F.max("last").over(Window.partitionBy())).alias("before"))
+    firsts = firsts.withColumn("lag", F.lag("bucket").over(Window.partitionBy("seg").orderBy("bucket"))).join(F.broadcast(last.limit(cuts + 3)), "seg")
+    firsts = firsts.select(F.coalesce("lag", "before").alias("to"), F.col("bucket").alias("of"), "first")
     heads = docs.join(firsts, (docs["bucket"] == firsts["of"]) & docs["doc_id"].eqNullSafe(firsts["first"])).groupBy("to", "first").agg(F.min("text").alias("text"))
     ghosts = heads.select(F.col("first").alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
     order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "text")
