@@ -11,8 +11,8 @@ The training sample is bounded: at most about TRAIN_DOCS documents of each
 language, by a hash of the id; the model has languages x 2^16 cells.  All
 documents are predicted in one pass.
 
-Defined results: null texts and texts without a letter are ``und`` with score
-0; if nothing is labelled, all are.  A word of a script that no language was
+Defined results: null texts and texts without a letter (numerals and signs are
+none) are ``und`` with score 0; if nothing is labelled, all are.  A word of a script that no language was
 seen in counts for none; a text with only such words goes to the first
 language in order of training documents, then name, with score 0.  Ties go
 the same way.  Repeated rows each count.  Null ids are predicted, not learnt
@@ -21,8 +21,10 @@ from.  Only doc_id, text and lang are read, so names cannot clash.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, revive, small_batches, table
+from .common import mix64, revive, small_batches, table, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,7 +43,30 @@ BITS = 16
 SWITCH = 15.0
 SMOOTH = 0.5
 CACHE = 250_000
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters() -> str:
+    """A pattern of words: letters (categories L*), with marks (M*) after the first."""
+    kinds = {"L": [], "M": []}
+    for c in range(sys.maxunicode + 1):
+        if (k := unicodedata.category(chr(c))[0]) in kinds:
+            runs = kinds[k]
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    first, more = ("".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) for runs in kinds.values())
+    return f"[{first}][{first}{more}]*"
+
+
+LETTERS = re.compile(letters())
+#: As quick as can be, and the same for a text that holds neither marks nor letter-like numerals.
+PLAIN = re.compile(r"[^\W\d_]+")
+ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc", "Me", "No", "Nl"))
+
+
+def words_of(text: str) -> list[str]:
+    return (PLAIN if text.isascii() or ODD.isdisjoint(text) else LETTERS).findall(text)
 
 #: First code points of script ranges, and the scripts' names.
 SCRIPTS = [
@@ -163,7 +188,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if words := LETTERS.findall(text or ""):
+                if words := words_of(text or ""):
                     cells, _, script = grams(words)
                     t = total.setdefault(lang, np.zeros((1 << BITS) + len(NAMES), np.int64))
                     np.add.at(t, cells, 1)
@@ -172,7 +197,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "cell": pa.array(at, pa.int64()), "n": pa.array(t[at], pa.int64())})
 
-    rows = sample.mapInArrow(count, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    rows = sample.mapInArrow(tidy(count), "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     # at most languages x (2^16 + scripts) rows
     got = rows.toPandas()
     counts = np.zeros((len(langs), (1 << BITS) + len(NAMES)))
@@ -186,18 +211,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)  # languages x 2^16 floats
 
     def run(batches):
-        m, cache, matrix = revive(Model, shared.value), Numbered(), None
+        m, cache = revive(Model, shared.value), Numbered()
+        matrix = np.empty((1 << 14, len(m.langs)), np.float32)
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             preds, scores, found = [], [], []
             if len(cache) > CACHE:
-                cache, matrix = Numbered(), None
-            lists = [LETTERS.findall(t) if t else [] for t in texts]
+                cache = Numbered()
+            lists = [words_of(t) if t else [] for t in texts]
             before = len(cache)
             places = [np.fromiter(map(cache.__getitem__, w), np.int64, len(w)) for w in lists]
             if len(cache) > before and m.langs:
-                fresh = m.scores(list(cache)[before:])
-                matrix = fresh if matrix is None else np.vstack([matrix, fresh])
+                while len(matrix) < len(cache):
+                    matrix = np.vstack([matrix, np.empty_like(matrix)])
+                matrix[before : len(cache)] = m.scores(list(itertools.islice(cache, before, None)))
             for words, at in zip(lists, places, strict=True):
                 if not words or not m.langs:
                     preds.append("und"), scores.append(0.0), found.append([])
@@ -213,7 +240,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
