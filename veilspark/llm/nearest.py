@@ -8,11 +8,15 @@ precision on the original vectors; so are all others whose score is within
 their quantisation error of the k-th exact one, so that a block's k nearest are
 never cut.
 
-Centroids are fitted on a bounded sample (SAMPLE vectors, by a hash of the
-id); every vector is indexed.  Lists are cut into blocks of about BLOCK rows
-and a list's queries into blocks of about QUERIES, so no task grows with a
-list; equal vectors in a block count once, with as many ids as can be asked
-for, so that copies do not crowd out others.
+Centroids are fitted on a bounded sample (SAMPLE vectors for a list, by a hash
+of the id); every vector is indexed.  How many lists a query probes is measured:
+TRIALS queries, by a hash of the id, are compared with all vectors in one pass,
+and so many lists are probed as hold SHARE of what they found.  So vectors in
+clusters need few lists, and vectors without any, as in the test tables, most.
+Lists are cut into blocks of about BLOCK rows and a list's queries into blocks
+of about QUERIES, so no task grows with a list; equal vectors in a block count
+once, with as many ids as can be asked for, so that copies do not crowd out
+others.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those of another length than the most common;
@@ -33,18 +37,17 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, revive, table
+from .common import cut, revive, table, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 16_384
-MAX_LISTS = 1024
-#: Of the lists, the share that a query probes, and the least number.  Vectors without clusters, as in the
-#: test tables, need a large share: measured recall is 0.73 at 0.3, 0.86 at 0.5, 0.95 at 0.7, 0.99 at 0.85.
-PROBE_SHARE, PROBE_LEAST = 0.85, 8
+#: Vectors that the centroids are fitted on, for each list and at least; the most lists.
+SAMPLE, SAMPLE_LEAST, MAX_LISTS = 16, 16_384, 8192
+#: Queries that the number of probed lists is measured with, and the share of their nearest that must lie in them.
+TRIALS, SHARE = 128, 0.97
 SUBSPACES, CODES = 16, 256
 RERANK = 100
-BLOCK, QUERIES = 4096, 512
+BLOCK, QUERIES, AT_ONCE = 4096, 4096, 256
 #: More than rounding in single precision can move a score.
 ROUNDING = 1e-4
 
@@ -95,6 +98,43 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.abs(x).max(1, keepdims=True) / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True)).astype(np.float32)
 
 
+def rows_of(df: DataFrame, dim: int) -> np.ndarray:
+    """A bounded DataFrame's column v as a matrix."""
+    got = df.select("v").toArrow()["v"].combine_chunks()
+    return got.flatten().to_numpy().reshape(-1, dim)
+
+
+def probes_needed(coded: DataFrame, trials: DataFrame, index: Index, dim: int, k: int) -> int:
+    """The least number of lists, nearest first, that hold SHARE of the k nearest of the trial queries among all vectors of the index."""
+    got = trials.select("vec_id", "v").toArrow()
+    ids, q = got["vec_id"].to_numpy(), unit(got["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+    shared = coded.sparkSession.sparkContext.broadcast((ids, q))
+
+    def best(batches):
+        ids, q = shared.value
+        held = [(np.zeros(0, np.float32), np.zeros(0, np.int32))] * len(ids)
+        for b in batches:
+            if len(b):
+                x = unit(b.column(1).flatten().to_numpy().reshape(len(b), -1))
+                own, lists = b.column(0).to_numpy(), b.column(2).to_numpy()
+                for i, s in enumerate(q @ x.T):
+                    s[own == ids[i]] = -np.inf
+                    top = np.argpartition(-s, k)[:k] if len(s) > k else np.arange(len(s))
+                    score, at = np.concatenate([held[i][0], s[top]]), np.concatenate([held[i][1], lists[top]])
+                    order = np.argsort(-score, kind="stable")[:k]
+                    held[i] = (score[order], at[order])
+        rows = [(i, float(s), int(at)) for i, (score, lists) in enumerate(held) for s, at in zip(score, lists, strict=True) if np.isfinite(s)]
+        yield pa.RecordBatch.from_pydict({"q": pa.array([r[0] for r in rows], pa.int32()), "score": pa.array([r[1] for r in rows], pa.float64()), "list": pa.array([r[2] for r in rows], pa.int32())})
+
+    found = coded.select("vec_id", "v", "list").mapInArrow(tidy(best), "q int, score double, list int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))
+    found = found.withColumn("r", rank).where(F.col("r") <= k).select("q", "list").collect()  # TRIALS x k rows
+    shared.destroy()
+    place = np.argsort(index.near(q, len(index.coarse)), axis=1)
+    at = np.sort([place[r["q"], r["list"]] for r in found])
+    return int(at[min(len(at) - 1, int(np.ceil(SHARE * len(at))))]) + 1 if len(at) else 1
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -106,16 +146,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     dim, n = sizes[0]["d"], sizes[0]["n"]
     v = v.where(F.size("v") == dim)
     lists = max(1, min(MAX_LISTS, int(n**0.5 / 4)))
-    probes = min(lists, max(PROBE_LEAST, int(PROBE_SHARE * lists)))
-    take = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < min(1_000_000, SAMPLE * 1_000_000 // n + 1)).limit(2 * SAMPLE)
-    sample = np.array([r["v"] for r in take.select("v").collect()] or [r["v"] for r in v.select("v").limit(CODES).collect()])
-    shared = spark.sparkContext.broadcast(Index(unit(sample), lists).__dict__)  # under 2 MB: MAX_LISTS + CODES vectors
+    want = max(SAMPLE_LEAST, SAMPLE * lists)
+    take = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000_000)) < min(1_000_000_000, want * 1_000_000_000 // n + 1)).limit(2 * want)
+    sample = rows_of(take, dim)
+    if not len(sample):
+        sample = rows_of(v.limit(CODES), dim)
+    index = Index(unit(sample), lists)
+    shared = spark.sparkContext.broadcast(index.__dict__)  # MAX_LISTS + CODES vectors at most
 
     def assign(batches):
         index = revive(Index, shared.value)
         for b in batches:
             if len(b):
-                x = unit(np.array(b.column(1).to_pylist()))
+                x = unit(b.column(1).flatten().to_numpy().reshape(len(b), -1))
                 at = index.near(x, 1)[:, 0]
                 codes = [c.tobytes() for c in index.encode(x, at)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array(codes, pa.binary())], names=["vec_id", "v", "list", "code"])
@@ -124,12 +167,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         index = revive(Index, shared.value)
         for b in batches:
             if len(b):
-                at = index.near(unit(np.array(b.column(1).to_pylist())), probes)
+                at = index.near(unit(b.column(1).flatten().to_numpy().reshape(len(b), -1)), probes)
                 rows = np.repeat(np.arange(len(b)), at.shape[1])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(at.ravel(), pa.int32())], names=["query_id", "q", "list"])
 
-    coded = cut(v.mapInArrow(assign, "vec_id bigint, v array<double>, list int, code binary"), "ann-index")
-    asked = cut(v.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(probe, "query_id bigint, q array<double>, list int"), "ann-probes")
+    coded = cut(v.mapInArrow(tidy(assign), "vec_id bigint, v array<double>, list int, code binary"), "ann-index")
+    queries = v.where(is_query).dropDuplicates(["vec_id"])
+    probes = probes_needed(coded, queries.orderBy(F.xxhash64("vec_id")).limit(TRIALS), index, dim, k)
+    asked = cut(queries.mapInArrow(tidy(probe), "query_id bigint, q array<double>, list int"), "ann-probes")
     # a row for each list, of which there are MAX_LISTS at most
     parts = coded.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vp")).join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qp")), "list")
     parts = F.broadcast(parts.limit(MAX_LISTS))
@@ -149,7 +194,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         codes = np.frombuffer(b"".join(left["code"].to_numpy()), np.uint8).reshape(len(left), -1)[first]
         q, qids = np.vstack(right["q"].to_numpy()), right["query_id"].to_numpy()
         near, index = unit(q), revive(Index, shared.value)
-        scores = (near @ index.coarse[key[0]])[:, None] + sum(t[:, codes[:, m]] for m, t in enumerate(index.tables(near)))
         # a unit query moves a score by no more than the length of what the code leaves of the vector
         coded = np.hstack([s[codes[:, m]] for m, s in enumerate(index.subs)])
         slack = np.linalg.norm(unit(x) - index.coarse[key[0]] - coded, axis=1) + ROUNDING
@@ -170,11 +214,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             return got
 
         for i in range(len(q)):
-            top = np.argpartition(-scores[i], RERANK)[:RERANK] if len(x) > RERANK else np.arange(len(x))
+            if i % AT_ONCE == 0:
+                some = near[i : i + AT_ONCE]
+                scores = (some @ index.coarse[key[0]])[:, None] + sum(t[:, codes[:, m]] for m, t in enumerate(index.tables(some)))
+            s = scores[i % AT_ONCE]
+            top = np.argpartition(-s, RERANK)[:RERANK] if len(x) > RERANK else np.arange(len(x))
             got = ranked(i, top)
             if len(x) > RERANK:
                 least = got[k - 1][0] if len(got) >= k else -np.inf
-                near_enough = scores[i] + slack >= least
+                near_enough = s + slack >= least
                 near_enough[top] = False
                 more = np.flatnonzero(near_enough)
                 more = more[x[more] @ q[i] >= (least - ROUNDING) * norms[more] * qnorms[i]]
