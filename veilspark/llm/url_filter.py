@@ -23,8 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (action, canonical URL prefix) of the contract.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Listed spam hosts, blocked where no rule fits.
-LISTED = ["spam-farm.example.org/", "cheap-pills.example.com/"]
+#: Listed spam hosts, blocked where no rule fits.  filter_urls() also takes a list as a table, of any length.
+LISTED = ["spam-farm.example.org/", "cheap-pills.example.com/", "casino-win.example.com/", "free-bets.example.com/", "ads-track.example.com/", "adult-x.example.net/"]
 
 #: A block is eight 64-bit words; a key sets one bit in each.
 WORDS = 8
@@ -137,7 +137,8 @@ with u as (
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path, row_number() over () as n
   from pages),
 e(key, action, rank) as (values ('com/en/', 'block', 0), ('example.com/en/7', 'allow', 0), ('net/de/', 'block', 0),
-  ('example.net/de/8', 'block', 0), ('org/es/', 'block', 0), ('spam-farm.example.org/', 'block', 1), ('cheap-pills.example.com/', 'block', 1)),
+  ('example.net/de/8', 'block', 0), ('org/es/', 'block', 0), ('spam-farm.example.org/', 'block', 1), ('cheap-pills.example.com/', 'block', 1),
+  ('casino-win.example.com/', 'block', 1), ('free-bets.example.com/', 'block', 1), ('ads-track.example.com/', 'block', 1), ('adult-x.example.net/', 'block', 1)),
 s as (select *, left(key, strpos(key, '/') - 1) as h, substr(key, strpos(key, '/')) as p from e),
 m as (
   select u.*, s.key, s.action, s.rank,
