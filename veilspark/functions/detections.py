@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the detectors.
@@ -40,12 +40,10 @@ def ctc(steps: Column) -> Column:
     return F.struct(F.transform(kept, lambda b: b["cls"]).alias("tokens"), F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(F.lit(0.0)).alias("score"))
 
 
-def yolo_box(cx: Column, cy: Column, w: Column, h: Column, fx: Column, fy: Column) -> Column:
-    """Centre and size to whole left, top, width, height; a left or top below 0 is moved, the size stays."""
-    return F.struct(
-        (F.greatest(cx - w / 2, F.lit(0.0)) * fx).cast("int").alias("x"), (F.greatest(cy - h / 2, F.lit(0.0)) * fy).cast("int").alias("y"),
-        (w * fx).cast("int").alias("w"), (h * fy).cast("int").alias("h"),
-    )
+def yolo_box(cx: Column, cy: Column, w: Column, h: Column, fx: Column, fy: Column, pad_x: Column | None = None, pad_y: Column | None = None) -> Column:
+    """Centre and size, less the letterbox's padding, to whole left, top, width, height; a left or top below 0 is moved, the size stays."""
+    left, top = cx - w / 2 - (F.lit(0.0) if pad_x is None else pad_x), cy - h / 2 - (F.lit(0.0) if pad_y is None else pad_y)
+    return F.struct((F.greatest(left, F.lit(0.0)) * fx).cast("int").alias("x"), (F.greatest(top, F.lit(0.0)) * fy).cast("int").alias("y"), (w * fx).cast("int").alias("w"), (h * fy).cast("int").alias("h"))
 
 
 def level_box(column: Column, row: Column, dx: Column, dy: Column, lw: Column, lh: Column, stride: Column) -> Column:
@@ -59,12 +57,22 @@ def letterbox(width: Column, height: Column, to_w: int, to_h: int) -> Column:
     return F.struct(r.alias("ratio"), F.bround(width * r).cast("int").alias("w"), F.bround(height * r).cast("int").alias("h"))
 
 
-def det_size(width: Column, height: Column) -> Column:
-    """The text detector's input: short side of DET_SIDE at least, both multiples of DET_STEP."""
-    short = F.least(width, height)
-    r = F.when(short < DET_SIDE, DET_SIDE / short).otherwise(F.lit(1.0))
-    side = lambda v: F.greatest(F.lit(DET_STEP), (F.bround((v * r).cast("int") / DET_STEP) * DET_STEP).cast("int"))
-    return F.struct(side(width).alias("w"), side(height).alias("h"))
+def det_size(width: Column, height: Column, limit: str = "min") -> Column:
+    """The text detector's input in multiples of DET_STEP: 'min' enlarges a short side to DET_SIDE, 'max' reduces a long one to a bound by its length."""
+    short, long = F.least(width, height), F.greatest(width, height)
+    side = F.when(long < 960, 960).when(long < 1500, 1500).otherwise(2000)
+    r = F.when(short < DET_SIDE, DET_SIDE / short) if limit == "min" else F.when(long > side, side / long)
+    to = lambda v: F.greatest(F.lit(DET_STEP), (F.bround(v * r.otherwise(F.lit(1.0)) / DET_STEP) * DET_STEP).cast("int"))
+    return F.struct(to(width).alias("w"), to(height).alias("h"))
+
+
+def batch_ratio(by: list[str], order: str, width: Column, height: Column) -> Column:
+    """The largest width to height among the REC_BATCH crops of a frame that are recognised together, REC_WIDTH / REC_HEIGHT at least.
+
+    order numbers the crops that exist, from 0.
+    """
+    chunk = Window.partitionBy(*by, F.floor(F.col(order) / REC_BATCH))
+    return F.greatest(F.lit(REC_WIDTH / REC_HEIGHT), F.max(width / height).over(chunk))
 
 
 def rec_width(width: Column, height: Column, ratio: Column) -> Column:
@@ -72,6 +80,12 @@ def rec_width(width: Column, height: Column, ratio: Column) -> Column:
     return F.least(F.floor(REC_HEIGHT * ratio).cast("int"), F.ceil(REC_HEIGHT * width / height).cast("int"))
 
 
+def rescaled(p: Column, from_w: int, from_h: int, to_w: int, to_h: int) -> Column:
+    """Points of a map of one size in a frame of another, whole, up to and with its far edges."""
+    to = lambda v, a, b: F.greatest(F.lit(0), F.least(F.lit(b), F.bround(v / float(a) * b).cast("int")))
+    return F.transform(p, lambda v: F.struct(to(v["x"], from_w, to_w).alias("x"), to(v["y"], from_h, to_h).alias("y")))
+
+
 def padded_box(box: Column, width: Column, height: Column, pad: int = 2) -> Column:
     out = F.struct(F.greatest(F.lit(0), box["x1"] - pad).alias("x1"), F.greatest(F.lit(0), box["y1"] - pad).alias("y1"), F.least(width, box["x2"] + pad).alias("x2"), F.least(height, box["y2"] + pad).alias("y2"))
     return F.when((out["x2"] > out["x1"]) & (out["y2"] > out["y1"]), out)

@@ -32,23 +32,22 @@ def centre(p: Column, axis: str) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, v: a + v[axis]) / F.size(p)
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value evaluated once: inside a lambda a column stands for its whole expression each time."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def max_uniform_scale(p: Column, width: Column, height: Column) -> Column:
     """The largest factor about the vertex mean that keeps all vertices inside; infinite for a single point."""
 
-    def limit(axis: str, size: Column) -> Column:
-        c = centre(p, axis)
-        of = lambda v: F.when(v[axis] > c, (size - 1 - c) / (v[axis] - c)).when(v[axis] < c, c / (c - v[axis])).otherwise(F.lit(float("inf")))
-        return F.array_min(F.transform(p, of))
+    def limits(t):
+        of = lambda v, axis, size: F.when(v[axis] > t[axis], (size - 1 - t[axis]) / (v[axis] - t[axis])).when(v[axis] < t[axis], t[axis] / (t[axis] - v[axis])).otherwise(F.lit(float("inf")))
+        return F.greatest(F.lit(0.0), F.array_min(F.transform(t["p"], lambda v: F.least(of(v, "x", width), of(v, "y", height)))))
 
-    free = F.greatest(F.lit(0.0), F.least(limit("x", width), limit("y", height)))
+    free = let(F.struct(p.alias("p"), centre(p, "x").alias("x"), centre(p, "y").alias("y")), limits)
     return F.when((width <= 0) | (height <= 0) | (F.size(p) < 3), F.lit(1.0)).otherwise(free)
 
 
-def let(value: Column, of) -> Column:
-    """of(value), with value evaluated once: inside a lambda a column stands for its whole expression each time."""
-    return F.element_at(F.transform(F.array(value), of), 1)
-
-
 def scale(p: Column, factor: Column) -> Column:
     """About the vertex mean; coordinates are cut towards zero."""
 
@@ -68,10 +67,6 @@ def clip(p: Column, width: Column, height: Column) -> Column:
     return F.transform(p, lambda v: point(F.greatest(F.lit(0), F.least(v["x"], width - 1)), F.greatest(F.lit(0), F.least(v["y"], height - 1))))
 
 
-def _edges(p: Column) -> Column:
-    return F.arrays_zip(p.alias("a"), F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1)).alias("b"))
-
-
 def _fold(p: Column, of) -> Column:
     n = F.size(p)
     at = lambda i: F.element_at(p, (i % n + 1).cast("int"))

@@ -25,10 +25,10 @@ def fixed_regions(frames: DataFrame, specs: list[str]) -> DataFrame:
     """
     from ..plans.specs import polygon_of
 
-    polygons = [polygon_of(x) for x in specs]
-    rows = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(f"region_{n}").alias("label"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in p]).alias("polygon")) for n, p in enumerate(polygons)])
+    polygons = [polygon_of(frames.sparkSession, x) for x in specs]
+    rows = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(f"region_{n}").alias("label"), F.lit(1.0).alias("score"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in p]).alias("polygon")) for n, p in enumerate(polygons)])
     if not specs:
-        return frames.select("*", F.lit(0).alias("ord"), F.lit("").alias("label"), F.array(g.point(F.lit(0), F.lit(0))).alias("polygon")).limit(0)
+        return frames.select("*", F.lit(0).alias("ord"), F.lit("").alias("label"), F.lit(1.0).alias("score"), F.array(g.point(F.lit(0), F.lit(0))).alias("polygon")).limit(0)
     out = frames.select("*", F.explode(rows).alias("r")).select(*frames.columns, "r.*")
     return out.where(g.fully_inside(F.col("polygon"), F.col("width"), F.col("height")))
 
@@ -54,12 +54,39 @@ def ordered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("regions"))
 
 
+def sequenced(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The rows, each group's in one partition and in order there: what ordered() says, without holding a group."""
+    return rows.repartition(*by).sortWithinPartitions(*by, *order)
+
+
+def placed(rows: DataFrame, results: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the results of those that have any, by their places; '' and 0 for the rest, which stay where they are."""
+    out = rows.join(results, by, "left")
+    return out.withColumns({"text": F.coalesce("text", F.lit("")), "rec_score": F.coalesce("rec_score", F.lit(0.0))})
+
+
+def zipped(left: Column, right: Column, strict: bool = True) -> Column:
+    """Elements of two arrays by place, as array<struct<a, b>>: of equal lengths (else an error), or as far as the shorter goes."""
+    n = F.least(F.size(left), F.size(right))
+    pairs = F.transform(F.slice(left, F.lit(1), n), lambda x, i: F.struct(x.alias("a"), F.get(right, i).alias("b")))
+    return F.when(F.size(left) == F.size(right), pairs).otherwise(F.raise_error(F.lit("arrays of different lengths"))) if strict else pairs
+
+
 def frame_at(frames: DataFrame, index: int | None = None, seconds: float | None = None, fps: float = 25.0) -> DataFrame:
     """The frame of each medium at a time or, if none is given, an index; before the start counts as the start."""
     at = int(max(0.0, seconds) * fps) if seconds is not None else max(0, index or 0)
     return frames.where(F.col("frame_index") == at)
 
 
+def common_path(folders: list[str]) -> str:
+    """The longest path of whole components that some folders share."""
+    parts = [f.split("/") for f in folders]
+    n = next((i for i, same in enumerate(zip(*parts, strict=False)) if len(set(same)) > 1), min(map(len, parts), default=0))
+    if not n:
+        raise ValueError(f"no common root: {folders}")
+    return "/".join(parts[0][:n]) or "/"
+
+
 def common_root(paths: DataFrame, by: str, path: str) -> DataFrame:
     """The longest path of whole components that a group's folders share: those of its first and last path in order."""
     parts = lambda p: F.split(p, "/")

@@ -1,34 +1,28 @@
-"""Region and band texts, parsed on the driver before a plan is built."""
+"""Region and band texts, parsed on the driver before a plan is built, by the same expressions as columns of them."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-def polygon_of(spec: str) -> list[tuple[int, int]]:
-    """The corners that 'x1,y1,x2,y2' or 'x,y;x,y;x,y...' names.
-
-    A rectangle's right and bottom are exclusive, so its corners are one less.
-    """
-    text = spec.strip()
-    try:
-        if ";" in text:
-            points = [tuple(map(int, pair.split(","))) for pair in text.split(";") if pair.strip()]
-            if len(points) >= 3 and all(len(p) == 2 for p in points):
-                return points
-        else:
-            x1, y1, x2, y2 = (int(v) for v in text.split(",") if v.strip())
-            return [(x1, y1), (x2 - 1, y1), (x2 - 1, y2 - 1), (x1, y2 - 1)]
-    except ValueError:
-        pass
-    raise ValueError(f"not a region: {spec!r}")
-
-
-def band_of(spec: str) -> tuple[str, float]:
-    """'side:ratio' with a ratio between 0 and 1."""
-    side, colon, ratio = spec.partition(":")
-    side = side.strip().lower()
-    try:
-        if colon and side in ("top", "bottom", "left", "right") and 0 < float(ratio) < 1:
-            return side, float(ratio)
-    except ValueError:
-        pass
-    raise ValueError(f"not a band: {spec!r}")
+from ..functions import specs as s
+
+
+def value_of(spark: SparkSession, column: Column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def polygon_of(spark: SparkSession, spec: str) -> list[tuple[int, int]]:
+    """The corners that 'x1,y1,x2,y2' or 'x,y;x,y;x,y...' names; ValueError for any other text."""
+    found = value_of(spark, s.parse_region(F.lit(spec)))
+    if found is None:
+        raise ValueError(f"not a region: {spec!r}")
+    return [(p["x"], p["y"]) for p in found]
+
+
+def band_of(spark: SparkSession, spec: str) -> tuple[str, float]:
+    """'side:ratio' with a ratio between 0 and 1; ValueError for any other text."""
+    found = value_of(spark, s.parse_band(F.lit(spec)))
+    if found is None:
+        raise ValueError(f"not a band: {spec!r}")
+    return found["name"], found["ratio"]
