@@ -1,69 +1,58 @@
-"""Image files as frames, and frames as PNG files."""
+"""Image files as frames, and frames as image files."""
 
 from __future__ import annotations
 
-import os
-import struct
-import sys
-import zlib
-
-import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import specs as s
-from ..operators.raster import IMAGE, pixels
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..operators.raster import IMAGE, pixels, small_batches
+from . import codecs, files
 
 
-def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, image of all image files under a folder (or one file); one that can't be decoded raises when it is read."""
-    files = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", recursive).load(path)
-    return files.where(s.media_kind(F.col("image.origin")) == "image").select(F.col("image.origin").alias("path"), "image")
+def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
+    """path, image of all image files under folders, or of files; one that can't be decoded raises when it is read."""
+    found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", recursive).load(paths)
+    path = F.regexp_replace("image.origin", "^file:/+", "/")
+    found = found.where(s.file_type(path) == "image").select(path.alias("path"), "image")
+    broken = F.raise_error(F.concat(F.lit("cannot decode image: "), F.col("path"))).cast(IMAGE)
+    return found.withColumn("image", F.when(F.col("image.height") > 0, F.col("image")).otherwise(broken))
 
 
 def stream_images(spark: SparkSession, path: str) -> DataFrame:
     """The same of a folder that grows, as a stream."""
-    return spark.readStream.format("image").schema(f"image {IMAGE}").load(path).select(F.col("image.origin").alias("path"), "image")
-
-
-def png(bgr: np.ndarray) -> bytes:
-    rgb = np.ascontiguousarray(bgr[:, :, ::-1])
-    rows = np.concatenate([np.zeros((rgb.shape[0], 1), np.uint8), rgb.reshape(rgb.shape[0], -1)], axis=1)
+    found = spark.readStream.format("image").schema(f"image {IMAGE}").load(path)
+    return found.select(F.regexp_replace("image.origin", "^file:/+", "/").alias("path"), "image")
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    head = struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+def check_encoders(paths: DataFrame) -> None:
+    """ValueError if an output's extension has no encoder, before any frame is read."""
+    known = F.regexp_extract("out_path", r"[^/](\.[^./]+)$", 1)
+    bad = paths.where(~F.lower(known).isin(list(codecs.ENCODERS))).limit(1).collect()
+    if bad:
+        raise ValueError(f"no encoder for {bad[0]['out_path']}; there are those of {', '.join(codecs.ENCODERS)}")
 
 
 def encoded(frames: DataFrame) -> DataFrame:
-    """out_path and content (PNG) of frames(out_path, image); other extensions raise ValueError, as no encoder is present."""
+    """out_path and content, in the format of its extension, of frames(out_path, image)."""
 
     def run(batches):
         for b in batches:
-            for path in b["out_path"]:
-                if not path.lower().endswith(".png"):
-                    raise ValueError(f"only PNG can be written: {path}")
-            yield b.assign(content=[png(pixels(x)) for x in b["image"]])[["out_path", "content"]]
+            content = [codecs.ENCODERS[codecs.suffix(p)](pixels(x)) for p, x in zip(b["out_path"], b["image"], strict=True)]
+            yield b[["out_path"]].assign(content=content)
 
     return frames.select("out_path", "image").mapInPandas(run, "out_path string, content binary")
 
 
-def write_images(frames: DataFrame) -> int:
-    """Writes frames(out_path, image) to a file system that all executors share; returns how many."""
+def write_images(frames: DataFrame) -> DataFrame:
+    """out_path of each file, written when this is evaluated, of frames(out_path, image)."""
+    small_batches(frames.sparkSession)
 
     def run(batches):
         for b in batches:
-            for path, content in zip(b["out_path"], b["content"], strict=True):
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = f"{path}.part"
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, path)  # a task that runs again leaves whole files
+            for path, image in zip(b["out_path"], b["image"], strict=True):
+                data = codecs.ENCODERS[codecs.suffix(path)](pixels(image))
+                files.write_file(path, lambda f: f.write(data))  # noqa: B023
             yield b[["out_path"]]
 
-    return encoded(frames).mapInPandas(run, "out_path string").count()
+    return frames.select("out_path", "image").mapInPandas(run, "out_path string")
