@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import detections as d
 from ..functions import geometry as g
 from ..functions import specs as s
+from ..operators import faces, kernels, raster, text
 from ..operators import regions as r
+from .. import models
 from . import inputs as i
 
 QUERIES: dict = {}
@@ -69,15 +71,16 @@ def q05_format_polygon(spark, sf_dir):
 @query(f"""with {BOX}, l as (select *, abs(w) >= abs(h - 40) as flat, round_even((y + y + h - 40) / 2.0::double, 0)::int as py, round_even((x + x + w) / 2.0::double, 0)::int as px from box),
 n as (select *, case when flat then case when py <= 240 then 'top' else 'bottom' end else case when px <= 320 then 'left' else 'right' end end as name from l),
 p as (select *, case name when 'top' then py when 'bottom' then 480 - py when 'left' then px else 640 - px end as pos, case when flat then 480 else 640 end as dim from n)
-select id, x, y, w, h, case when pos > 0 and pos < dim then name end as name, case when pos > 0 and pos < dim then pos::double end as pos from p""")
+select id, x, y, w, h, case when pos > 0 and pos < dim then name end as name, case when pos > 0 and pos < dim then pos::double end as pos,
+ case when pos > 0 and pos < dim then name || ':' || regexp_replace(printf('%.4f', pos / dim::double), '\\.?0+$', '') end as spec from p""")
 def q06_band_from_line(spark, sf_dir):
     b = i.boxes(spark, sf_dir).withColumn("r", s.band_from_line(c("x"), c("y"), c("x") + c("w"), c("y") + c("h") - 40, F.lit(640), F.lit(480)))
-    return key(b, "r.name", c("r.pos").cast("double").alias("pos"))
+    return key(b, "r.name", c("r.pos").cast("double").alias("pos"), "r.spec")
 
 
-@query(f"with {BOX} select id, x, y, w, h, regexp_replace(lpad(((w * 20000 + 640 * 1) // 1280 // 10000)::varchar, 1, '0') || '.' || lpad((((w * 20000 + 640) // 1280) % 10000)::varchar, 4, '0'), '\\.?0+$', '') as ratio from box")
+@query(f"with {BOX} select id, x, y, w, h, regexp_replace(printf('%.4f', w / 640::double), '\\.?0+$', '') as ratio, regexp_replace(printf('%.4f', x / 1920::double), '\\.?0+$', '') as wide from box")
 def q07_format_ratio(spark, sf_dir):
-    return key(i.boxes(spark, sf_dir), s.format_ratio(c("w"), F.lit(640)).alias("ratio"))
+    return key(i.boxes(spark, sf_dir), s.format_ratio(c("w"), F.lit(640)).alias("ratio"), s.format_ratio(c("x"), F.lit(1920)).alias("wide"))
 
 
 @query(f"with {BOX} select id, x, y, w, h, x as x1, y as y1, x + w as x2, y + h as y2 from box")
@@ -124,7 +127,7 @@ def q13_clip(spark, sf_dir):
 
 @query(f"with f as ({i.FRAME}) select media_id, frame_index, greatest(1, round_even(height * 0.15::double, 0)::int) as top_end, width - greatest(1, round_even(width * 0.08::double, 0)::int) as right_start from f")
 def q14_band_ranges(spark, sf_dir):
-    return i.frames(spark, sf_dir).select("media_id", "frame_index", s.band_size(c("height"), F.lit(0.15)).alias("top_end"), (c("width") - s.band_size(c("width"), F.lit(0.08))).alias("right_start"))
+    return i.frames(spark, sf_dir).select("media_id", "frame_index", s.band_range(F.lit("top"), "y", c("height"), F.lit(0.15))["stop"].alias("top_end"), s.band_range(F.lit("right"), "x", c("width"), F.lit(0.08))["first"].alias("right_start"))
 
 
 BANDS = [("top", 0.15), ("bottom", 0.12), ("left", 0.1)]
@@ -142,14 +145,15 @@ def q16_filter_by_bands(spark, sf_dir):
     return r.in_bands(i.boxes(spark, sf_dir), BANDS, F.lit(640), F.lit(480)).select("frame", "id", "x", "y", "w", "h")
 
 
-SPECS = ["0,90,200,100", "19,993,480,1079", "0,972;1919,972;1919,1079;0,1079", "0,972;1920,972;1920,1080;0,1080"]
+#: The last is the documented example of a 1080p overlay; its points on the far edges lie outside the frame.
+SPECS = ["12,30,150,64", "7,640,333,711", "40,500;1279,500;1279,719;40,719", "0,972;1920,972;1920,1080;0,1080"]
 
 
-@query(f"""with f as ({i.FRAME}), s(ord, label, x1, y1, x2, y2) as (values (0, 'region_0', 0, 90, 200, 100), (1, 'region_1', 19, 993, 480, 1079), (2, 'region_2', 0, 972, 1920, 1080), (3, 'region_3', 0, 972, 1921, 1081))
-select media_id, frame_index, ord::int as ord, label, x1::int as x1, y1::int as y1, x2::int as x2, y2::int as y2 from f, s where x2 <= width and y2 <= height""")
+@query(f"""with f as ({i.FRAME}), s(ord, label, x1, y1, x2, y2) as (values (0, 'region_0', 12, 30, 150, 64), (1, 'region_1', 7, 640, 333, 711), (2, 'region_2', 40, 500, 1280, 720), (3, 'region_3', 0, 972, 1921, 1081))
+select media_id, frame_index, ord::int as ord, label, 1.0::double as score, x1::int as x1, y1::int as y1, x2::int as x2, y2::int as y2 from f, s where x2 <= width and y2 <= height""")
 def q17_fixed_regions(spark, sf_dir):
     out = r.fixed_regions(i.frames(spark, sf_dir), SPECS)
-    return out.withColumn("b", g.bounding_box(c("polygon"))).select("media_id", "frame_index", "ord", "label", "b.*")
+    return out.withColumn("b", g.bounding_box(c("polygon"))).select("media_id", "frame_index", "ord", "label", "score", "b.*")
 
 
 PATTERNS = [r"[\w.]+@[\w.]+", r"\d{3}-\d{4}", r"\d+\.\d+\.\d+\.\d+"]
@@ -228,9 +232,10 @@ def q26_multiscale_decode(spark, sf_dir):
 CTC = f"{STEP}, prev as (select *, lag(k) over (partition by vec_id order by t) as before from best), kept as (select * from prev where k <> 0 and (before is null or before <> k))"
 
 
-@query(f"with {CTC} select e.vec_id, coalesce((select string_agg(k::varchar, '' order by t) from kept where kept.vec_id = e.vec_id), '') as text from embeddings e")
+@query(f"with {CTC} select e.vec_id, coalesce((select string_agg(['blank', 'a', 'é', ' '][k + 1], '' order by t) from kept where kept.vec_id = e.vec_id), '') as text from embeddings e")
 def q27_ctc_text(spark, sf_dir):
-    return i.tensors(spark, sf_dir).select("vec_id", F.array_join(d.ctc(c("steps"))["tokens"].cast("array<string>"), "").alias("text"))
+    letters = s.characters(F.lit("a\r\né\n"))
+    return i.tensors(spark, sf_dir).select("vec_id", F.array_join(F.transform(d.ctc(c("steps"))["tokens"], lambda k: F.get(letters, k)), "").alias("text"))
 
 
 @query(f"with {CTC} select e.vec_id, round(coalesce((select avg(m::double) from kept where kept.vec_id = e.vec_id), 0), 6) as score from embeddings e")
@@ -243,15 +248,21 @@ def q29_letterbox(spark, sf_dir):
     return i.frames(spark, sf_dir).withColumn("b", d.letterbox(c("width"), c("height"), 640, 640)).select("media_id", "frame_index", "b.w", "b.h")
 
 
-@query(f"with f as (select *, case when least(width, height) < 736 then 736 / least(width, height)::double else 1.0::double end as r from ({i.FRAME})) select media_id, frame_index, greatest(32, round_even(trunc(width * r) / 32, 0)::int * 32) as w, greatest(32, round_even(trunc(height * r) / 32, 0)::int * 32) as h from f")
+@query(f"""with f as (select *, case when least(width, height) < 736 then 736 / least(width, height)::double else 1.0::double end as r,
+ case when greatest(width, height) < 960 then 960 when greatest(width, height) < 1500 then 1500 else 2000 end as side from ({i.FRAME}))
+select media_id, frame_index, greatest(32, round_even(width * r / 32, 0)::int * 32) as w, greatest(32, round_even(height * r / 32, 0)::int * 32) as h,
+ greatest(32, round_even(width * least(1, side / greatest(width, height)::double) / 32, 0)::int * 32) as max_w from f""")
 def q30_det_size(spark, sf_dir):
-    return i.frames(spark, sf_dir).withColumn("b", d.det_size(c("width"), c("height"))).select("media_id", "frame_index", "b.w", "b.h")
+    f = i.frames(spark, sf_dir).withColumn("b", d.det_size(c("width"), c("height"))).withColumn("m", d.det_size(c("width"), c("height"), "max"))
+    return f.select("media_id", "frame_index", "b.w", "b.h", c("m.w").alias("max_w"))
 
 
-@query(f"with {BOX}, r as (select *, greatest(320 / 48::double, max(w / h::double) over (partition by frame)) as m from box) select id, x, y, w, h, least(floor(48 * m)::int, ceil(48 * w / h::double)::int) as width from r")
+@query(f"""with {BOX}, n as (select *, row_number() over (partition by frame order by id, x, y, w, h) - 1 as ord from box),
+r as (select *, greatest(320 / 48::double, max(w / h::double) over (partition by frame, ord // 8)) as m from n) select id, x, y, w, h, least(floor(48 * m)::int, ceil(48 * w / h::double)::int) as width, floor(48 * m)::int as padded from r""")
 def q31_rec_width(spark, sf_dir):
-    b = i.boxes(spark, sf_dir).withColumn("m", F.expr("greatest(320 / 48D, max(w / double(h)) over (partition by frame))"))
-    return key(b, d.rec_width(c("w"), c("h"), c("m")).alias("width"))
+    b = i.boxes(spark, sf_dir).withColumn("ord", F.expr("row_number() over (partition by frame order by id, x, y, w, h) - 1"))
+    b = b.withColumn("m", d.batch_ratio(["frame"], "ord", c("w"), c("h")))
+    return key(b, d.rec_width(c("w"), c("h"), c("m")).alias("width"), F.floor(c("m") * 48).cast("int").alias("padded"))
 
 
 @query(f"with {BOX} select id, x, y, w, h, greatest(0, x - 2) as x1, greatest(0, y - 2) as y1, least(640, x + w + 2) as x2, least(480, y + h + 2) as y2 from box")
@@ -271,15 +282,21 @@ def paths(spark, sf_dir):
     return i.view(spark, sf_dir, PATHS[6:-1], "pages")
 
 
-@query(f"with {PATHS} select page_id, path, case when page_id % 5 < 2 then 'image' when page_id % 5 < 4 then 'video' end as kind from p")
+@query(f"""with {PATHS} select page_id, path, case when page_id % 11 = 0 then 'notfound' when page_id % 5 < 2 then 'image' when page_id % 5 = 2 then 'video' when page_id % 5 = 4 then 'text/plain' end as kind,
+ case when page_id % 5 < 2 then 'image' else 'video' end as source, case when page_id % 5 < 2 then 'image' when page_id % 5 = 2 then 'video' when page_id % 5 = 4 then 'text/plain' end as packed from p""")
 def q39_media_kind(spark, sf_dir):
-    return paths(spark, sf_dir).select("page_id", "path", s.media_kind(c("path")).alias("kind"))
+    p = paths(spark, sf_dir)
+    return p.select("page_id", "path", s.file_type(c("path"), c("page_id") % 11 != 0).alias("kind"), s.source_type(c("path"), F.lit(False)).alias("source"), s.file_type(F.concat("path", F.lit(".gz"))).alias("packed"))
 
 
-@query(f"with {PATHS} select path from p where page_id % 5 < 2 and path not like '/in/cam3/%'")
+@query(f"with {PATHS} select path, row_number() over (order by string_split(path, '/')) as place from (select distinct path from p where page_id % 5 < 2 and path not like '/in/cam3/%')")
 def q40_collect_files(spark, sf_dir):
     p = paths(spark, sf_dir)
-    return p.where((s.media_kind(c("path")) == "image") & ~c("path").startswith("/in/cam3/")).select("path").distinct()
+    p = p.where((s.file_type(c("path")) == "image") & ~c("path").startswith("/in/cam3/")).select("path").distinct()
+    # places by folder: one window for each, after the numbers of files in the folders before it
+    p = p.withColumn("folder", F.regexp_extract("path", "^(.*)/", 1))
+    before = p.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.expr("coalesce(sum(n) over (order by split(folder, '/') rows between unbounded preceding and 1 preceding), 0)"))
+    return p.join(before, "folder").select("path", (F.expr("row_number() over (partition by folder order by split(path, '/'))") + c("before")).cast("bigint").alias("place"))
 
 
 @query(f"with {PATHS} select path, '/out' || substr(path, 4) as output from p")
@@ -292,11 +309,17 @@ def q42_common_root(spark, sf_dir):
     return r.common_root(paths(spark, sf_dir).withColumn("cam", c("page_id") % 7), "cam", "path")
 
 
-@query(r"""select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) in ('rtsp', 'rtmp', 'http', 'https') as is_stream,
- regexp_replace(replace(url, '://', '://user:secret@'), '^(\w+://[^:/@]+):[^@/]+@', '\1:***@') as safe from pages""")
+#: Logins of a URL, by page_id, as they are given and as they may be shown.
+LOGINS = [("user:secret@", "user:***@"), ("user:p@ss:w@", "user:***@"), (":secret@", ""), ("user@", "user@"), ("", "")]
+
+
+@query("""with u as (select page_id, url, case when page_id % 2 = 0 then 'RTSP' else 'https' end as s, ['""" + "', '".join(a for a, _ in LOGINS) + """'][page_id % 5 + 1] as given, ['""" + "', '".join(b for _, b in LOGINS) + """'][page_id % 5 + 1] as shown from pages)
+select page_id, lower(s) as scheme, true as is_stream, page_id % 2 = 0 as is_rtsp,
+ case when page_id % 5 < 3 then lower(s) || '://' || shown || 'cam.example.org:554/a@b?c:d@e' else s || '://' || shown || 'Cam.Example.org:554/a@b?c:d@e' end as safe from u""")
 def q43_url_helpers(spark, sf_dir):
-    p = i.read(spark, sf_dir, "pages")
-    return p.select("page_id", s.scheme(c("url")).alias("scheme"), s.is_stream(c("url")).alias("is_stream"), s.without_password(F.replace(c("url"), F.lit("://"), F.lit("://user:secret@"))).alias("safe"))
+    given = F.get(F.array(*[F.lit(a) for a, _ in LOGINS]), (c("page_id") % 5).cast("int"))
+    p = i.read(spark, sf_dir, "pages").withColumn("u", F.concat(F.when(c("page_id") % 2 == 0, F.lit("RTSP")).otherwise(F.lit("https")), F.lit("://"), given, F.lit("Cam.Example.org:554/a@b?c:d@e")))
+    return p.select("page_id", s.scheme(c("u")).alias("scheme"), s.is_stream(c("u")).alias("is_stream"), s.is_rtsp(c("u")).alias("is_rtsp"), s.without_password(c("u")).alias("safe"))
 
 
 STAGED = f"{BOX}, staged as (select frame, 0 as stage, id, x, y, w, h, score from box where id % 3 = 0 union all select frame, 1, id, x, y, w, h, 1.0 from box where id % 3 = 1 union all select frame, 2, id, x, y, w, h, score from box where id % 3 = 2)"
@@ -323,10 +346,10 @@ def q46_region_counts(spark, sf_dir):
     return staged(spark, sf_dir).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("frame").alias("frames"))
 
 
-@query(f"with f as ({i.CAMERA}) select media_id, count(*) as frames, string_agg(event_id::varchar, ',' order by frame_index) as sequence from f group by media_id")
+@query(f"with f as ({i.CAMERA}) select media_id, frame_index, event_id, max(frame_index) over (partition by media_id) + 1 as total from f")
 def q47_ordered_frames(spark, sf_dir):
-    out = r.ordered(i.cameras(spark, sf_dir), ["media_id"], ["frame_index", "event_id"])
-    return out.select("media_id", F.size("regions").cast("bigint").alias("frames"), F.array_join(F.transform("regions", lambda x: x["event_id"].cast("string")), ",").alias("sequence"))
+    totals = i.cameras(spark, sf_dir).groupBy("media_id").agg((F.max("frame_index") + 1).alias("total"))
+    return r.sequenced(i.cameras(spark, sf_dir).join(totals, "media_id"), ["media_id"], ["frame_index"]).select("media_id", "frame_index", "event_id", "total")
 
 
 @query(f"with f as ({i.CAMERA}) select media_id, event_id, frame_index from f where frame_index = trunc(greatest(0, 0.2::double) * 25)::bigint or frame_index = greatest(0, -3)")
@@ -368,59 +391,321 @@ def q53_end_to_end_boxes(spark, sf_dir):
     return out.select("frame", F.size("regions").cast("bigint").alias("n"), F.array_join(F.transform("regions", lambda x: F.concat_ws(",", x["id"], x["x1"], x["y1"], x["x2"], x["y2"])), ";").alias("regions"))
 
 
+W, H = 32, 24
+#: A region of the small frames, and a triangle.
+BLOCK, TRIANGLE = [(4, 6), (19, 6), (19, 15), (4, 15)], [(4, 6), (19, 10), (10, 20)]
+
+
 def rendered(spark, sf_dir):
-    """Small frames with pixel (3 x + 5 y + 7 channel + frame_index) mod 256, painted in one rectangle."""
+    """Small frames with pixel (3 x + 5 y + 7 channel + frame_index) mod 256: real sizes of so many frames would not fit a disk."""
     import numpy as np
-
-    from ..operators import raster
+    import pyarrow as pa
 
     def draw(batches):
-        ys, xs, ch = np.mgrid[0:24, 0:32, 0:3]
-        base = xs * 3 + ys * 5 + ch * 7
+        ys, xs, ch = np.mgrid[0:H, 0:W, 0:3]
+        base = (xs * 3 + ys * 5 + ch * 7).ravel()
         for b in batches:
-            images = [raster.image_of(((base + n) % 256).astype(np.uint8)) for n in b["frame_index"]]
-            yield b[["media_id", "frame_index"]].assign(image=images)
+            data = ((base + b.column(1).to_numpy()[:, None]) % 256).astype(np.uint8)
+            fixed = lambda v: pa.array(np.full(len(b), v), pa.int32())  # noqa: B023, E731
+            binary = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((np.arange(len(b) + 1) * data.shape[1]).astype(np.int32)), pa.py_buffer(data)])
+            image = pa.StructArray.from_arrays([pa.array([""] * len(b)), fixed(H), fixed(W), fixed(3), fixed(16), binary], names=["origin", "height", "width", "nChannels", "mode", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), image], names=["media_id", "frame_index", "image"])
 
-    return i.frames(spark, sf_dir).select("media_id", "frame_index").mapInPandas(draw, f"media_id int, frame_index bigint, image {raster.IMAGE}")
+    return i.frames(spark, sf_dir).select("media_id", "frame_index").mapInArrow(draw, f"media_id int, frame_index bigint, image {raster.IMAGE}")
 
 
 def painted(spark, sf_dir, mode, shape, corners):
-    from ..operators import raster
+    """media_id, frame_index, total: the sum of all bytes of each frame, painted in one region."""
+    import numpy as np
+    import pyarrow as pa
 
-    f = rendered(spark, sf_dir)
-    polygon = F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in corners])
-    regions = i.frames(spark, sf_dir).select("media_id", "frame_index", F.lit(1).alias("stage"), F.lit(0).alias("ord"), polygon.alias("polygon"), F.lit(1.0).alias("factor"))
-    out = raster.mask_frames(f, regions, ["media_id", "frame_index"], mode, shape, 4)
+    region = F.struct(F.lit(1).alias("stage"), F.lit(0).alias("ord"), F.lit(1.0).alias("factor"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in corners]).alias("polygon"))
+    out = raster.mask_frames(rendered(spark, sf_dir), F.array(region), ["media_id", "frame_index"], mode, shape, 4)
 
     def add(batches):
         for b in batches:
-            yield b[["media_id", "frame_index"]].assign(total=[int(sum(x["data"])) for x in b["image"]])
+            data = b.column(2).field("data").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in data], pa.int64())], names=["media_id", "frame_index", "total"])
+
+    return out.mapInArrow(add, "media_id int, frame_index bigint, total bigint")
+
+
+#: Frames differ by frame_index mod 256 alone: totals are summed once for each remainder.
+GRID = "f as ({frame}), n as (select unnest(range(0, 256)) as n), p as (select x, y, ch from (select unnest(range(0, 32)) as x), (select unnest(range(0, 24)) as y), (select unnest(range(0, 3)) as ch))".replace("{frame}", i.FRAME)
+PIXEL = "(({x}) * 3 + ({y}) * 5 + ch * 7 + n) % 256"
+
+
+def pixel(x: str, y: str) -> str:
+    return PIXEL.replace("{x}", x).replace("{y}", y)
+
 
-    return out.mapInPandas(add, "media_id int, frame_index bigint, total bigint")
+def totals(inside: str, value: str, more: str = "") -> str:
+    """SQL: the totals if pixels inside have another value."""
+    return f"""with {GRID}{more}, t as (select n, sum(case when {inside} then {value} else {pixel("x", "y")} end)::bigint as total from n, p group by n)
+select media_id, frame_index, total from f join t on t.n = frame_index % 256"""
 
 
-@query(f"""with f as ({i.FRAME}), g as (select media_id, frame_index from f),
-p as (select x, y, ch from (select unnest(range(0, 32)) as x), (select unnest(range(0, 24)) as y), (select unnest(range(0, 3)) as ch) where not (x between 4 and 19 and y between 6 and 15))
-select media_id, frame_index, sum((x * 3 + y * 5 + ch * 7 + frame_index) % 256)::bigint as total from g, p group by media_id, frame_index""")
+IN_BLOCK = "x between 4 and 19 and y between 6 and 15"
+
+
+@query(totals(IN_BLOCK, "0"))
 def q34_solid(spark, sf_dir):
-    return painted(spark, sf_dir, "solid", "polygon", [(4, 6), (19, 6), (19, 15), (4, 15)])
+    return painted(spark, sf_dir, "solid", "polygon", BLOCK)
+
 
+EDGES = """, e as (select * from (values (4, 6, 19, 10), (19, 10, 10, 20), (10, 20, 4, 6)) as t(ax, ay, cx, cy)),
+o as (select distinct round_even(ax + i * (cx - ax) / greatest(abs(cx - ax), abs(cy - ay))::double, 0)::int as ox, round_even(ay + i * (cy - ay) / greatest(abs(cx - ax), abs(cy - ay))::double, 0)::int as oy from e, (select unnest(range(0, 16)) as i) where i <= greatest(abs(cx - ax), abs(cy - ay)))"""
 
-@query()
+
+@query(totals("(15 * (y - 6) - 4 * (x - 4) >= 0 and -9 * (y - 10) - 10 * (x - 19) >= 0 and -6 * (y - 20) + 14 * (x - 10) >= 0) or (x, y) in (select (ox, oy) from o)", "0", EDGES))
 def q35_polygon(spark, sf_dir):
-    return painted(spark, sf_dir, "solid", "polygon", [(4, 6), (19, 10), (10, 20)])
+    return painted(spark, sf_dir, "solid", "polygon", TRIANGLE)
 
 
-@query()
+@query(totals("x between 4 and 19 and y between 6 and 15 and ((x - 12) / 8.0::double) ** 2 + ((y - 11) / 5.0::double) ** 2 <= 1", "0"))
 def q36_ellipse(spark, sf_dir):
-    return painted(spark, sf_dir, "solid", "ellipse", [(4, 6), (19, 6), (19, 15), (4, 15)])
+    return painted(spark, sf_dir, "solid", "ellipse", BLOCK)
+
+
+SMALL_X, SMALL_Y = "4 + ((x - 4) // 4) * 4", "6 + ((y - 6) // 5) * 5 + 2"
 
 
-@query()
+@query(totals(IN_BLOCK, f"round_even((({pixel(SMALL_X + ' + 1', SMALL_Y)}) + ({pixel(SMALL_X + ' + 2', SMALL_Y)})) / 2.0::double, 0)"))
 def q37_mosaic(spark, sf_dir):
-    return painted(spark, sf_dir, "mosaic", "polygon", [(4, 6), (19, 6), (19, 15), (4, 15)])
+    return painted(spark, sf_dir, "mosaic", "polygon", BLOCK)
 
 
-@query()
+def mirrored(v: str, first: int, size: int) -> str:
+    return f"{first} + (case when {v} < 0 then -({v}) when {v} >= {size} then {2 * size - 2} - ({v}) else {v} end)"
+
+
+BLUR = f""", k as (select x, y, ch, n, round_even(sum({pixel(mirrored("x - 4 + dx", 4, 16), mirrored("y - 6 + dy", 6, 10))}) / 40.0::double, 0) as v
+ from n, p, (select unnest(range(-4, 4)) as dx), (select unnest(range(-2, 3)) as dy) where {IN_BLOCK} group by all)"""
+
+
+@query(f"""with {GRID}{BLUR}, t as (select n, sum(coalesce(k.v, {pixel("x", "y")}))::bigint as total from n cross join p left join k using (x, y, ch, n) group by n)
+select media_id, frame_index, total from f join t on t.n = frame_index % 256""")
 def q38_blur(spark, sf_dir):
-    return painted(spark, sf_dir, "blur", "polygon", [(4, 6), (19, 6), (19, 15), (4, 15)])
+    return painted(spark, sf_dir, "blur", "polygon", BLOCK)
+
+
+FILE = r"select id, x, y, w, h, '# ' || id || chr(10) || '  #x' || chr(13) || chr(10) || '  ' || x || ',' || y || ',' || w || ',' || h || ' ' || chr(10) || chr(10) || case when id % 2 = 0 then '1,2;3,4;5,6' else ' ' end as text from box"
+
+
+@query(f"with {BOX}, f as ({FILE}) select id, x, y, w, h, case when id % 2 = 0 then 3 else 2 end::int as n, '#x' as first, x || ',' || y || ',' || w || ',' || h as second from f")
+def q54_region_lines(spark, sf_dir):
+    lines = F.concat(F.lit("# "), "id", F.lit("\n  #x\r\n  "), F.concat_ws(",", "x", "y", "w", "h"), F.lit(" \n\n"), F.when(c("id") % 2 == 0, F.lit("1,2;3,4;5,6")).otherwise(F.lit(" ")))
+    b = i.boxes(spark, sf_dir).withColumn("r", s.region_lines(lines))
+    return key(b, F.size("r").alias("n"), F.get("r", F.lit(0)).alias("first"), F.get("r", F.lit(1)).alias("second"))
+
+
+@query("""select vec_id, case vec_id % 4 when 0 then 1.5::double when 1 then 2.0::double end as time, case vec_id % 4 when 0 then 7::int when 2 then vec_id::int when 3 then 0::int end as idx from embeddings""")
+def q55_frame_query(spark, sf_dir):
+    q = F.when(c("vec_id") % 4 == 0, F.lit("index=7&time=%31.5")).when(c("vec_id") % 4 == 1, F.lit("time=&time=2&atime=9")).when(c("vec_id") % 4 == 2, F.concat(F.lit("x=1&index="), "vec_id")).otherwise(F.lit("time=&x"))
+    return i.read(spark, sf_dir, "embeddings").withColumn("f", s.frame_query(q)).select("vec_id", "f.time", c("f.index").alias("idx"))
+
+
+@query(f"""with {PATHS} select page_id, case when page_id % 13 = 0 then '{{"media":null}}' when page_id % 5 < 2 then '{{"media":{{"type":"image","name":"' || split_part(path, '/', 4) || '","url":"/api/file","source":"file","width":640,"height":480}}}}'
+ else '{{"media":{{"type":"video","name":"' || split_part(path, '/', 4) || '","url":"/api/file","source":"file"}}}}' end as payload from p""")
+def q56_init_payload(spark, sf_dir):
+    p = paths(spark, sf_dir)
+    return p.select("page_id", s.init_payload(F.when(c("page_id") % 13 != 0, c("path")), F.lit(640), F.lit(480)).alias("payload"))
+
+
+@query(r"with t as (select doc_id, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) as l from documents) select doc_id, (len(l) - case when l[-1] = '' then 1 else 0 end + 2)::int as n, case when len(l) = 1 and l[1] = '' then ' ' else l[1] end as second from t")
+def q57_dictionary(spark, sf_dir):
+    t = i.read(spark, sf_dir, "documents").withColumn("l", s.characters(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))))
+    return t.select("doc_id", F.size("l").alias("n"), F.get("l", F.lit(1)).alias("second"))
+
+
+#: Messages by id, what a decoder's one points to, and the stage of an error's.
+MESSAGES = [("Connection REFUSED by host", "connect", "connect"), ("unable to open file", "connect", "unknown"), ("Decoder av1 not found", "decode", "decode"), ("No route to host", "connect", "unknown"), ("timeout while reading", "decode", "connect"), ("Operation timed out", "connect", "unknown"), ("404 Not Found", "connect", "unknown"), ("cannot read frame 3", "decode", "decode"), ("Cannot open source", "decode", "connect")]
+
+
+@query(f"with {BOX} select id, x, y, w, h, {[m[1] for m in MESSAGES]}[id % 9 + 1] as decoder, {[m[2] for m in MESSAGES]}[id % 9 + 1] as error from box")
+def q58_error_stages(spark, sf_dir):
+    m = F.get(F.array(*[F.lit(m[0]) for m in MESSAGES]), (c("id") % 9).cast("int"))
+    return key(i.boxes(spark, sf_dir).withColumn("m", m), s.decoder_stage(c("m")).alias("decoder"), s.error_stage(c("m")).alias("error"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, case id % 4 when 0 then nullif(x, 0) when 1 then w end::int as dim from box")
+def q59_dim_to_int(spark, sf_dir):
+    text_ = F.when(c("id") % 4 == 0, c("x").cast("string")).when(c("id") % 4 == 1, F.concat(F.lit("0"), "w")).when(c("id") % 4 == 2, F.lit("height")).otherwise(F.lit("-3"))
+    return key(i.boxes(spark, sf_dir), s.dim_to_int(text_).alias("dim"))
+
+
+@query(f"""with f as ({i.FRAME}), b(name, ratio) as (values ('top', 0.15::double), ('bottom', 0.12::double), ('left', 0.001::double), ('right', 0.3::double)),
+s as (select media_id, frame_index, name, width, height, greatest(1, round_even(height * ratio, 0))::int as bh, greatest(1, round_even(width * ratio, 0))::int as bw from f, b)
+select media_id, frame_index, name, case when name = 'right' then width - bw else 0 end::int as x1, case when name = 'bottom' then height - bh else 0 end::int as y1, case when name = 'left' then bw else width end::int as x2, case when name = 'top' then bh else height end::int as y2 from s""")
+def q60_band_crops(spark, sf_dir):
+    bands = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("ratio")) for n, x in [*s.DEFAULT_BANDS, ("left", 0.001), ("right", 0.3)]])
+    f = i.frames(spark, sf_dir).select("*", F.explode(bands).alias("b"))
+    return f.withColumn("x", s.band_crop(c("b.name"), c("b.ratio"), c("width"), c("height"))).select("media_id", "frame_index", "b.name", "x.*")
+
+
+#: A vector as a map of 8 x 8 probabilities.
+MAP = "px as (select vec_id, cast(j as int) as j, cast(j % 8 as int) as x, cast(j // 8 as int) as y, ((embedding[j + 1] + 1) / 2)::float as v from embeddings, (select unnest(range(0, 64)) as j))"
+
+
+def maps(spark, sf_dir, kernel, schema):
+    """kernel(8 x 8 map) for each vector."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = [kernel(np.array(x, np.float32).reshape(8, 8)) for x in b["v"]]
+            yield pd.concat([b[["vec_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])], axis=1)
+
+    e = i.read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: ((x + 1) / 2).cast("float")).alias("v"))
+    return e.mapInPandas(run, "vec_id bigint, " + schema)
+
+
+@query(f"with {MAP}, s as (select *, v > 0.5::float as on_ from px) select a.vec_id, count(*) filter (where a.on_) as n, count(*) filter (where exists (select 1 from s b where b.vec_id = a.vec_id and b.on_ and a.x - b.x between 0 and 1 and a.y - b.y between 0 and 1)) as dilated from s a group by a.vec_id")
+def q61_threshold_dilate(spark, sf_dir):
+    def kernel(prob):
+        mask = prob > 0.5
+        return int(mask.sum()), int(kernels.dilated(mask).sum())
+
+    return maps(spark, sf_dir, kernel, "n bigint, dilated bigint")
+
+
+@query(f"with {MAP} select vec_id, round(avg(v::double) filter (where x between 1 and 6 and y between 2 and 5), 5) as score, round(avg(v::double) filter (where x between 5 and 7 and y between 0 and 3), 5) as edge from px group by vec_id")
+def q62_box_score(spark, sf_dir):
+    import numpy as np
+
+    boxes = [np.array([[1, 2], [6, 2], [6, 5], [1, 5]], float), np.array([[5, -2], [9, -2], [9, 3], [5, 3]], float)]
+    out = maps(spark, sf_dir, lambda prob: tuple(float(text.box_score(prob.astype(np.float64), b)) for b in boxes), "score double, edge double")
+    return out.select("vec_id", F.round("score", 5).alias("score"), F.round("edge", 5).alias("edge"))
+
+
+@query(f"""with recursive {MAP}, s as (select * from px where v > 0.6::float),
+t as (select vec_id, j, j as root from s union select a.vec_id, a.j, t.root from s a join t on t.vec_id = a.vec_id and exists (select 1 from s b where b.vec_id = t.vec_id and b.j = t.j and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1)),
+m as (select vec_id, j, min(root) as part from t group by vec_id, j)
+select e.vec_id, count(distinct part) as parts, count(j) as pixels, coalesce(sum(part), 0)::bigint as roots from embeddings e left join m using (vec_id) group by e.vec_id""")
+def q63_connected_parts(spark, sf_dir):
+    def kernel(prob):
+        parts, n = kernels.labelled(prob > 0.6, diagonal=True)
+        flat = parts.ravel()
+        return n, int((flat > 0).sum()), int(sum((flat == k + 1).argmax() * (flat == k + 1).sum() for k in range(n)))
+
+    return maps(spark, sf_dir, kernel, "parts bigint, pixels bigint, roots bigint")
+
+
+@query(f"""with {BOX}, q as (select *, least(639, x + 400) as x1, least(479, y + 300) as y1, least(639, x + 400 + w % 9) as x2, least(479, y + 300 + h % 9) as y2 from box)
+select id, x, y, w, h, x1, y1, x2, y2 from q where x2 - x1 > 3 and y2 - y1 > 3""")
+def q64_filter_quads(spark, sf_dir):
+    at = lambda dx, dy: g.point(c("x") + 400 + (c("w") % 9) * dx, c("y") + 300 + (c("h") % 9) * dy)
+    b = i.boxes(spark, sf_dir).withColumn("quad", F.array(at(1, 1), at(0, 0), at(1, 0), at(0, 1)))
+    return key(text.filter_quads(b, 640, 480), *corners("quad"))
+
+
+@query(f"with {BOX} select id, x, y, w, h, x + 10 as x1, y - 5 as y1, x + w + 9 as x2, y + h - 6 as y2, 'osd_text_' || id % 3 as label from box where id % 3 <> 1")
+def q65_text_regions(spark, sf_dir):
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for row in b.itertuples(index=False):
+                p = [(row.x, row.y), (row.x + row.w - 1, row.y), (row.x + row.w - 1, row.y + row.h - 1), (row.x, row.y + row.h - 1)]
+                # the second has too few points, the third crosses itself and becomes its least rectangle
+                found = text.to_regions([(np.array(p), 0.5), (np.array(p[:2]), 0.5), (np.array([p[0], p[2], p[1], p[3]]), 0.5)], 10, -5)
+                one = [x for x in found if x["ord"] == row.id % 3]
+                rows += [(row.id, row.x, row.y, row.w, row.h, *(f(v[a] for v in x["polygon"]) for f in (min, max) for a in "xy"), x["label"]) for x in one]
+            yield pd.DataFrame(rows, columns=["id", "x", "y", "w", "h", "x1", "y1", "x2", "y2", "label"])
+
+    return i.boxes(spark, sf_dir).select("id", "x", "y", "w", "h").mapInPandas(run, "id bigint, x int, y int, w int, h int, x1 int, y1 int, x2 int, y2 int, label string")
+
+
+@query(f"with {BOX} select frame, id, x, y, w, h, case when id % 4 = 0 then '' else 't' || id end as text, case when id % 4 = 0 then 0.0 else score end::double as rec_score from box")
+def q66_scatter_results(spark, sf_dir):
+    b = i.boxes(spark, sf_dir).select("frame", "id", "x", "y", "w", "h", "score")
+    read = b.where("id % 4 <> 0").select("frame", "id", "x", "y", "w", "h", F.concat(F.lit("t"), "id").alias("text"), c("score").cast("double").alias("rec_score"))
+    return r.placed(b, read.dropDuplicates(), ["frame", "id", "x", "y", "w", "h"]).select("frame", "id", "x", "y", "w", "h", "text", "rec_score")
+
+
+@query(f"with {BOX}, l as (select frame, list(id order by id, x, y, w, h) as ids, list(score::double order by id, x, y, w, h) as scores from box group by frame) select frame, unnest(ids)::bigint as id, unnest(scores) as score from l")
+def q67_zip_scores(spark, sf_dir):
+    row = F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h", c("score").cast("double").alias("score"))))
+    l = i.boxes(spark, sf_dir).groupBy("frame").agg(row.alias("l"))  # noqa: E741
+    pairs = r.zipped(F.transform("l", lambda v: v["id"]), F.transform("l", lambda v: v["score"]))
+    return l.select("frame", F.explode(pairs).alias("p")).select("frame", c("p.a").alias("id"), c("p.b").alias("score"))
+
+
+@query(f"with {PATHS} select path, case when page_id % 5 < 2 then 0 else 1 end::int as stage from p where page_id % 5 < 3")
+def q68_folder_union(spark, sf_dir):
+    p = paths(spark, sf_dir).withColumn("kind", s.file_type(c("path")))
+    return r.union_stages({0: p.where("kind = 'image'").select("path"), 1: p.where("kind = 'video'").select("path")}).select("path", "stage")
+
+
+CACHED = "case when doc_id % 7 = 0 then '  <!DOCTYPE html>' || text else text end"
+
+
+@query(f"""with f as (select doc_id, '/m/' || doc_id || case when doc_id % 2 = 0 then '.onnx' else '.txt' end as path, {CACHED} as content, case when doc_id % 5 = 0 then sha256(text) end as want from documents where text is not null)
+select doc_id, strlen(content) >= 200 and (doc_id % 2 = 1 or not (starts_with(regexp_replace(lower(left(content, 256)), '^\\s+', ''), '<!doctype') or contains(lower(left(content, 256)), '<html'))) and (want is null or sha256(content) = want) as usable from f where ascii(left(content, 1)) < 128 and strlen(left(content, 256)) = length(left(content, 256))""")
+def q69_model_cache(spark, sf_dir):
+    f = i.read(spark, sf_dir, "documents").where("text is not null")
+    f = f.withColumn("content", F.encode(F.when(c("doc_id") % 7 == 0, F.concat(F.lit("  <!DOCTYPE html>"), "text")).otherwise(c("text")), "UTF-8")).withColumn("path", F.concat(F.lit("/m/"), "doc_id", F.when(c("doc_id") % 2 == 0, F.lit(".onnx")).otherwise(F.lit(".txt"))))
+    f = f.withColumn("want", F.when(c("doc_id") % 5 == 0, F.sha2("text", 256)))
+    plain = F.decode("content", "UTF-8")
+    f = f.where((F.ascii(plain) < 128) & (F.octet_length(F.left(plain, F.lit(256))) == F.char_length(F.left(plain, F.lit(256)))))
+    return f.select("doc_id", models.usable(c("path"), F.octet_length("content"), c("content"), F.lit(200), c("want")).alias("usable"))
+
+
+#: Eight anchors of a vector: centre, size and four class scores each; four vectors make a frame.
+ANCHOR = """a as (select vec_id // 4 as frame, cast(vec_id % 4 * 8 + k as int) as anchor, 320 + 300 * embedding[k * 8 + 1]::double as cx, 240 + 200 * embedding[k * 8 + 2]::double as cy, 80 + 60 * embedding[k * 8 + 3]::double as w, 60 + 40 * embedding[k * 8 + 4]::double as h, embedding[k * 8 + 5 : k * 8 + 8] as cls from embeddings, (select unnest(range(0, 8)) as k))"""
+
+
+def faces_sql(anchors: str, factor: str, pad_x: str, pad_y: str) -> str:
+    over = "(greatest(0, least(k.x + k.w, n[1].x + n[1].w) - greatest(k.x, n[1].x)) * greatest(0, least(k.y + k.h, n[1].y + n[1].h) - greatest(k.y, n[1].y)))::double"
+    return f"""with {anchors}, s as (select *, list_max(cls)::double as m, list_position(cls, list_max(cls)) - 1 as best from a),
+b as (select frame, anchor, m, trunc(greatest(cx - w / 2 - {pad_x}, 0) * {factor})::int as x, trunc(greatest(cy - h / 2 - {pad_y}, 0) * {factor})::int as y, trunc(w * {factor})::int as w, trunc(h * {factor})::int as h from s where best <> 0 and list_max(cls) > 0.05::float),
+l as (select frame, list(struct_pack(s := -m, anchor := anchor, x := x, y := y, w := w, h := h) order by -m, anchor)[1:300] as bs from b group by frame),
+r as (select frame, list_reduce(list_transform(bs, lambda e: [e]), lambda acc, n: case when len(list_filter(acc, lambda k: {over} / (k.w * k.h + n[1].w * n[1].h - {over}) > 0.3)) > 0 then acc else list_concat(acc, n) end) as kept from l),
+u as (select frame, unnest(kept) as k, unnest(range(0, len(kept))) as ord from r)
+select frame, ord::int as ord, 'face' as label, round(-k.s, 6) as score, k.x as x1, k.y as y1, k.x + k.w as x2, k.y + k.h as y2 from u"""
+
+
+def face_rows(anchors: DataFrame, **how) -> DataFrame:
+    out = faces.faces(anchors, ["frame"], 0.05, **how).withColumn("b", g.bounding_box(c("polygon")))
+    return out.select("frame", "ord", "label", F.round("score", 6).alias("score"), "b.*")
+
+
+def anchors(spark, sf_dir) -> DataFrame:
+    e = i.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    at = lambda n: F.get("embedding", c("k") * 8 + n).cast("double")
+    return e.select(F.floor(c("vec_id") / 4).alias("frame"), (c("vec_id") % 4 * 8 + c("k")).cast("int").alias("anchor"), (at(0) * 300 + 320).alias("cx"), (at(1) * 200 + 240).alias("cy"), (at(2) * 60 + 80).alias("w"), (at(3) * 40 + 60).alias("h"), F.slice("embedding", c("k") * 8 + 5, F.lit(4)).alias("scores"))
+
+
+@query(faces_sql(ANCHOR, "2", "3", "5"))
+def q70_faces(spark, sf_dir):
+    return face_rows(anchors(spark, sf_dir), ratio=F.lit(0.5), pad_x=3.0, pad_y=5.0)
+
+
+LEVEL = """c as (select vec_id // 4 as frame, cast(vec_id % 4 as int) as level, cast(k as int) as k, [8, 16, 32, 32][vec_id % 4 + 1] as st, embedding[k * 8 + 1 : k * 8 + 8] as e from embeddings, (select unnest(range(0, 8)) as k)),
+a as (select frame, level * 8 + k as anchor, (k % 4 + 0.5::double) * st + e[1]::double * st as cx, (k // 4 + 0.5::double) * st + e[2]::double * st as cy, exp(e[3]::double) * st as w, exp(e[4]::double) * st as h, e[5:8] as cls from c)"""
+
+
+@query(faces_sql(LEVEL, "4", "0", "0"))
+def q71_faces_levels(spark, sf_dir):
+    e = i.read(spark, sf_dir, "embeddings").select(F.floor(c("vec_id") / 4).alias("frame"), (c("vec_id") % 4).cast("int").alias("level"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "embedding")
+    e = e.withColumn("e", F.slice("embedding", c("k") * 8 + 1, F.lit(8))).withColumn("b", faces.level_centre(c("k") % 4, F.floor(c("k") / 4), c("level"), c("e")))
+    return face_rows(e.select("frame", (c("level") * 8 + c("k")).alias("anchor"), "b.*", F.slice("e", 5, 4).alias("scores")), ratio=F.lit(0.25))
+
+
+@query(f"with {BOX} select id, x, y, w, h, greatest(0, least(1280, round_even(x / 600.0::double * 1280, 0)))::int as x1, greatest(0, least(720, round_even((y - 30) / 400.0::double * 720, 0)))::int as y1 from box")
+def q72_rescale(spark, sf_dir):
+    p = d.rescaled(F.transform(F.slice("polygon", 1, 1), lambda v: F.struct(v["x"].alias("x"), (v["y"] - 30).alias("y"))), 600, 400, 1280, 720)
+    return key(i.boxes(spark, sf_dir).withColumn("p", p), F.get("p", F.lit(0))["x"].alias("x1"), F.get("p", F.lit(0))["y"].alias("y1"))
+
+
+@query(f"with {STAGED}, n as (select frame, count(*) as found, count(*) filter (where {IN_BANDS}) as in_bands from staged group by frame) select sum(found)::bigint as found, sum(in_bands)::bigint as in_bands, count(*) as frames from n")
+def q73_filter_counts(spark, sf_dir):
+    out = staged(spark, sf_dir).withColumn("polygon", g.from_bbox(c("x"), c("y"), c("x") + c("w"), c("y") + c("h")))
+    hit = F.lit(False)
+    for name, ratio in BANDS:
+        hit = hit | s.in_band(c("polygon"), F.lit(name), F.lit(ratio), F.lit(640), F.lit(480))
+    out = out.groupBy("frame").agg(F.count(F.lit(1)).alias("found"), F.count_if(hit).alias("in_bands"))
+    return out.agg(F.sum("found").alias("found"), F.sum("in_bands").alias("in_bands"), F.count(F.lit(1)).alias("frames"))

@@ -5,28 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import specs as s
 from ..operators import regions as r
 from ..operators.raster import MODES, SHAPES, mask_frames
-from ..sources.images import read_images, write_images
-from .specs import band_of
+from .specs import polygon_of
 
-#: frames(path, width, height, image) -> regions(path, ord, polygon, score[, text, rec_score])
+#: frames(path[, frame_index], image) -> regions(path[, frame_index], ord, polygon, score)
 Detector = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Options:
+    """What is looked for and how it is painted.  faces and text are detectors; regions are texts that name fixed places."""
+
     face: Detector | None = None
     text: Detector | None = None
     regions: list[str] = field(default_factory=list)
-    bands: list[str] = field(default_factory=list)
-    patterns: list[str] = field(default_factory=list)
-    face_threshold: float = 0.3
-    rec_threshold: float = 0.0
     mask: str = "mosaic"
     shape: str = "polygon"
     scale: float = 1.3
@@ -34,42 +32,39 @@ class Options:
     colour: tuple[int, int, int] = (0, 0, 0)
 
     def __post_init__(self):
-        if not (self.face or self.regions or self.patterns or self.bands):
-            raise ValueError("at least one of face, regions, patterns and bands is needed")
-        if (self.patterns or self.bands) and not self.text:
-            raise ValueError("patterns and bands need a text detector")
+        if not (self.face or self.text or self.regions):
+            raise ValueError("at least one of face, regions, bands and text must be enabled")
         if self.mask not in MODES or self.shape not in SHAPES:
             raise ValueError(f"unknown mask: {self.mask} {self.shape}")
 
 
-def detect(frames: DataFrame, o: Options) -> DataFrame:
-    """All regions: faces, then fixed ones, then text that passes bands, confidence and patterns."""
-    columns = ["path", "ord", "polygon", "factor"]
+def fixed(frames: DataFrame, specs: list[str]) -> Column:
+    """The fixed regions that lie inside a frame, as an array for mask_frames: literals, so neither joined nor shuffled."""
+    rows = [F.struct(F.lit(1).alias("stage"), F.lit(n).alias("ord"), F.lit(1.0).alias("factor"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in polygon_of(frames.sparkSession, spec)]).alias("polygon")) for n, spec in enumerate(specs)]
+    return F.filter(F.array(*rows), lambda x: g.fully_inside(x["polygon"], F.col("image.width"), F.col("image.height")))
+
+
+def detect(frames: DataFrame, o: Options, by: list[str]) -> DataFrame | Column:
+    """All regions: faces, then fixed ones, then text.  Only faces are scaled."""
+    columns = [*by, "ord", "polygon", "factor"]
     stages = {}
     if o.face:
-        stages[0] = o.face(frames).where(F.col("score") >= o.face_threshold).withColumn("factor", F.lit(o.scale)).select(columns)
-    slim = frames.select("path", "width", "height")
-    if o.regions:
-        stages[1] = r.fixed_regions(slim, o.regions).withColumn("factor", F.lit(1.0)).select(columns)
+        stages[0] = o.face(frames).withColumn("factor", F.lit(float(o.scale))).select(columns)
     if o.text:
-        found = o.text(frames).join(slim, "path")
-        if o.bands:
-            found = r.in_bands(found, [band_of(b) for b in o.bands], F.col("width"), F.col("height"))
-        if o.patterns:
-            found = found.where((F.col("rec_score") >= o.rec_threshold) & s.matches_any(F.col("text"), o.patterns))
-        stages[2] = found.withColumn("factor", F.lit(1.0)).select(columns)
+        stages[2] = o.text(frames).withColumn("factor", F.lit(1.0)).select(columns)
+    if not stages:
+        return fixed(frames, o.regions)
+    if o.regions:
+        sized = frames.select(*by, F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+        stages[1] = r.fixed_regions(sized, o.regions).withColumn("factor", F.lit(1.0)).select(columns)
     return r.union_stages(stages)
 
 
 def redact(frames: DataFrame, o: Options) -> DataFrame:
-    """frames(path, image) with everything found painted over."""
-    sized = frames.withColumns({"width": F.col("image.width"), "height": F.col("image.height")})
-    return mask_frames(frames, detect(sized, o), ["path"], o.mask, o.shape, o.mosaic_size, o.colour)
+    """frames(path[, frame_index], image, ...) with everything found painted over."""
+    by = [c for c in ("path", "frame_index") if c in frames.columns]
+    return mask_frames(frames, detect(frames, o, by), by, o.mask, o.shape, o.mosaic_size, o.colour)
 
 
-def redact_images(spark: SparkSession, folder: str, out: str, o: Options, recursive: bool = True) -> int:
-    """Redacts all images under folder into the same places under out, as PNG; returns how many."""
-    frames = read_images(spark, folder, recursive)
-    root = folder if "://" in folder else f"file://{folder}"
-    done = redact(frames, o).withColumn("out_path", s.output_path(F.regexp_replace("path", "^file:/+", "file:///"), root, out))
-    return write_images(done)
+def with_outputs(frames: DataFrame, root: str, out: str) -> DataFrame:
+    return frames.withColumn("out_path", s.output_path(F.col("path"), root, out))
