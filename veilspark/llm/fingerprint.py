@@ -7,7 +7,7 @@ Rolling hashes of K units, as array expressions by doubling; in each
 window of W hashes the smallest is chosen, with ties to the rightmost; its
 position is kept.  Any passage of K + W - 1 units that two texts share
 therefore leaves a common fingerprint in both.  Short texts, with fewer than
-2 W hashes, keep all of them, and those with fewer than FEW units also the hash
+4 W hashes, keep all of them, and those with fewer than FEW units also the hash
 of each unit, so that their likeness has more values than 0 and 1.  A hash and
 its position travel as one long: the 38 upper bits are the hash, the 26 lower
 ones count down from the text's start, so that the minimum of longs is the
@@ -71,9 +71,9 @@ def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
     df = _doubled(df, g, K, lambda a, b: F.xxhash64(a, b))
     marked = lambda a: F.transform(a, lambda x, i: x.bitwiseAND(F.lit(~LOW)).bitwiseOR(F.lit(LOW) - F.least(i, F.lit(LOW))))
     df = df.withColumn(g, marked(F.col(g)))
-    df = df.withColumn(m, F.when(F.size(g) >= 2 * W, F.col(g)).otherwise(none))
+    df = df.withColumn(m, F.when(F.size(g) >= 4 * W, F.col(g)).otherwise(none))
     df = _doubled(df, m, W, lambda a, b: F.least(a, b))
-    chosen = F.when(F.size(g) >= 2 * W, F.array_distinct(m)).when(F.col(n) < FEW, F.concat(g, marked(F.col(h)))).otherwise(F.col(g))
+    chosen = F.when(F.size(g) >= 4 * W, F.array_distinct(m)).when(F.col(n) < FEW, F.concat(g, marked(F.col(h)))).otherwise(F.col(g))
     return df.withColumn(out, chosen).drop(w, h, n, g, m)
 
 
