@@ -18,9 +18,9 @@ gathered in a task: all joins are equi-joins that can spill and be split.
 
 The result is exact.  Many texts that share frequent shingles without being
 alike, at sizes and positions that would allow it, cost a comparison of hashes'
-positions for each pair; that is the limit of a prefix filter.  Text is
-shuffled only for classes that are in a candidate pair (beyond a million of
-them, all of it once).  Intermediate tables lie in the shared folder.
+positions for each pair; that is the limit of a prefix filter.  Text meets the
+keys of classes in candidate pairs in one join.  Intermediate tables lie in the
+shared folder.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and are linked with nothing; null ids are linked but name no
@@ -40,16 +40,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MIX, ascii_words, cut, mix64, small_batches, table, tidy
-from .url_filter import among, without
+from .url_filter import build_filter, may_hold
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 #: Least Jaccard coefficient, in hundredths.
 PERCENT = 80
-#: One document in SAMPLE is looked through for heavy tokens; one seen HEAVY times there, and more often than
-#: once in SHARE tokens, is heavy.  So there are at most SHARE of them (1 MB to broadcast) at any size.
-SAMPLE, HEAVY, SHARE = 32, 3, 1 << 17
+#: One document in SAMPLE is looked through for heavy tokens, which are seen HEAVY times there; the most frequent LISTED
+#: of them (1 MB) are broadcast.  Any that are not show as large blocks.
+SAMPLE, HEAVY, LISTED = 32, 3, 1 << 17
 #: Groups in a block that are compared with each other at once.
 BLOCK = 64
 #: Words whose hashes a worker remembers.
@@ -91,9 +91,7 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
 
     seen = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tidy(count), "token bigint, n bigint")
-    seen = cut(seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY), "join-heavy")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    top = seen.where(F.col("n") * SHARE >= total)
+    top = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "token").limit(LISTED)
     return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
 
@@ -140,27 +138,25 @@ def can_link(a: str, b: str, percent: int) -> str:
                and least({a}.n - {a}.pos, {b}.n - {b}.pos) * {m} >= ({a}.n + {b}.n) * {o}"""
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link.
+def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of pairs(a, ka, b, kb) of classes whose whole sets, taken from the documents ka and kb, link.
 
     Sets travel as 32-bit halves of their hashes at first.  Pairs that these
     leave nearer to the limit than chance collisions could matter are decided
     by whole hashes.
     """
-    key = classes.select("u", "k")
-    pairs = pairs.join(key.select(F.col("u").alias("a"), F.col("k").alias("ka")), "a").join(key.select(F.col("u").alias("b"), F.col("k").alias("kb")), "b")
     pairs = cut(pairs, "join-pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
     tried = cut(compare(pairs, docs, percent, np.uint32), "join-tried")
-    sure, unsure = tried.where("linked").select("a", "b"), tried.where("linked is null").select("a", "b", "ka", "kb")
+    sure, unsure = tried.where("linked").select("a", "b"), tried.where("linked is null").select("a", "ka", "b", "kb")
     return sure if unsure.isEmpty() else sure.unionByName(compare(unsure, docs, percent, np.uint64).where("linked").select("a", "b"))
 
 
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> DataFrame:
-    """pairs (a, b, ka, kb) with linked: whether the sets of the documents ka and kb, hashes cut to kind, link; null if collisions might decide that."""
+    """pairs with linked: whether the sets, hashes cut to kind, link; null if collisions might decide that."""
     wanted = cut(pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct(), "join-wanted")
-    some = among(docs.select(F.xxhash64("doc_id", "text").alias("k"), "text"), "k", wanted)
+    some = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").join(wanted, "k", "left_semi")
 
     def sets(batches):
         hashes = WordHashes()
@@ -169,7 +165,7 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "s"])
 
     whole = cut(some.mapInArrow(tidy(sets), "k bigint, s binary"), "join-sets").dropDuplicates(["k"])
-    both = pairs.join(whole.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(whole.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb").select("a", "b", "ka", "kb", "sa", "sb")
+    both = pairs.join(whole.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(whole.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb").select("a", "ka", "b", "kb", "sa", "sb")
 
     def check(batches):
         for b in batches:
@@ -184,9 +180,9 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
                 # a collision moves over by 200 at most; far fewer than these are to be expected
                 near = 200 * (1 + len(y) ** 2 // 2**28) if kind is np.uint32 else 0
                 linked.append(None if abs(over) < near else over >= 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], names=["a", "b", "ka", "kb", "linked"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], names=["a", "ka", "b", "kb", "linked"])
 
-    return both.mapInArrow(tidy(check), "a bigint, b bigint, ka bigint, kb bigint, linked boolean")
+    return both.mapInArrow(tidy(check), "a bigint, ka bigint, b bigint, kb bigint, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,7 +233,6 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     signed = cut(signatures(docs, percent), "join-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k")))
     classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), F.first("n").alias("n"), F.first("g").alias("g")).select("u", "n", "g", "f.id", "f.k"), "join-classes")
-    groups = classes.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"))).alias("first"), F.count(F.lit(1)).alias("classes")).select("g", "first.u", "classes")
     # a group's prefix is taken from its first document
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
     carriers = signed.where("u is not null").groupBy("g").agg(F.min_by(F.struct("doc_id", "n", "light", "heavy"), order).alias("c")).select("g", "c.*")
@@ -255,21 +250,25 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     pivot = blocks.groupBy("token").agg(F.min("id").alias("p")).select("token", F.col("p.g").alias("pg"))
     stars = blocks.join(cut(pivot, "join-pivots"), "token").where("g != pg").select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
 
-    member = classes.select("g", "u")
-    tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried").join(member.select(F.col("g").alias("ga"), F.col("u").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("u").alias("b")), "gb").select("a", "b")
-    within = member.join(groups.where("classes > 1").select("g", F.col("u").alias("a")), "g").where("u != a").select("a", F.col("u").alias("b"))
-    good = cut(verify(tried.unionByName(within), classes, docs, percent), "join-links")
+    side = lambda x: classes.select(F.col("g").alias(f"g{x}"), F.col("u").alias(x), F.col("k").alias(f"k{x}"))
+    tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried").join(side("a"), "ga").join(side("b"), "gb").select("a", "ka", "b", "kb")
+    # groups of several classes: their first class with each other
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u")))
+    several = cut(classes.groupBy("g").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.col("f.u").alias("a"), F.col("f.k").alias("ka")), "join-several")
+    member = classes.join(several, "g")
+    within = member.where("u != a").select("a", "ka", F.col("u").alias("b"), F.col("k").alias("kb"))
+    good = verify(tried.unionByName(within), docs, percent)
     found = components(good)
 
     # what the stars left open: pairs of one block in different components
-    many = member.join(groups.where("classes > 1").select("g"), "g").join(classes.select("u", "n"), "u").select(F.col("g").alias("token"), "u", "n", F.lit(0).alias("pos"), F.array("g").alias("shared"))
+    many = member.select(F.col("g").alias("token"), "u", "k", "n", F.lit(0).alias("pos"), F.array("g").alias("shared"))
     order = blocks.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("shared"))
-    rows = blocks.select("token", "g", "n", "pos").join(member, "g").join(order, "g").select("token", "u", "n", "pos", "shared").unionByName(many)
+    rows = blocks.select("token", "g", "pos").join(classes.select("g", "u", "k", "n"), "g").join(order, "g").select("token", "u", "k", "n", "pos", "shared").unionByName(many)
     rows = rows.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("root", "u"))
     open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rows = cut(rows.join(open_, "token", "left_semi").select("token", "u", "n", "pos", "shared", "c"), "join-open")
+    rows = cut(rows.join(open_, "token", "left_semi").select("token", "u", "k", "n", "pos", "shared", "c"), "join-open")
     cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.c != y.c and x.u < y.u and {can_link('x', 'y', percent)} and get(array_intersect(x.shared, y.shared), 0) = x.token"))
-    late = cut(verify(cross.selectExpr("x.u as a", "y.u as b").distinct(), classes, docs, percent), "join-late")
+    late = verify(cross.selectExpr("x.u as a", "x.k as ka", "y.u as b", "y.k as kb").distinct(), docs, percent)
     if not late.isEmpty():
         known = found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = components(known.unionByName(late))
@@ -290,14 +289,17 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that of the smallest id; rows that are linked with nothing stay."""
     signed, classes = links(docs, percent)
     first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k")))
-    kept = cut(classes.groupBy("c").agg(first.alias("f")).select("f.k"), "join-kept")
-    rows = cut(signed.where("u is not null").groupBy("k").agg(F.count(F.lit(1)).alias("rows")), "join-rows")
+    kept = classes.groupBy("c").agg(first.alias("f")).select("f.k", F.lit(True).alias("stays"))
+    rows = signed.where("u is not null").groupBy("k").agg(F.count(F.lit(1)).alias("rows")).join(kept, "k", "left")
+    # all other rows pass untouched
+    verdicts = cut(rows.where("stays is null or rows > 1").select(F.col("k").alias("_jj_k"), F.col("stays").alias("_jj_stays")), "join-verdicts")
     docs = docs.withColumn("_jj_k", F.xxhash64("doc_id", "text"))
-    out = without(docs, "_jj_k", cut(rows.join(kept, "k", "left_anti").select(F.col("k").alias("_jj_k")), "join-dropped"))
+    hit = may_hold(*build_filter(verdicts, "_jj_k"), F.col("_jj_k"))
+    judged = docs.where(hit).join(verdicts.withColumn("_jj_met", F.lit(True)), "_jj_k", "left")
     # a kept row that is repeated stays once
-    many = cut(rows.where("rows > 1").join(kept, "k", "left_semi").select(F.col("k").alias("_jj_k")), "join-repeated")
-    once = among(out, "_jj_k", many).dropDuplicates(["_jj_k"])
-    return without(out, "_jj_k", many).unionByName(once).drop("_jj_k")
+    once = judged.where("_jj_stays").dropDuplicates(["_jj_k"])
+    out = [docs.where(~hit), judged.where("_jj_met is null"), once]
+    return out[0].drop("_jj_k").unionByName(out[1].select(*out[0].drop("_jj_k").columns)).unionByName(out[2].select(*out[0].drop("_jj_k").columns))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,11 +73,6 @@ def may_hold(words: DataFrame | None, blocks: int, key: Column) -> Column:
     return out
 
 
-def among(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """docs whose column key is in the one column of keys: only rows that a filter of keys lets through are shuffled."""
-    return docs.where(may_hold(*build_filter(keys, key), F.col(key))).join(keys, key, "left_semi").select(*docs.columns)
-
-
 def without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """docs whose column key is not in the one column of keys: only rows that a filter of keys lets through are shuffled."""
     hit = may_hold(*build_filter(keys, key), F.col(key))
