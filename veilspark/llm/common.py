@@ -82,10 +82,11 @@ def small_batches(spark: SparkSession) -> None:
 
 def returned() -> None:
     """Gives the memory that a worker process has freed back to the system; workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
-        pa.default_memory_pool().release_unused()
+        pass
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
