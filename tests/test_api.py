@@ -5,11 +5,10 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from veilspark import api, cli, models
 from veilspark.operators import raster
-from veilspark.sources import codecs, files, images, videos
+from veilspark.sources import codecs, files, images, streams, videos
 
 
 def gradient(h=48, w=64):
@@ -195,4 +194,36 @@ def test_counts_come_with_the_work(spark, folder, tmp_path, caplog):
     with caplog.at_level("INFO", "veilspark"):
         api.redact_image(spark, folder, tmp_path / "o", osd_regions=["0,0,9,9"])
     assert "Completed 4 images" in caplog.text
-    assert F is not None
+
+
+def test_single_frames(spark, tmp_path):
+    import subprocess
+
+    video(tmp_path / "v.avi", 30, fps=10)
+    want = gradient() + np.uint8(12)
+    for how in ({"seconds": 1.25}, {"index": 12}):
+        data, width, height = streams.video_frame(spark, str(tmp_path / "v.avi"), **how)
+        (tmp_path / "f.jpg").write_bytes(data)
+        assert (width, height) == (64, 48) and np.abs(pictures(spark, tmp_path / "f.jpg")["."].astype(int) - want).mean() < 2
+    assert streams.video_frame(spark, str(tmp_path / "v.avi"), seconds=-3)[1] == 64
+    for source, how, said in ((str(tmp_path / "v.avi"), {"index": 30}, "Cannot read frame"), (str(tmp_path / "gone.avi"), {}, "Cannot open video")):
+        with pytest.raises(ValueError, match=said):
+            streams.video_frame(spark, source, **how)
+
+    url = "rtsp://me:secret@cam/1"
+    assert streams.command(spark, url, "o.jpg", 2.5) == ["ffmpeg", "-y", "-loglevel", "error", "-rtsp_transport", "tcp", "-ss", "2.5", "-i", url, "-frames:v", "1", "-q:v", "2", "o.jpg"]
+    assert "-ss" not in streams.command(spark, "https://cam/1", "o.jpg", 0) and "tcp" not in streams.command(spark, "https://cam/1", "o.jpg")
+
+    def works(args, **_):
+        with open(args[-1], "wb") as f:
+            f.write(codecs.jpeg(gradient()))
+        return subprocess.CompletedProcess(args, 0, "", "")
+
+    def late(args, **_):
+        raise subprocess.TimeoutExpired(args, 30)
+
+    assert streams.video_frame(spark, url, run=works)[1:] == (64, 48)
+    for run, said in ((late, "connect timeout"), (lambda a, **_: subprocess.CompletedProcess(a, 1, "", f"{url}: Connection refused"), "connect failed"), (lambda a, **_: subprocess.CompletedProcess(a, 1, "", "no such codec"), "decode failed")):
+        with pytest.raises(ValueError, match=said) as e:
+            streams.video_frame(spark, url, run=run)
+        assert "secret" not in str(e.value)
