@@ -10,7 +10,7 @@ size and position, expanded to classes and verified on whole sets.
 Heavy tokens (found in a hash sample; they only affect the order, never the
 result) and any other token that more than BLOCK groups turn out to share make
 large blocks, whose pairs would grow with the square.  Such a block is
-first joined as a star: its earliest member with every other.  After the
+first joined as a star: one member with every other.  After the
 verified links have been made components, only pairs between different
 components remain to be tried, each at the first such token that its members
 share.  Groups with several classes are treated in the same way.  No block is
@@ -18,9 +18,9 @@ gathered in a task: all joins are equi-joins that can spill and be split.
 
 The result is exact.  Many texts that share frequent shingles without being
 alike, at sizes and positions that would allow it, cost a comparison of hashes'
-positions for each pair; that is the limit of a prefix filter.  Text meets the
-keys of classes in candidate pairs in one join.  Intermediate tables lie in the
-shared folder.
+positions for each pair; that is the limit of a prefix filter.  Text is
+shuffled only for classes that are in a candidate pair (beyond a million of
+them, all of it once).  Intermediate tables lie in the shared folder.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and are linked with nothing; null ids are linked but name no
@@ -156,7 +156,9 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> DataFrame:
     """pairs with linked: whether the sets, hashes cut to kind, link; null if collisions might decide that."""
     wanted = cut(pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct(), "join-wanted")
-    some = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").join(wanted, "k", "left_semi")
+    # a filter keeps most other texts out of the join
+    some = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text")
+    some = some.where(may_hold(*build_filter(wanted, "k"), F.col("k"))).join(wanted, "k", "left_semi")
 
     def sets(batches):
         hashes = WordHashes()
@@ -237,17 +239,16 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
     carriers = signed.where("u is not null").groupBy("g").agg(F.min_by(F.struct("doc_id", "n", "light", "heavy"), order).alias("c")).select("g", "c.*")
     carriers = cut(carriers, "join-carriers")
-    id_ = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("g").alias("g")).alias("id")
-    light = carriers.select("g", "n", id_, F.posexplode("light").alias("pos", "token"))
+    light = carriers.select("g", "n", F.posexplode("light").alias("pos", "token"))
     light = light.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
     light = cut(light, "join-light")
     small = light.where(F.col("m") <= BLOCK).select("token", "g", "n", "pos")
     pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.token = y.token and x.g < y.g and {can_link('x', 'y', percent)}")).selectExpr("x.g as ga", "y.g as gb").distinct()
 
-    heavy = carriers.where(F.size("heavy") > 0).select("g", "n", id_, F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token"))
-    blocks = light.where(F.col("m") > BLOCK).select("token", "g", "n", "pos", "id").unionByName(heavy.select("token", "g", "n", (F.col("at") + F.col("i")).alias("pos"), "id"))
+    heavy = carriers.where(F.size("heavy") > 0).select("g", "n", F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token"))
+    blocks = light.where(F.col("m") > BLOCK).select("token", "g", "n", "pos").unionByName(heavy.select("token", "g", "n", (F.col("at") + F.col("i")).alias("pos")))
     blocks = cut(blocks.dropDuplicates(["token", "g"]), "join-blocks")
-    pivot = blocks.groupBy("token").agg(F.min("id").alias("p")).select("token", F.col("p.g").alias("pg"))
+    pivot = blocks.groupBy("token").agg(F.min("g").alias("pg"))
     stars = blocks.join(cut(pivot, "join-pivots"), "token").where("g != pg").select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
 
     side = lambda x: classes.select(F.col("g").alias(f"g{x}"), F.col("u").alias(x), F.col("k").alias(f"k{x}"))
