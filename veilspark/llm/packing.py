@@ -27,6 +27,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ CAPACITY = 2048
 BLOCK = 24
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a worker remembers, until its task ends.
-CACHE = 200_000
+#: Chunks, and words, whose ids a worker remembers until its task ends: the first met, which hold all frequent ones.
+CACHE = 250_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -88,10 +89,13 @@ class Tokens(dict):
         self.words: dict[str, bytes] = {}
 
     def of_word(self, word: str) -> bytes:
+        """Ids of a run of letters or of marks, lower-cased."""
         if (got := self.words.get(word)) is None:
-            mapped = "".join(map(self.alphabet.__getitem__, word.lower().encode()))
-            got = np.array([t.id for t in self.model.tokenize(mapped)], np.uint32).tobytes()
-            self.words[word] = got
+            # printable ASCII stands for itself
+            mapped = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+            got = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if len(self.words) < CACHE:
+                self.words[word] = got
         return got
 
     def whole(self, text: str) -> bytes:
@@ -103,14 +107,13 @@ class Tokens(dict):
             ids = self.of_word(m[1].lower()) + (self.of_word(m[2]) if m[2] else b"")
         else:
             ids = self.whole(text)
-        self[chunk] = ids
+        if len(self) < CACHE:
+            self[chunk] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
         if not self.by_words:
             return self.whole(text.decode("utf-8", "replace"))
-        if len(self) + len(self.words) > CACHE:
-            self.forget()
         # on bytes, split() knows ASCII white space alone
         return b"".join(map(self.__getitem__, text.split()))
 
