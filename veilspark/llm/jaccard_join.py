@@ -166,7 +166,7 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
             out = [np.unique(shingles(t, hashes).astype(kind)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "s"])
 
-    whole = cut(some.mapInArrow(tidy(sets), "k bigint, s binary"), "join-sets").dropDuplicates(["k"])
+    whole = cut(some.mapInArrow(tidy(sets), "k bigint, s binary").dropDuplicates(["k"]), "join-sets")
     both = pairs.join(whole.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(whole.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb").select("a", "ka", "b", "kb", "sa", "sb")
 
     def check(batches):
