@@ -16,9 +16,10 @@ components remain to be tried, each at the first such token that its members
 share.  Groups with several classes are treated in the same way.  No block is
 gathered in a task: all joins are equi-joins that can spill and be split.
 
-The result is exact.  Many texts that share frequent shingles without being
-alike, at sizes and positions that would allow it, cost a comparison of hashes'
-positions for each pair; that is the limit of a prefix filter.  Text is
+The result is exact.  Pairs are met only if sizes, positions and parities of
+64 parts of the sets allow a link.  Many texts that share frequent shingles
+without being alike still cost such a look for each pair; that is the limit of
+a prefix filter.  Text is
 shuffled only for classes that are in a candidate pair (beyond a million of
 them, all of it once).  Intermediate tables lie in the shared folder.
 
@@ -95,24 +96,24 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
 
-SIGNATURES = "doc_id bigint, k bigint, n bigint, u bigint, g bigint, light array<bigint>, heavy array<bigint>"
+SIGNATURES = "doc_id bigint, k bigint, n bigint, u bigint, g bigint, x bigint, light array<bigint>, heavy array<bigint>"
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """A row for each document: k (a hash of doc_id and text), set size n, class u, group g (null for empty sets), light and heavy tokens of the prefix."""
+    """A row for each document: k (a hash of doc_id and text), set size n, class u, group g (null for empty sets), parities x, light and heavy tokens of the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs))
 
     def sign(batches):
         hashes, heavy = WordHashes(), shared.value
         names = [x.split()[0] for x in SIGNATURES.split(", ")]
         for b in batches:
-            n, u, g, low, high = [], [], [], [], []
+            n, u, g, x, low, high = [], [], [], [], [], []
             for text in b.column(2).to_pylist():
                 # in order as signed numbers, as SQL compares tokens
                 s = np.sort(shingles(text, hashes).view(np.int64)).view(np.uint64)
                 n.append(len(s))
                 if not len(s):
-                    u.append(None), g.append(None), low.append([]), high.append([])
+                    u.append(None), g.append(None), x.append(0), low.append([]), high.append([])
                     continue
                 p = prefix_size(len(s), percent)
                 is_heavy = np.zeros(len(s), bool)
@@ -123,19 +124,29 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 rest = s[is_heavy][: p - len(light)]
                 digest = lambda *x: int(np.int64(xxhash.xxh3_64_intdigest(b"".join(y.tobytes() for y in x)) - (1 << 63)))
                 u.append(digest(s))
+                x.append(int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))).view(np.int64)))
                 g.append(digest(np.array([len(s)]), light, rest))
                 low.append(light.view(np.int64)), high.append(rest.view(np.int64))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip((n, u, g, low, high), kinds, strict=True))], names=names)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, k) for v, k in zip((n, u, g, x, low, high), kinds, strict=True))], names=names)
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(tidy(sign), SIGNATURES)
 
 
 def can_link(a: str, b: str, percent: int) -> str:
-    """SQL: sizes and positions allow the link, if tokens a and b are the first that the two sets share."""
+    """SQL: sizes and positions allow the link, if tokens a and b are the first that the two sets share, and so do parities."""
     m, o = 100 + percent, percent
     return f"""least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {o}
-               and least({a}.n - {a}.pos, {b}.n - {b}.pos) * {m} >= ({a}.n + {b}.n) * {o}"""
+               and least({a}.n - {a}.pos, {b}.n - {b}.pos) * {m} >= ({a}.n + {b}.n) * {o} and {near(f"{a}.x", f"{b}.x", f"{a}.n + {b}.n", percent)}"""
+
+
+def near(x: str, y: str, sizes: str, percent: int) -> str:
+    """SQL: two sets may link by their parities, of the numbers of tokens in each of 64 parts.
+
+    A token that only one set has changes one parity, so as many tokens as
+    parities differ are not shared at least.  Unknown parities allow all.
+    """
+    return f"coalesce(bit_count({x} ^ {y}) * {100 + percent} <= ({sizes}) * {100 - percent}, true)"
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -234,40 +245,39 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs, percent), "join-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k")))
-    classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), F.first("n").alias("n"), F.first("g").alias("g")).select("u", "n", "g", "f.id", "f.k"), "join-classes")
-    # a group's prefix is taken from its first document
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
-    carriers = signed.where("u is not null").groupBy("g").agg(F.min_by(F.struct("doc_id", "n", "light", "heavy"), order).alias("c")).select("g", "c.*")
-    carriers = cut(carriers, "join-carriers")
-    light = carriers.select("g", "n", F.posexplode("light").alias("pos", "token"))
+    classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("x").alias("x")).select("u", "n", "g", "x", "f.id", "f.k"), "join-classes")
+    # a group's prefix is taken from one document; parities are known of a group of one class
+    carriers = signed.where("u is not null").groupBy("g").agg(F.min_by(F.struct("n", "x", "light", "heavy"), F.struct("u", "k")).alias("c"), (F.min("u") == F.max("u")).alias("one"))
+    carriers = cut(carriers.select("g", "c.n", F.expr("if(one, c.x, null)").alias("x"), "c.light", "c.heavy"), "join-carriers")
+    light = carriers.select("g", "n", "x", F.posexplode("light").alias("pos", "token"))
     light = light.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
     light = cut(light, "join-light")
-    small = light.where(F.col("m") <= BLOCK).select("token", "g", "n", "pos")
+    small = light.where(F.col("m") <= BLOCK).select("token", "g", "n", "x", "pos")
     pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.token = y.token and x.g < y.g and {can_link('x', 'y', percent)}")).selectExpr("x.g as ga", "y.g as gb").distinct()
 
-    heavy = carriers.where(F.size("heavy") > 0).select("g", "n", F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token"))
-    blocks = light.where(F.col("m") > BLOCK).select("token", "g", "n", "pos").unionByName(heavy.select("token", "g", "n", (F.col("at") + F.col("i")).alias("pos")))
+    heavy = carriers.where(F.size("heavy") > 0).select("g", "n", "x", F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token"))
+    blocks = light.where(F.col("m") > BLOCK).select("token", "g", "n", "x", "pos").unionByName(heavy.select("token", "g", "n", "x", (F.col("at") + F.col("i")).alias("pos")))
     blocks = cut(blocks.dropDuplicates(["token", "g"]), "join-blocks")
-    pivot = blocks.groupBy("token").agg(F.min("g").alias("pg"))
-    stars = blocks.join(cut(pivot, "join-pivots"), "token").where("g != pg").select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
+    pivot = blocks.groupBy("token").agg(F.min(F.struct("g", "n", "x")).alias("p"))
+    stars = blocks.join(cut(pivot, "join-pivots"), "token").where("g != p.g").where(near("x", "p.x", "n + p.n", percent)).withColumn("pg", F.col("p.g")).select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
 
     side = lambda x: classes.select(F.col("g").alias(f"g{x}"), F.col("u").alias(x), F.col("k").alias(f"k{x}"))
     tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried").join(side("a"), "ga").join(side("b"), "gb").select("a", "ka", "b", "kb")
     # groups of several classes: their first class with each other
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u")))
-    several = cut(classes.groupBy("g").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.col("f.u").alias("a"), F.col("f.k").alias("ka")), "join-several")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"), F.col("x").alias("x")))
+    several = cut(classes.groupBy("g").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.col("f.u").alias("a"), F.col("f.k").alias("ka"), F.col("f.x").alias("xa")), "join-several")
     member = classes.join(several, "g")
-    within = member.where("u != a").select("a", "ka", F.col("u").alias("b"), F.col("k").alias("kb"))
+    within = member.where("u != a").where(near("x", "xa", "n + n", percent)).select("a", "ka", F.col("u").alias("b"), F.col("k").alias("kb"))
     good = verify(tried.unionByName(within), docs, percent)
     found = components(good)
 
     # what the stars left open: pairs of one block in different components
-    many = member.select(F.col("g").alias("token"), "u", "k", "n", F.lit(0).alias("pos"), F.array("g").alias("shared"))
+    many = member.select(F.col("g").alias("token"), "u", "k", "n", "x", F.lit(0).alias("pos"), F.array("g").alias("shared"))
     order = blocks.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("shared"))
-    rows = blocks.select("token", "g", "pos").join(classes.select("g", "u", "k", "n"), "g").join(order, "g").select("token", "u", "k", "n", "pos", "shared").unionByName(many)
+    rows = blocks.select("token", "g", "pos").join(classes.select("g", "u", "k", "n", "x"), "g").join(order, "g").select("token", "u", "k", "n", "x", "pos", "shared").unionByName(many)
     rows = rows.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("root", "u"))
     open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rows = cut(rows.join(open_, "token", "left_semi").select("token", "u", "k", "n", "pos", "shared", "c"), "join-open")
+    rows = cut(rows.join(open_, "token", "left_semi").select("token", "u", "k", "n", "x", "pos", "shared", "c"), "join-open")
     cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.c != y.c and x.u < y.u and {can_link('x', 'y', percent)} and get(array_intersect(x.shared, y.shared), 0) = x.token"))
     late = verify(cross.selectExpr("x.u as a", "x.k as ka", "y.u as b", "y.k as kb").distinct(), docs, percent)
     if not late.isEmpty():
