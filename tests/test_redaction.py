@@ -184,8 +184,8 @@ def test_face_stage(spark):
     levels = [np.zeros((1, 2, 2, 2), np.float32), np.zeros((1, 4, 2, 2), np.float32)] * 4
     levels[6] = levels[6].copy()
     levels[6][0, 1, 1, 0] = 0.7
-    rows = faces.anchors_of(levels)
-    assert len(rows) == 16 and rows.iloc[14][["cx", "cy", "w", "h"]].tolist() == [16.0, 48.0, 32.0, 32.0]
+    box, scores = faces.anchors_of(levels)
+    assert len(box) == len(scores) == 16 and box[14].tolist() == [16.0, 48.0, 32.0, 32.0]
 
 
 def test_text_stage(spark):
@@ -224,7 +224,19 @@ def test_text_stage(spark):
 def test_regions_are_not_joined(spark):
     f = frames_of(spark, noise(20, 20), noise(10, 10))
     plan = redact(f, Options(regions=["0,0,15,15", "0,0,5,5"], mask="solid"))
-    text_ = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in text_ and "Exchange" not in text_
     big, small = images_of(plan)
     assert not big[:15, :15].any() and not small[:5, :5].any() and small[5:].any()
+    empty = lambda: lambda tensor: [np.zeros((1, 6, 3), np.float32)]
+    blank = lambda: lambda tensor: np.zeros((1, 1, *tensor.shape[2:]), np.float32)
+    for o in (Options(regions=["0,0,5,5"]), Options(face=faces.face_detector(empty, 64, 64), text=text.text_detector(blank, bands=[("top", 0.5)]), regions=["0,0,5,5"])):
+        shown = redact(f, o)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in shown and "Exchange" not in shown and "MapInArrow" in shown
+        assert len(images_of(redact(f, o))) == 2
+
+
+def test_detector_of_another_kind(spark):
+    def find(frames):
+        return frames.select("path", F.lit(0).alias("ord"), g.from_bbox(F.lit(2), F.lit(3), F.lit(6), F.lit(9)).alias("polygon"), F.lit(0.5).alias("score"))
+
+    out = images_of(redact(frames_of(spark, noise(12, 12) | 1), Options(face=find, mask="solid", scale=1.0)))[0]
+    assert not out[3:9, 2:6].any() and out[9:].all()

@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detections as d
 from ..functions import geometry as g
 from . import kernels as k
-from .raster import pixels
+from .raster import attached
 
 Model = Callable[[np.ndarray], list[np.ndarray]]
 
@@ -31,64 +30,78 @@ def level_centre(cell_x: Column, cell_y: Column, level: Column, offsets: Column)
     return d.level_box(cell_x, cell_y, at(0), at(1), at(2), at(3), stride)
 
 
-def faces(anchors: DataFrame, by: list[str], threshold: float, ratio: Column, pad_x: Column | float = 0.0, pad_y: Column | float = 0.0, iou: float = d.NMS_IOU, top: int = d.NMS_TOP) -> DataFrame:
-    """by..., ord, label, score, polygon from anchors(by..., anchor, cx, cy, w, h, scores).
+def faces_of(anchors: Column, threshold: float, ratio: Column, pad_x: float = 0.0, pad_y: float = 0.0, iou: float = d.NMS_IOU, top: int = d.NMS_TOP) -> Column:
+    """Regions, as an array, of a frame's anchors, an array<struct<anchor, cx, cy, w, h, scores>>.
 
     An anchor counts if its best class isn't the first, which is background, and
     scores threshold at least; boxes that remain after suppression (which wants
     more than the threshold) are in order of their scores.
     """
-    pad_x, pad_y = (x if isinstance(x, Column) else F.lit(float(x)) for x in (pad_x, pad_y))
     f = F.when(ratio != 0, 1 / ratio).otherwise(F.lit(1.0))
-    found = anchors.withColumn("best", d.best_class(F.col("scores"))).where((F.col("best.score") >= threshold) & (F.col("best.cls") != 0))
-    box = d.yolo_box(F.col("cx").cast("double"), F.col("cy").cast("double"), F.col("w").cast("double"), F.col("h").cast("double"), f, f, pad_x, pad_y)
-    found = found.select(*by, "anchor", F.col("best.score").cast("double").alias("score"), box.alias("b")).where(F.col("score") > threshold)
-    row = F.struct((-F.col("score")).alias("s"), "anchor", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.w").alias("w"), F.col("b.h").alias("h"))
-    kept = found.groupBy(*by).agg(d.suppress(F.collect_list(row), iou, top).alias("kept"))
-    out = kept.select(*by, F.posexplode("kept").alias("ord", "k"))
-    return out.select(*by, "ord", F.lit("face").alias("label"), (-F.col("k.s")).alias("score"), g.from_bbox(F.col("k.x"), F.col("k.y"), F.col("k.x") + F.col("k.w"), F.col("k.y") + F.col("k.h")).alias("polygon"))
+    double = lambda x, n: x[n].cast("double")
+    box = lambda x: d.yolo_box(double(x, "cx"), double(x, "cy"), double(x, "w"), double(x, "h"), f, f, F.lit(float(pad_x)), F.lit(float(pad_y)))
+    rows = F.transform(anchors, lambda x: F.struct(d.best_class(x["scores"]).alias("best"), x["anchor"].alias("anchor"), box(x).alias("b")))
+    rows = F.filter(rows, lambda x: (x["best"]["score"] >= threshold) & (x["best"]["cls"] != 0) & (x["best"]["score"].cast("double") > threshold))
+    rows = F.transform(rows, lambda x: F.struct((-x["best"]["score"].cast("double")).alias("s"), x["anchor"].alias("anchor"), *[x["b"][n].alias(n) for n in "xywh"]))
+    polygon = lambda x: g.from_bbox(x["x"], x["y"], x["x"] + x["w"], x["y"] + x["h"])
+    return F.transform(d.suppress(rows, iou, top), lambda x, i: F.struct(i.alias("ord"), F.lit("face").alias("label"), (-x["s"]).alias("score"), polygon(x).alias("polygon")))
 
 
-def anchors_of(outputs: list[np.ndarray]) -> pd.DataFrame:
-    """A model's outputs as anchors.  One tensor: 1 x (4 + classes) x n; several: pairs of class scores and offsets, 1 x c x h x w, a pair for each level."""
+def faces(anchors: DataFrame, by: list[str], threshold: float, ratio: float, **how) -> DataFrame:
+    """by..., ord, label, score, polygon from a table of anchors(by..., anchor, cx, cy, w, h, scores)."""
+    lists = anchors.groupBy(*by).agg(F.collect_list(F.struct("anchor", "cx", "cy", "w", "h", "scores")).alias("a"))
+    return lists.select(*by, F.explode(faces_of(F.col("a"), threshold, F.lit(float(ratio)), **how)).alias("r")).select(*by, "r.*")
+
+
+def anchors_of(outputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes (centre and size) and scores of a model's anchors.  One tensor: 1 x (4 + classes) x n; several: pairs of class scores and offsets, 1 x c x h x w, a pair for each level."""
     if len(outputs) == 1:
         rows = outputs[0].reshape(outputs[0].shape[-2:]).T
-        box, scores = rows[:, :4].astype(float), rows[:, 4:]
-    else:
-        boxes, scores = [], []
-        for level in range(len(outputs) // 2):
-            cls, reg = outputs[2 * level][0], outputs[2 * level + 1][0].astype(float)
-            stride = STRIDES[min(level, len(STRIDES) - 1)]
-            ys, xs = np.mgrid[0 : cls.shape[1], 0 : cls.shape[2]]
-            parts = ((xs + 0.5 + reg[0]) * stride, (ys + 0.5 + reg[1]) * stride, np.exp(reg[2]) * stride, np.exp(reg[3]) * stride)
-            boxes.append(np.stack([p.ravel() for p in parts], axis=1))
-            scores.append(cls.reshape(len(cls), -1).T)
-        box, scores = np.concatenate(boxes), np.concatenate(scores)
-    return pd.DataFrame({"anchor": np.arange(len(box)), "cx": box[:, 0], "cy": box[:, 1], "w": box[:, 2], "h": box[:, 3], "scores": list(scores.astype(np.float32))})
-
-
-def face_detector(model: Callable[[], Model], width: int, height: int, threshold: float = 0.3, order: str = "rgb", iou: float = d.NMS_IOU) -> Callable[[DataFrame], DataFrame]:
-    """frames(path, image) -> regions.  model() is called once in each task and gets tensors of 1 x 3 x height x width.
-
-    The kernel gives only anchors that could count; choice, boxes and suppression are expressions.
+        return rows[:, :4].astype(float), rows[:, 4:]
+    boxes, scores = [], []
+    for level in range(len(outputs) // 2):
+        cls, reg = outputs[2 * level][0], outputs[2 * level + 1][0].astype(float)
+        stride = STRIDES[min(level, len(STRIDES) - 1)]
+        ys, xs = np.mgrid[0 : cls.shape[1], 0 : cls.shape[2]]
+        parts = ((xs + 0.5 + reg[0]) * stride, (ys + 0.5 + reg[1]) * stride, np.exp(reg[2]) * stride, np.exp(reg[3]) * stride)
+        boxes.append(np.stack([p.ravel() for p in parts], axis=1))
+        scores.append(cls.reshape(len(cls), -1).T)
+    return np.concatenate(boxes), np.concatenate(scores)
+
+
+class FaceDetector:
+    """Faces of a frame.  model() is called once in each task and gets tensors of 1 x 3 x height x width.
+
+    The kernel gives only anchors that could count; choice, boxes and
+    suppression are expressions.  A call gives a table of regions; attach() a
+    column of them, for which frames are neither joined nor shuffled.
     """
 
-    def stage(frames: DataFrame) -> DataFrame:
-        by = [c for c in ("path", "frame_index") if c in frames.columns]
-        names = [*by, "ratio", "anchor", "cx", "cy", "w", "h", "scores"]
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*by).schema) + ", ratio double, anchor int, cx double, cy double, w double, h double, scores array<float>"
+    def __init__(self, model: Callable[[], Model], width: int, height: int, threshold: float = 0.3, order: str = "rgb", iou: float = d.NMS_IOU):
+        self.model, self.size, self.threshold, self.order, self.iou = model, (width, height), threshold, order, iou
 
-        def run(batches):
+    def attach(self, frames: DataFrame, name: str) -> DataFrame:
+        model, (width, height), threshold, order = self.model, self.size, self.threshold, self.order
+
+        def kernel():
             call = model()
-            for b in batches:
-                parts = []
-                for key, image in zip(b[by].itertuples(index=False, name=None), b["image"], strict=True):
-                    tensor, ratio = k.face_input(pixels(image), width, height, order)
-                    found = anchors_of(call(tensor))
-                    found = found[found["scores"].map(lambda s: s.max() >= threshold)]
-                    parts.append(found.assign(ratio=ratio, **dict(zip(by, key, strict=True))))
-                yield pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
-
-        return faces(frames.select(*by, "image").mapInPandas(run, schema).withColumn("_r", F.col("ratio")), by, threshold, F.col("_r"), iou=iou)
-
-    return stage
+
+            def find(frame: np.ndarray) -> dict:
+                tensor, ratio = k.face_input(frame, width, height, order)
+                box, scores = anchors_of(call(tensor))
+                hit = np.flatnonzero(scores.max(1) >= threshold)
+                rows = [{"anchor": int(i), "cx": b[0], "cy": b[1], "w": b[2], "h": b[3], "scores": x} for i, b, x in zip(hit, box[hit].tolist(), scores[hit].astype(np.float32).tolist(), strict=True)]
+                return {"ratio": ratio, "anchors": rows}
+
+            return find
+
+        kind = "struct<ratio:double,anchors:array<struct<anchor:int,cx:double,cy:double,w:double,h:double,scores:array<float>>>>"
+        out = attached(frames, name, kind, kernel)
+        return out.withColumn(name, faces_of(F.col(name)["anchors"], threshold, F.col(name)["ratio"], iou=self.iou))
+
+    def __call__(self, frames: DataFrame) -> DataFrame:
+        by = [c for c in ("path", "frame_index") if c in frames.columns]
+        return self.attach(frames.select(*by, "image"), "_found").select(*by, F.explode("_found").alias("r")).select(*by, "r.*")
+
+
+face_detector = FaceDetector

@@ -8,9 +8,10 @@ Models are functions on arrays, so any runtime will do: a detector gets a tensor
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from ..functions import geometry as g
 from ..functions import specs as s
 from . import kernels as k
 from . import regions as r
-from .raster import pixels, polygon_stencil
+from .raster import REGIONS, attached, polygon_stencil
 
 Model = Callable[[np.ndarray], np.ndarray]
 
@@ -27,8 +28,6 @@ PIXEL, BOX, MOST, WIDEN, LEAST = 0.3, 0.5, 1000, 1.6, 3
 #: Crops recognised at once, and the least ratio of width to height they are padded to.
 AT_ONCE, RATIO = 8, 320 / 48
 
-REGION = "ord int, label string, score double, polygon array<struct<x:int,y:int>>"
-
 
 def box_score(prob: np.ndarray, points: np.ndarray) -> float:
     """Mean probability inside a polygon, within the map."""
@@ -122,65 +121,72 @@ def recognise(crops: list[np.ndarray | None], model: Model, characters: list[str
 # ---- stages ------------------------------------------------------------------------------------------------------
 
 
-def detect_text(frames: DataFrame, model: Callable[[], Model], by: list[str], pixel: float = PIXEL, box: float = BOX, widen: float = WIDEN, dilate: bool = True) -> DataFrame:
-    """by..., ord, label, score, polygon of all text in frames(by..., image).  model() is called once in each task."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*by).schema) + ", " + REGION
+def detect_text(frames: DataFrame, name: str, model: Callable[[], Model], pixel: float = PIXEL, box: float = BOX, widen: float = WIDEN, dilate: bool = True) -> DataFrame:
+    """frames(..., image) with all text found, as array<struct<ord, label, score, polygon>>.  model() is called once in each task."""
 
-    def run(batches):
+    def kernel():
         call = model()
-        for b in batches:
-            rows = []
-            for key, image in zip(b[by].itertuples(index=False, name=None), b["image"], strict=True):
-                frame = pixels(image)
-                prob = call(k.text_input(k.from_bgr(frame, "rgb")))[0, 0]
-                found = to_regions(quads(prob, frame.shape[1], frame.shape[0], pixel, box, widen=widen, dilate=dilate))
-                rows += [dict(zip(by, key, strict=True)) | x for x in found]
-            yield pd.DataFrame(rows, columns=[*by, "ord", "label", "score", "polygon"])
 
-    return frames.select(*by, "image").mapInPandas(run, schema)
+        def find(frame: np.ndarray) -> list[dict]:
+            prob = call(k.text_input(k.from_bgr(frame, "rgb")))[0, 0]
+            return to_regions(quads(prob, frame.shape[1], frame.shape[0], pixel, box, widen=widen, dilate=dilate))
+
+        return find
 
+    return attached(frames, name, REGIONS, kernel)
 
-def read_text(frames: DataFrame, regions: DataFrame, model: Callable[[], Model], characters: list[str], by: list[str]) -> DataFrame:
-    """regions with text and rec_score.  A frame's crops are recognised in order of ord, AT_ONCE at a time."""
-    fields = [f for f in regions.schema if f.name not in by]
-    lists = regions.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", *[f.name for f in fields if f.name != "ord"]))).alias("found"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*frames.select(*by).schema, *fields]) + ", text string, rec_score double"
 
-    def run(batches):
+def read_text(frames: DataFrame, name: str, regions: str, model: Callable[[], Model], characters: list[str]) -> DataFrame:
+    """frames(..., image, regions) with text and rec_score of each region, in its place.  A frame's crops are recognised AT_ONCE at a time."""
+
+    def kernel():
         call = model()
-        for b in batches:
-            rows = []
-            for key, image, found in zip(b[by].itertuples(index=False, name=None), b["image"], b["found"], strict=True):
-                frame = pixels(image)
-                crops = [k.cut_quad(frame, [(p["x"], p["y"]) for p in x["polygon"]]) for x in found]
-                for x, (text, score) in zip(found, recognise(crops, call, characters), strict=True):
-                    rows.append(dict(zip(by, key, strict=True)) | dict(x) | {"text": text, "rec_score": score})
-            yield pd.DataFrame(rows, columns=[*by, *[f.name for f in fields], "text", "rec_score"])
-
-    return frames.select(*by, "image").join(lists, by).mapInPandas(run, schema)
-
-
-def text_detector(
-    detect: Callable[[], Model], recognise_: Callable[[], Model] | None = None, characters: list[str] | None = None, bands: list[tuple[str, float]] | None = None, patterns: list[str] | None = None,
-    pixel: float = PIXEL, box: float = BOX, confidence: float = 0.0, widen: float = WIDEN, dilate: bool = True,
-) -> Callable[[DataFrame], DataFrame]:
-    """frames(path, image) -> regions: all text, then what bands let through, then what is read with enough confidence and fits a pattern."""
-    if patterns and not (recognise_ and characters):
-        raise ValueError("patterns need a recogniser and its characters")
-    s.check_patterns(patterns or [])
-
-    def stage(frames: DataFrame) -> DataFrame:
+
+        def read(frame: np.ndarray, found: list[dict] | None) -> list[dict]:
+            crops = [k.cut_quad(frame, [(p["x"], p["y"]) for p in x["polygon"]]) for x in found or []]
+            return [{"text": text, "rec_score": score} for text, score in recognise(crops, call, characters)]
+
+        return read
+
+    return attached(frames, name, "array<struct<text:string,rec_score:double>>", kernel, regions)
+
+
+class TextDetector:
+    """All text of a frame, then what bands let through, then what is read with enough confidence and fits a pattern.
+
+    A call gives a table of regions; attach() a column of them, for which frames
+    are neither joined nor shuffled.  Bands alone need no recogniser.
+    """
+
+    def __init__(
+        self, detect: Callable[[], Model], recognise: Callable[[], Model] | None = None, characters: list[str] | None = None, bands: list[tuple[str, float]] | None = None, patterns: list[str] | None = None,
+        pixel: float = PIXEL, box: float = BOX, confidence: float = 0.0, widen: float = WIDEN, dilate: bool = True,
+    ):
+        if patterns and not (recognise and characters):
+            raise ValueError("patterns need a recogniser and its characters")
+        s.check_patterns(patterns or [])
+        self.detect, self.recognise, self.characters = detect, recognise, characters
+        self.bands, self.patterns, self.confidence = bands or [], patterns or [], confidence
+        self.how = {"pixel": pixel, "box": box, "widen": widen, "dilate": dilate}
+
+    def attach(self, frames: DataFrame, name: str) -> DataFrame:
+        out = detect_text(frames, name, self.detect, **self.how)
+        if self.bands:
+            size = F.col("image.width"), F.col("image.height")
+            out = out.withColumn(name, F.filter(name, lambda x: reduce(or_, [s.in_band(x["polygon"], F.lit(n), F.lit(ratio), *size) for n, ratio in self.bands])))
+        if self.patterns:
+            out = read_text(out, f"{name}_read", name, self.recognise, self.characters)
+            pairs = r.zipped(F.col(name), F.col(f"{name}_read"))
+            fits = F.filter(pairs, lambda x: (x["b"]["rec_score"] >= self.confidence) & s.matches_any(x["b"]["text"], self.patterns))
+            out = out.withColumn(name, F.transform(fits, lambda x: x["a"].withField("text", x["b"]["text"]).withField("rec_score", x["b"]["rec_score"]))).drop(f"{name}_read")
+        return out
+
+    def __call__(self, frames: DataFrame) -> DataFrame:
         by = [c for c in ("path", "frame_index") if c in frames.columns]
-        found = detect_text(frames, detect, by, pixel, box, widen, dilate)
-        if bands:
-            sizes = frames.select(*by, F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-            found = r.in_bands(found.join(sizes, by), bands, F.col("width"), F.col("height")).drop("width", "height")
-        if patterns:
-            found = read_text(frames, found, recognise_, characters, by)
-            found = found.where((F.col("rec_score") >= confidence) & s.matches_any(F.col("text"), patterns))
-        return found
-
-    return stage
+        return self.attach(frames.select(*by, "image"), "_found").select(*by, F.explode("_found").alias("r")).select(*by, "r.*")
+
+
+text_detector = TextDetector
 
 
 def filter_quads(boxes: DataFrame, width: int, height: int) -> DataFrame:

@@ -681,7 +681,7 @@ def anchors(spark, sf_dir) -> DataFrame:
 
 @query(faces_sql(ANCHOR, "2", "3", "5"))
 def q70_faces(spark, sf_dir):
-    return face_rows(anchors(spark, sf_dir), ratio=F.lit(0.5), pad_x=3.0, pad_y=5.0)
+    return face_rows(anchors(spark, sf_dir), ratio=0.5, pad_x=3.0, pad_y=5.0)
 
 
 LEVEL = """c as (select vec_id // 4 as frame, cast(vec_id % 4 as int) as level, cast(k as int) as k, [8, 16, 32, 32][vec_id % 4 + 1] as st, embedding[k * 8 + 1 : k * 8 + 8] as e from embeddings, (select unnest(range(0, 8)) as k)),
@@ -692,7 +692,7 @@ a as (select frame, level * 8 + k as anchor, (k % 4 + 0.5::double) * st + e[1]::
 def q71_faces_levels(spark, sf_dir):
     e = i.read(spark, sf_dir, "embeddings").select(F.floor(c("vec_id") / 4).alias("frame"), (c("vec_id") % 4).cast("int").alias("level"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "embedding")
     e = e.withColumn("e", F.slice("embedding", c("k") * 8 + 1, F.lit(8))).withColumn("b", faces.level_centre(c("k") % 4, F.floor(c("k") / 4), c("level"), c("e")))
-    return face_rows(e.select("frame", (c("level") * 8 + c("k")).alias("anchor"), "b.*", F.slice("e", 5, 4).alias("scores")), ratio=F.lit(0.25))
+    return face_rows(e.select("frame", (c("level") * 8 + c("k")).alias("anchor"), "b.*", F.slice("e", 5, 4).alias("scores")), ratio=0.25)
 
 
 @query(f"with {BOX} select id, x, y, w, h, greatest(0, least(1280, round_even(x / 600.0::double * 1280, 0)))::int as x1, greatest(0, least(720, round_even((y - 30) / 400.0::double * 720, 0)))::int as y1 from box")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import specs as s
-from ..operators import regions as r
 from ..operators.raster import MODES, SHAPES, mask_frames
 from .specs import polygon_of
 
@@ -39,31 +38,36 @@ class Options:
 
 
 def fixed(frames: DataFrame, specs: list[str]) -> Column:
-    """The fixed regions that lie inside a frame, as an array for mask_frames: literals, so neither joined nor shuffled."""
+    """The fixed regions that lie inside a frame, as an array of literals."""
     rows = [F.struct(F.lit(1).alias("stage"), F.lit(n).alias("ord"), F.lit(1.0).alias("factor"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in polygon_of(frames.sparkSession, spec)]).alias("polygon")) for n, spec in enumerate(specs)]
     return F.filter(F.array(*rows), lambda x: g.fully_inside(x["polygon"], F.col("image.width"), F.col("image.height")))
 
 
-def detect(frames: DataFrame, o: Options, by: list[str]) -> DataFrame | Column:
-    """All regions: faces, then fixed ones, then text.  Only faces are scaled."""
-    columns = [*by, "ord", "polygon", "factor"]
-    stages = {}
-    if o.face:
-        stages[0] = o.face(frames).withColumn("factor", F.lit(float(o.scale))).select(columns)
-    if o.text:
-        stages[2] = o.text(frames).withColumn("factor", F.lit(1.0)).select(columns)
-    if not stages:
-        return fixed(frames, o.regions)
-    if o.regions:
-        sized = frames.select(*by, F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-        stages[1] = r.fixed_regions(sized, o.regions).withColumn("factor", F.lit(1.0)).select(columns)
-    return r.union_stages(stages)
+def detected(frames: DataFrame, detector: Detector, name: str, by: list[str]) -> DataFrame:
+    """frames with a column of what a detector finds: its own, or a table of regions joined by key."""
+    if hasattr(detector, "attach"):
+        return detector.attach(frames, name)
+    lists = detector(frames).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "polygon"))).alias(name))
+    return frames.join(lists, by, "left")
 
 
 def redact(frames: DataFrame, o: Options) -> DataFrame:
-    """frames(path[, frame_index], image, ...) with everything found painted over."""
-    by = [c for c in ("path", "frame_index") if c in frames.columns]
-    return mask_frames(frames, detect(frames, o, by), by, o.mask, o.shape, o.mosaic_size, o.colour)
+    """frames(path[, frame_index], image, ...) with everything found painted over: faces, which alone are scaled, then fixed regions, then text.
+
+    Detectors see frames before anything is painted.  Those of this package add
+    columns to the frames, so all is one pass without a join or a shuffle.
+    """
+    by, out, parts = [c for c in ("path", "frame_index") if c in frames.columns], frames, []
+    staged = lambda name, stage, factor: F.transform(F.coalesce(F.col(name), F.array()), lambda x: F.struct(F.lit(stage).alias("stage"), x["ord"].alias("ord"), F.lit(float(factor)).alias("factor"), x["polygon"].alias("polygon")))
+    if o.face:
+        out = detected(out, o.face, "_face", by)
+        parts.append(staged("_face", 0, o.scale))
+    if o.regions:
+        parts.append(fixed(frames, o.regions))
+    if o.text:
+        out = detected(out, o.text, "_text", by)
+        parts.append(staged("_text", 2, 1.0))
+    return mask_frames(out, F.concat(*parts), by, o.mask, o.shape, o.mosaic_size, o.colour).select(*frames.columns)
 
 
 def with_outputs(frames: DataFrame, root: str, out: str) -> DataFrame:
