@@ -23,9 +23,9 @@ def fixed_regions(frames: DataFrame, specs: list[str]) -> DataFrame:
 
     The regions are a literal array exploded per frame, so frames aren't shuffled.
     """
-    from ..plans.specs import polygon_of
+    from ..plans.specs import polygons_of
 
-    polygons = [polygon_of(frames.sparkSession, x) for x in specs]
+    polygons = polygons_of(frames.sparkSession, specs)
     rows = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(f"region_{n}").alias("label"), F.lit(1.0).alias("score"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in p]).alias("polygon")) for n, p in enumerate(polygons)])
     if not specs:
         return frames.select("*", F.lit(0).alias("ord"), F.lit("").alias("label"), F.lit(1.0).alias("score"), F.array(g.point(F.lit(0), F.lit(0))).alias("polygon")).limit(0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import specs as s
 from ..operators.raster import MODES, SHAPES, mask_frames
-from .specs import polygon_of
+from .specs import polygons_of
 
 #: frames(path[, frame_index], image) -> regions(path[, frame_index], ord, polygon, score)
 Detector = Callable[[DataFrame], DataFrame]
@@ -39,7 +39,7 @@ class Options:
 
 def fixed(frames: DataFrame, specs: list[str]) -> Column:
     """The fixed regions that lie inside a frame, as an array of literals."""
-    rows = [F.struct(F.lit(1).alias("stage"), F.lit(n).alias("ord"), F.lit(1.0).alias("factor"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in polygon_of(frames.sparkSession, spec)]).alias("polygon")) for n, spec in enumerate(specs)]
+    rows = [F.struct(F.lit(1).alias("stage"), F.lit(n).alias("ord"), F.lit(1.0).alias("factor"), F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in polygon]).alias("polygon")) for n, polygon in enumerate(polygons_of(frames.sparkSession, specs))]
     return F.filter(F.array(*rows), lambda x: g.fully_inside(x["polygon"], F.col("image.width"), F.col("image.height")))
 
 
