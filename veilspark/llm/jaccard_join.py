@@ -271,13 +271,14 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     good = verify(tried.unionByName(within), docs, percent)
     found = components(good)
 
-    # what the stars left open: pairs of one block in different components
-    many = member.select(F.col("g").alias("token"), "u", "k", "n", "x", F.lit(0).alias("pos"), F.array("g").alias("shared"))
-    order = blocks.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("shared"))
-    rows = blocks.select("token", "g", "pos").join(classes.select("g", "u", "k", "n", "x"), "g").join(order, "g").select("token", "u", "k", "n", "x", "pos", "shared").unionByName(many)
-    rows = rows.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("root", "u"))
+    # what the stars left open: pairs of one block in different components.  All tokens that such a pair shares are open
+    many = member.select(F.col("g").alias("token"), "u", "k", "n", "x", F.lit(0).alias("pos"))
+    rows = blocks.select("token", "g", "pos").join(classes.select("g", "u", "k", "n", "x"), "g").select("token", "u", "k", "n", "x", "pos").unionByName(many)
+    rows = rows.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("root", "u")).drop("root")
     open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rows = cut(rows.join(open_, "token", "left_semi").select("token", "u", "k", "n", "x", "pos", "shared", "c"), "join-open")
+    rows = cut(rows.join(open_, "token", "left_semi"), "join-open")
+    order = rows.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("shared"))
+    rows = rows.join(order, "u")
     cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.c != y.c and x.u < y.u and {can_link('x', 'y', percent)} and get(array_intersect(x.shared, y.shared), 0) = x.token"))
     late = verify(cross.selectExpr("x.u as a", "x.k as ka", "y.u as b", "y.k as kb").distinct(), docs, percent)
     if not late.isEmpty():
