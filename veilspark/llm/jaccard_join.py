@@ -52,7 +52,7 @@ PERCENT = 80
 #: of them (1 MB) are broadcast.  Any that are not show as large blocks.
 SAMPLE, HEAVY, LISTED = 32, 3, 1 << 17
 #: Groups in a block that are compared with each other at once.
-BLOCK = 8
+BLOCK = 64
 #: Words whose hashes a worker remembers.
 CACHE = 1 << 16
 
