@@ -8,6 +8,7 @@ from veilspark.functions import geometry as g
 from veilspark.functions import specs as s
 from veilspark.operators import faces, kernels, raster, text
 from veilspark.operators import regions as r
+from veilspark.plans import catalogue
 from veilspark.plans.redact import Options, redact
 from veilspark.plans.specs import band_of, polygon_of, value_of
 
@@ -240,3 +241,16 @@ def test_detector_of_another_kind(spark):
 
     out = images_of(redact(frames_of(spark, noise(12, 12) | 1), Options(face=find, mask="solid", scale=1.0)))[0]
     assert not out[3:9, 2:6].any() and out[9:].all()
+
+
+def test_results_are_placed_once_though_boxes_agree_in_all_but_their_scores(spark, tmp_path):
+    one = "1L as l_orderkey, 2L as l_partkey, 3L as l_suppkey, 1 as l_linenumber, 4.0D as l_quantity"
+    spark.sql(f"select {one}, explode(array(0.01D, 0.02D, 0.02D)) as l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["q66_scatter_results"](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["text"], round(r["rec_score"], 6)) for r in got) == [(11, "t11", 0.1), (11, "t11", 0.2), (11, "t11", 0.2)]
+
+
+def test_results_of_unknown_places_and_unknown_results_are_kept(spark):
+    rows = spark.createDataFrame([(None, 1), (7, 2), (8, 3)], "a int, b int")
+    got = r.placed(rows, spark.createDataFrame([(None, 1, "x", 0.5), (7, 2, None, None)], "a int, b int, text string, rec_score double"), ["a", "b"])
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[1]) == [(None, 1, "x", 0.5), (7, 2, None, None), (8, 3, "", 0.0)]

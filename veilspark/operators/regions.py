@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +63,14 @@ def sequenced(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def placed(rows: DataFrame, results: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with the results of those that have any, by their places; '' and 0 for the rest, which stay where they are."""
-    out = rows.join(results, by, "left")
-    return out.withColumns({"text": F.coalesce("text", F.lit("")), "rec_score": F.coalesce("rec_score", F.lit(0.0))})
+    """Rows with the results (one for each place) of those that have any, by their places; '' and 0 for the rest, which stay where they are.
+
+    Unknown parts of a place are as good as known ones, and results are kept as they are, unknown ones too.
+    """
+    results = results.select(F.struct(*by).alias("_place"), F.struct("text", "rec_score").alias("_result"))
+    out = rows.join(results, reduce(and_, [F.col(f"_place.{c}").eqNullSafe(rows[c]) for c in by]), "left")
+    read = lambda name, none: F.when(F.col("_result").isNull(), F.lit(none)).otherwise(F.col(f"_result.{name}")).alias(name)
+    return out.select(*rows.columns, read("text", ""), read("rec_score", 0.0))
 
 
 def zipped(left: Column, right: Column, strict: bool = True) -> Column:
