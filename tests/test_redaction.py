@@ -254,3 +254,17 @@ def test_results_of_unknown_places_and_unknown_results_are_kept(spark):
     rows = spark.createDataFrame([(None, 1), (7, 2), (8, 3)], "a int, b int")
     got = r.placed(rows, spark.createDataFrame([(None, 1, "x", 0.5), (7, 2, None, None)], "a int, b int, text string, rec_score double"), ["a", "b"])
     assert sorted(map(tuple, got.collect()), key=lambda x: x[1]) == [(None, 1, "x", 0.5), (7, 2, None, None), (8, 3, "", 0.0)]
+
+
+def test_boxes_of_many_frames_become_polygons_at_once():
+    rng = np.random.default_rng(3)
+    boxes = rng.integers(-50, 50, (200_000, 1, 2)) + rng.integers(0, 6, (200_000, 4, 2))
+    parts = text.polygons(boxes, 10, -5)
+    assert sorted(np.concatenate([rows for rows, _ in parts]).tolist()) == list(range(len(boxes)))
+    for rows, polygons in parts:
+        for i, p in list(zip(rows, polygons.tolist(), strict=True))[:200]:
+            want = boxes[i] + [10, -5]
+            if not kernels.is_convex(want):
+                want = np.trunc(kernels.least_rectangle(want - want[0])[0] + want[0])
+            assert p == want.tolist()
+    assert text.polygons(boxes[:, :2]) == []

@@ -8,7 +8,7 @@ Models are functions on arrays, so any runtime will do: a detector gets a tensor
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import numpy as np
@@ -77,16 +77,39 @@ def quads(prob: np.ndarray, width: int, height: int, pixel: float = PIXEL, box:
     return out
 
 
+@lru_cache(1 << 16)
+def rectangle_of(form: bytes) -> np.ndarray:
+    """The corners of the least rectangle around some whole points."""
+    return k.least_rectangle(np.frombuffer(form, np.int64).reshape(-1, 2))[0]
+
+
+def polygons(boxes: np.ndarray, dx: int = 0, dy: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Boxes of as many points each (n x k x 2) as parts (rows, polygons): those that are convex, and the others' least rectangles.
+
+    Rectangles are found once for boxes of a form.  Under three points are no polygon.
+    """
+    whole = np.trunc(np.asarray(boxes, float) + [dx, dy]).astype(np.int64)
+    if whole.shape[1] < 3:
+        return []
+    convex = k.are_convex(whole)
+    some = whole[~convex]
+    out = [(np.flatnonzero(convex), whole[convex])]
+    if len(some):
+        corners = np.stack([rectangle_of(f) for f in map(bytes, (some - some[:, :1]).reshape(len(some), -1))])
+        out.append((np.flatnonzero(~convex), np.trunc(corners + some[:, :1]).astype(np.int64)))
+    return out
+
+
+def label_of(n: int, prefix: str = "osd_text") -> str:
+    return f"{prefix}_{n}"
+
+
 def to_regions(found: list[tuple[np.ndarray, float]], dx: int = 0, dy: int = 0, prefix: str = "osd_text") -> list[dict]:
     """Regions of boxes, numbered by place; what isn't convex becomes its least rectangle, what has under three points goes."""
     out = []
     for n, (points, score) in enumerate(found):
-        polygon = [(int(x + dx), int(y + dy)) for x, y in points]
-        if len(polygon) < 3:
-            continue
-        if not k.is_convex(polygon):
-            polygon = [(int(x), int(y)) for x, y in k.least_rectangle(np.array(polygon))[0]]
-        out.append({"ord": n, "label": f"{prefix}_{n}", "score": score, "polygon": [{"x": x, "y": y} for x, y in polygon]})
+        for _, some in polygons(np.asarray(points)[None], dx, dy):
+            out += [{"ord": n, "label": label_of(n, prefix), "score": score, "polygon": [{"x": x, "y": y} for x, y in p]} for p in some.tolist()]
     return out
 
 
