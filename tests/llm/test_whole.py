@@ -1,12 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
 import itertools
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from veilspark.llm import jaccard_join, language, lm_score, nearest
 
+from . import brute
+
 
 def test_lm_trains_on_every_position(spark):
     for n in range(40):
@@ -58,3 +61,25 @@ def test_jaccard_of_short_sets_of_heavy_tokens(spark, monkeypatch):
     lost = [i for i in range(n) if got[12 * i + 11] != 12 * i + 10]
     print("lost links", len(lost))
     assert not lost
+
+
+def test_large_group_of_near_copies_is_not_compared_in_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(5, 115), 1 + i % 3):
+            words[at] = f"n{i}x{at}"
+        texts.append((i, " ".join(words)))
+    tried = []
+    plain = jaccard_join.compare
+
+    def counted(pairs, docs, percent, kind):
+        tried.append(pairs.count())
+        return plain(pairs, docs, percent, kind)
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == brute.jaccard(texts)
+    assert sum(tried) < 20 * len(texts)

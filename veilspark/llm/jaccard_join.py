@@ -11,17 +11,21 @@ Heavy tokens (found in a hash sample; they only affect the order, never the
 result) and any other token that more than BLOCK groups turn out to share make
 large blocks, whose pairs would grow with the square.  Such a block is
 first joined as a star: one member with every other.  After the
-verified links have been made components, only pairs between different
-components remain to be tried, each at the first such token that its members
-share.  Groups with several classes are treated in the same way.  No block is
-gathered in a task: all joins are equi-joins that can spill and be split.
+verified links have been made components, ROUNDS more rounds of stars, each of
+PIVOTS members with all of other components, gather what is alike; then only
+pairs between different components remain to be tried, each at the first such
+token that its members share.  Groups with several classes are treated in the
+same way.  No block is gathered in a task: all joins are equi-joins that can
+spill and be split.
 
 The result is exact.  Pairs are met only if sizes, positions and parities of
-64 parts of the sets allow a link.  Many texts that share frequent shingles
+64 parts of the sets allow a link, and verified only if those of 512 parts do.
+Many texts that share frequent shingles
 without being alike still cost such a look for each pair; that is the limit of
 a prefix filter.  Text is
 shuffled only for classes that are in a candidate pair (beyond a million of
-them, all of it once).  Intermediate tables lie in the shared folder.
+them, all of it once).  Intermediate tables lie in the shared folder and are
+removed when nothing is computed from them any more.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and are linked with nothing; null ids are linked but name no
@@ -32,6 +36,7 @@ an empty result.  Only doc_id and text are read by links(); names cannot clash.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, ascii_words, cut, mix64, small_batches, table, tidy
+from .common import MIX, ascii_words, cut, done, mix64, small_batches, table, tidy
 from .url_filter import build_filter, may_hold
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,6 +58,10 @@ PERCENT = 80
 SAMPLE, HEAVY, LISTED = 32, 3, 1 << 17
 #: Groups in a block that are compared with each other at once.
 BLOCK = 64
+#: Rounds of further stars in the blocks that are still open, and members of a block that a round compares with the others.
+ROUNDS, PIVOTS = 2, 4
+#: 64-bit words of a set's parities.
+WIDE = 8
 #: Words whose hashes a worker remembers.
 CACHE = 1 << 16
 
@@ -96,24 +105,24 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
 
-SIGNATURES = "doc_id bigint, k bigint, n bigint, u bigint, g bigint, x bigint, light array<bigint>, heavy array<bigint>"
+SIGNATURES = "doc_id bigint, k bigint, n bigint, u bigint, g bigint, x bigint, w array<bigint>, light array<bigint>, heavy array<bigint>"
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """A row for each document: k (a hash of doc_id and text), set size n, class u, group g (null for empty sets), parities x, light and heavy tokens of the prefix."""
+    """A row for each document: k (a hash of doc_id and text), set size n, class u, group g (null for empty sets), parities x and w, light and heavy tokens of the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs))
 
     def sign(batches):
         hashes, heavy = WordHashes(), shared.value
         names = [x.split()[0] for x in SIGNATURES.split(", ")]
         for b in batches:
-            n, u, g, x, low, high = [], [], [], [], [], []
+            n, u, g, x, w, low, high = [], [], [], [], [], [], []
             for text in b.column(2).to_pylist():
                 # in order as signed numbers, as SQL compares tokens
                 s = np.sort(shingles(text, hashes).view(np.int64)).view(np.uint64)
                 n.append(len(s))
                 if not len(s):
-                    u.append(None), g.append(None), x.append(0), low.append([]), high.append([])
+                    u.append(None), g.append(None), x.append(0), w.append(None), low.append([]), high.append([])
                     continue
                 p = prefix_size(len(s), percent)
                 is_heavy = np.zeros(len(s), bool)
@@ -124,20 +133,23 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 rest = s[is_heavy][: p - len(light)]
                 digest = lambda *x: int(np.int64(xxhash.xxh3_64_intdigest(b"".join(y.tobytes() for y in x)) - (1 << 63)))
                 u.append(digest(s))
-                x.append(int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))).view(np.int64)))
+                odd = np.packbits((np.bincount((s & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1).astype(bool), bitorder="little").view(np.int64)
+                w.append(odd)
+                x.append(int(np.bitwise_xor.reduce(odd)))
                 g.append(digest(np.array([len(s)]), light, rest))
                 low.append(light.view(np.int64)), high.append(rest.view(np.int64))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, k) for v, k in zip((n, u, g, x, low, high), kinds, strict=True))], names=names)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, k) for v, k in zip((n, u, g, x, w, low, high), kinds, strict=True))], names=names)
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(tidy(sign), SIGNATURES)
 
 
-def can_link(a: str, b: str, percent: int) -> str:
+def can_link(a: str, b: str, percent: int, parities: Callable[..., str] | None = None) -> str:
     """SQL: sizes and positions allow the link, if tokens a and b are the first that the two sets share, and so do parities."""
+    x, test = ("w", parities) if parities else ("x", near)
     m, o = 100 + percent, percent
     return f"""least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {o}
-               and least({a}.n - {a}.pos, {b}.n - {b}.pos) * {m} >= ({a}.n + {b}.n) * {o} and {near(f"{a}.x", f"{b}.x", f"{a}.n + {b}.n", percent)}"""
+               and least({a}.n - {a}.pos, {b}.n - {b}.pos) * {m} >= ({a}.n + {b}.n) * {o} and {test(f"{a}.{x}", f"{b}.{x}", f"{a}.n + {b}.n", percent)}"""
 
 
 def near(x: str, y: str, sizes: str, percent: int) -> str:
@@ -149,6 +161,12 @@ def near(x: str, y: str, sizes: str, percent: int) -> str:
     return f"coalesce(bit_count({x} ^ {y}) * {100 + percent} <= ({sizes}) * {100 - percent}, true)"
 
 
+def wide(a: str, b: str, sizes: str, percent: int) -> str:
+    """SQL: two sets may link by their parities in WIDE words."""
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(WIDE))
+    return f"({differ}) * {100 + percent} <= ({sizes}) * {100 - percent}"
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of pairs(a, ka, b, kb) of classes whose whole sets, taken from the documents ka and kb, link.
 
@@ -159,13 +177,14 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = cut(pairs, "join-pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    tried = cut(compare(pairs, docs, percent, np.uint32), "join-tried")
+    tried = compare(pairs, docs, percent, np.uint32)
+    done(pairs)
     sure, unsure = tried.where("linked").select("a", "b"), tried.where("linked is null").select("a", "ka", "b", "kb")
     return sure if unsure.isEmpty() else sure.unionByName(compare(unsure, docs, percent, np.uint64).where("linked").select("a", "b"))
 
 
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> DataFrame:
-    """pairs with linked: whether the sets, hashes cut to kind, link; null if collisions might decide that."""
+    """pairs with linked: whether the sets, hashes cut to kind, link; null if collisions might decide that.  As a table."""
     wanted = cut(pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct(), "join-wanted")
     # a filter keeps most other texts out of the join
     some = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text")
@@ -195,7 +214,9 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
                 linked.append(None if abs(over) < near else over >= 0)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], names=["a", "ka", "b", "kb", "linked"])
 
-    return both.mapInArrow(tidy(check), "a bigint, ka bigint, b bigint, kb bigint, linked boolean")
+    out = cut(both.mapInArrow(tidy(check), "a bigint, ka bigint, b bigint, kb bigint, linked boolean"), "join-tried")
+    done(wanted, whole)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,45 +266,77 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs, percent), "join-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k")))
-    classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("x").alias("x")).select("u", "n", "g", "x", "f.id", "f.k"), "join-classes")
+    some = [F.first(c).alias(c) for c in ("n", "g", "w")]
+    classes = cut(signed.where("u is not null").groupBy("u").agg(first.alias("f"), *some).select("u", "n", "g", "w", "f.id", "f.k"), "join-classes")
     # a group's prefix is taken from one document; parities are known of a group of one class
     carriers = signed.where("u is not null").groupBy("g").agg(F.min_by(F.struct("n", "x", "light", "heavy"), F.struct("u", "k")).alias("c"), (F.min("u") == F.max("u")).alias("one"))
     carriers = cut(carriers.select("g", "c.n", F.expr("if(one, c.x, null)").alias("x"), "c.light", "c.heavy"), "join-carriers")
-    light = carriers.select("g", "n", "x", F.posexplode("light").alias("pos", "token"))
+    whole, signed = signed, cut(signed.select("doc_id", "k", "n", "u"), "join-documents")
+    done(whole)
+    # tokens are met without parities: most are found once
+    light = carriers.select("g", F.col("n").cast("int").alias("n"), F.posexplode("light").alias("pos", "token"))
     light = light.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
     light = cut(light, "join-light")
-    small = light.where(F.col("m") <= BLOCK).select("token", "g", "n", "x", "pos")
+    small = light.where(F.col("m") <= BLOCK).select("token", "g", "n", "pos").join(carriers.select("g", "x"), "g")
+    small = cut(small, "join-small")
     pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.token = y.token and x.g < y.g and {can_link('x', 'y', percent)}")).selectExpr("x.g as ga", "y.g as gb").distinct()
 
     heavy = carriers.where(F.size("heavy") > 0).select("g", "n", "x", F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token"))
-    blocks = light.where(F.col("m") > BLOCK).select("token", "g", "n", "x", "pos").unionByName(heavy.select("token", "g", "n", "x", (F.col("at") + F.col("i")).alias("pos")))
+    large = light.where(F.col("m") > BLOCK).select("token", "g", "n", "pos").join(carriers.select("g", "x"), "g").select("token", "g", "n", "x", "pos")
+    blocks = large.unionByName(heavy.select("token", "g", "n", "x", (F.col("at") + F.col("i")).alias("pos")))
     blocks = cut(blocks.dropDuplicates(["token", "g"]), "join-blocks")
-    pivot = blocks.groupBy("token").agg(F.min(F.struct("g", "n", "x")).alias("p"))
-    stars = blocks.join(cut(pivot, "join-pivots"), "token").where("g != p.g").where(near("x", "p.x", "n + p.n", percent)).withColumn("pg", F.col("p.g")).select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
-
-    side = lambda x: classes.select(F.col("g").alias(f"g{x}"), F.col("u").alias(x), F.col("k").alias(f"k{x}"))
-    tried = cut(pairs.unionByName(stars).distinct(), "join-groups-tried").join(side("a"), "ga").join(side("b"), "gb").select("a", "ka", "b", "kb")
+    done(light, carriers)
+    pivot = cut(blocks.groupBy("token").agg(F.min(F.struct("g", "n", "x")).alias("p")), "join-pivots")
+    stars = blocks.join(pivot, "token").where("g != p.g").where(near("x", "p.x", "n + p.n", percent)).withColumn("pg", F.col("p.g")).select(F.least("g", "pg").alias("ga"), F.greatest("g", "pg").alias("gb")).distinct()
+
+    side = lambda x: classes.select(F.col("g").alias(f"g{x}"), F.col("u").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("w").alias(f"w{x}"))
+    groups = cut(pairs.unionByName(stars).distinct(), "join-groups-tried")
+    done(small, pivot)
+    tried = groups.join(side("a"), "ga").join(side("b"), "gb").where(wide("wa", "wb", "na + nb", percent)).select("a", "ka", "b", "kb")
     # groups of several classes: their first class with each other
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"), F.col("x").alias("x")))
-    several = cut(classes.groupBy("g").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.col("f.u").alias("a"), F.col("f.k").alias("ka"), F.col("f.x").alias("xa")), "join-several")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("k").alias("k"), F.col("u").alias("u"), F.col("w").alias("w")))
+    several = cut(classes.groupBy("g").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.col("f.u").alias("a"), F.col("f.k").alias("ka"), F.col("f.w").alias("wa")), "join-several")
     member = classes.join(several, "g")
-    within = member.where("u != a").where(near("x", "xa", "n + n", percent)).select("a", "ka", F.col("u").alias("b"), F.col("k").alias("kb"))
+    within = member.where("u != a").where(wide("w", "wa", "n + n", percent)).select("a", "ka", F.col("u").alias("b"), F.col("k").alias("kb"))
     good = verify(tried.unionByName(within), docs, percent)
+    done(groups)
     found = components(good)
 
     # what the stars left open: pairs of one block in different components.  All tokens that such a pair shares are open
-    many = member.select(F.col("g").alias("token"), "u", "k", "n", "x", F.lit(0).alias("pos"))
-    rows = blocks.select("token", "g", "pos").join(classes.select("g", "u", "k", "n", "x"), "g").select("token", "u", "k", "n", "x", "pos").unionByName(many)
-    rows = rows.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("root", "u")).drop("root")
-    open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rows = cut(rows.join(open_, "token", "left_semi"), "join-open")
+    many = member.select(F.col("g").alias("token"), "u", "k", "n", "w", F.lit(0).alias("pos"))
+    rows = blocks.select("token", "g", "pos").join(classes.select("g", "u", "k", "n", "w"), "g").select("token", "u", "k", "n", "w", "pos").unionByName(many)
+
+    def opened(rows: DataFrame) -> DataFrame:
+        rows = rows.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("root", "u")).drop("root")
+        open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
+        return cut(rows.join(open_, "token", "left_semi"), "join-open")
+
+    def joined(late: DataFrame) -> DataFrame:
+        known = found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return components(known.unionByName(late))
+
+    rows = opened(rows)
+    allowed = f"x.c != y.c and {can_link('x', 'y', percent, wide)}"
+    for turn in range(ROUNDS):
+        # other members each time, about PIVOTS of a block
+        seed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
+        pivots = cut(rows.join(seed, "token").where(f"pmod(xxhash64(u, {turn}), m) < {PIVOTS}").drop("m"), "join-pivots")
+        star = pivots.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and {allowed}"))
+        star = star.selectExpr("if(x.u < y.u, x.u, y.u) as a", "if(x.u < y.u, x.k, y.k) as ka", "if(x.u < y.u, y.u, x.u) as b", "if(x.u < y.u, y.k, x.k) as kb").distinct()
+        late = verify(star, docs, percent)
+        done(pivots)
+        if late.isEmpty():
+            break
+        found, before = joined(late), rows
+        rows = opened(rows.drop("c"))
+        done(before)
     order = rows.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("shared"))
     rows = rows.join(order, "u")
-    cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.c != y.c and x.u < y.u and {can_link('x', 'y', percent)} and get(array_intersect(x.shared, y.shared), 0) = x.token"))
+    cross = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.u < y.u and {allowed} and get(array_intersect(x.shared, y.shared), 0) = x.token"))
     late = verify(cross.selectExpr("x.u as a", "x.k as ka", "y.u as b", "y.k as kb").distinct(), docs, percent)
     if not late.isEmpty():
-        known = found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = components(known.unionByName(late))
+        found = joined(late)
+    done(blocks)
     classes = classes.select("u", "id", "k").join(found.withColumnRenamed("node", "u"), "u", "left")
     return signed, cut(classes.select("u", "id", "k", F.coalesce("root", "u").alias("c")), "join-found")
 
