@@ -6,9 +6,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilspark.llm import jaccard_join, language, lm_score, nearest
+from veilspark.llm import jaccard_join, language, lm_score, nearest, quality
 
 from . import brute
+from .test_brute import hold_quality
 
 
 def test_lm_trains_on_every_position(spark):
@@ -83,3 +84,13 @@ def test_large_group_of_near_copies_is_not_compared_in_all_pairs(spark, monkeypa
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert got == brute.jaccard(texts)
     assert sum(tried) < 20 * len(texts)
+
+
+def test_quality_trains_on_all_trusted_documents(spark, monkeypatch):
+    # many shards, and few n-grams that every task knows; over 2,000 trusted documents in the fold that trains
+    monkeypatch.setattr(quality, "SHARD", 3000)
+    monkeypatch.setattr(quality, "HOT", 100)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 997}" for _ in range(9)), "en") for i in range(5000)]
+    labels = [(i, 1, 0) for i in range(5000)]
+    hold_quality(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))

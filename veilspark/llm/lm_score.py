@@ -67,10 +67,10 @@ FLUSH = 200_000
 # ---- words -------------------------------------------------------------------------------------------------------
 
 
-def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """A column of texts as distinct words (A-Z lower-cased), each token's place among them, and each text's number of tokens."""
+def tokens(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A column of texts as distinct words (A-Z lower-cased, if lower), each token's place among them, and each text's number of tokens."""
     column = pc.fill_null(column, "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     flat = lists.flatten().dictionary_encode()
     at, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary
     # white space at a text's ends leaves empty strings
