@@ -94,3 +94,27 @@ def test_quality_trains_on_all_trusted_documents(spark, monkeypatch):
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 997}" for _ in range(9)), "en") for i in range(5000)]
     labels = [(i, 1, 0) for i in range(5000)]
     hold_quality(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+
+
+def test_lm_counts_every_window_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 1000)
+    monkeypatch.setattr(lm_score, "SHARD_WINDOWS", 500)
+    seen = []
+    real = lm_score.recurring
+
+    def kept(*a):
+        out = real(*a)
+        seen.extend(np.concatenate([np.frombuffer(r["c"], np.int64) for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(lm_score, "recurring", kept)
+    rng = random.Random(4)
+    long = [f"v{rng.randrange(10**9)}" for _ in range(3000)]
+    # of the long text's windows, those in the middle of each short one recur: 4 of 8
+    shorts = [" ".join(long[i : i + 8]) for i in range(100, 2900, 100)]
+    alone = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(8)) for _ in shorts]
+    rows = [(0, " ".join(long)), *enumerate(shorts + alone, 1)]
+    got = {r["doc_id"]: r["mean_log_prob"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    # told to the block of either text, once if both are in one
+    assert set(seen) == {2} and 4 * len(shorts) <= len(seen) <= 8 * len(shorts)
+    assert min(got[i] for i in range(1, len(shorts) + 1)) > max(got[i] for i in range(len(shorts) + 1, len(rows))) + 1

@@ -12,10 +12,13 @@ tokens.
 
 What a network of this size cannot keep is remembered beside it: windows (a
 token with SIDE neighbours on both sides) that recur elsewhere in the corpus.
-Windows are counted over all texts, a document's own occurrence left out, and
-the two predictions are mixed half and half.  Of a long text, the windows that
-are counted are chosen by their hashes (about ANCHORS, the same in every text
-that holds them); recurring ones stand for as large a share of its positions.
+Every window of every text is counted, a document's own occurrence left out, and
+the two predictions are mixed half and half; where windows recur, their share of
+a text's positions weighs them against the network's score of the whole text.
+Texts are dealt to blocks by a hash.  A block asks the shards for the counts of
+its distinct windows, each once, so a frequent one reaches its shard once a
+block; only counts of recurring windows come back.  This is done in TURNS parts
+by the windows' hashes, so that the questions of one part are on disk at once.
 
 Training reads every position of every text once, over ROUNDS rounds.  Equal
 texts train once.  Texts are dealt by a hash to shards, whose number follows
@@ -42,7 +45,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, cut, mix64, revive, small_batches, table, tidy
+from .common import MIX, HashIndex, cut, done, mix64, revive, small_batches, table, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -58,8 +61,10 @@ BATCH, RATE = 4096, 0.15
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
 #: Slices of the parameters, and networks that are summed at once.
 SLICES, FAN = 16, 64
-#: Windows of a text that are counted, about.
-ANCHORS = 32
+#: Tokens of a block of texts and windows of a shard, about; parts in which windows are counted.
+BLOCK_TOKENS, SHARD_WINDOWS, TURNS = 1_000_000, 2_000_000, 2
+#: Bits of a word's hash that windows go by; the others hold the spelling of unlisted words in half precision.
+KEEP = np.uint64(0xFFFFFFFFFFFF0000)
 #: Distinct words that a counting task holds.
 FLUSH = 200_000
 
@@ -176,6 +181,7 @@ class Lexicon:
         self.log_second[c, self.second[inner]] = np.log(n[inner] / top[self.first[inner]])
         p = pairs.reshape(256, 256) + 0.01
         self.spell = np.log(p / p.sum(1, keepdims=True)).ravel()
+        self.hashes = hashes_of(pa.array(words, pa.string()))
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words (the first may be ''), and the log-probability of the spelling of those that are not listed."""
@@ -353,7 +359,7 @@ def lexicon(docs: DataFrame) -> Lexicon:
 
 
 def encode(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, key (a hash of the text), n, ids, spell (log-probability of the spelling of unlisted words), anchors (hash, position, spelling)."""
+    """doc_id, key (a hash of the text), n, ids, spell (log-probability of the spelling of unlisted words), odd (hash and spelling of each unlisted word)."""
 
     def run(batches):
         lex = revive(Lexicon, shared.value)
@@ -362,21 +368,15 @@ def encode(docs: DataFrame, shared) -> DataFrame:
             ids, spell = lex.encode(words)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             spelt = np.concatenate([[0], np.cumsum(spell[at])])
-            found = windows(hashes_of_all(words)[at], sizes)
-            # of a text of n tokens, windows whose hash is divisible by a power of two of about n / ANCHORS
-            rate = np.left_shift(1, np.maximum(0, np.floor(np.log2(np.maximum(1, sizes / ANCHORS))).astype(np.int64)))
-            chosen = np.flatnonzero((found & np.repeat(rate - 1, sizes).astype(np.uint64)) == 0)
-            begin = np.searchsorted(chosen, ends)
-            place = chosen - np.repeat(ends[:-1], sizes)[chosen]
-            anchors = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.StructArray.from_arrays([pa.array(found[chosen].view(np.int64)), pa.array(place, pa.int32()), pa.array(spell[at][chosen], pa.float32())], names=["h", "at", "spell"]))
-            flat = ids[at].astype(np.uint16)
+            odd = (hashes_of_all(words) & KEEP) | np.maximum(spell, -60000).astype(np.float16).view(np.uint16).astype(np.uint64)
+            rare = ids[at] < SHAPES
+            upto = np.concatenate([[0], np.cumsum(rare)])[ends]
+            flat, odd = ids[at].astype(np.uint16), odd[at[rare]]
             key = [xxhash.xxh3_128_digest(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(key, pa.binary()), pa.array(sizes, pa.int64()), pa.array([flat[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array(np.diff(spelt[ends])), anchors],
-                names=["doc_id", "key", "n", "ids", "spell", "anchors"],
-            )
+            parts = lambda x, ends: pa.array([x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(sizes, pa.int64()), parts(flat, ends), pa.array(np.diff(spelt[ends])), parts(odd, upto)], names=["doc_id", "key", "n", "ids", "spell", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, key binary, n bigint, ids binary, spell double, anchors array<struct<h:bigint,at:int,spell:float>>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, key binary, n bigint, ids binary, spell double, odd binary")
 
 
 def hashes_of_all(words: pa.Array) -> np.ndarray:
@@ -388,11 +388,55 @@ def hashes_of_all(words: pa.Array) -> np.ndarray:
     return out
 
 
-def recurring(texts: DataFrame) -> DataFrame:
-    """key, recur: the anchors of each text whose windows occur elsewhere too, as (number of the anchor, occurrences elsewhere, spelling)."""
-    anchors = texts.select("key", "copies", F.posexplode("anchors").alias("i", "a")).select("key", "copies", "i", "a.h", "a.spell")
-    often = cut(anchors.groupBy("h").agg(F.sum("copies").alias("c")).where("c > 1"), "lm-recurring")
-    return anchors.join(often, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("c") - 1).alias("more"), "spell"))).alias("recur"))
+def opened(lex: Lexicon, block: pa.Table) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """A block's texts, and the window and the spelling (0: listed) at each of their positions."""
+    texts = Texts(block["ids"].to_pylist(), lex.end)
+    odd = np.frombuffer(b"".join(block["odd"].to_pylist()), np.uint64)
+    rare = texts.ids < SHAPES
+    hashes, spell = np.empty(len(rare), np.uint64), np.zeros(len(rare))
+    hashes[~rare], hashes[rare] = lex.hashes[texts.ids[~rare] - SHAPES] & KEEP, odd & KEEP
+    spell[rare] = (odd & ~KEEP).astype(np.uint16).view(np.float16)
+    return texts, windows(hashes, texts.sizes), spell
+
+
+def recurring(texts: DataFrame, shared, total: int) -> DataFrame:
+    """block, h, c: of each block of texts(block, copies, ids, odd), windows that occur more than once in the corpus, and how often."""
+    shards = max(1, -(-total // (SHARD_WINDOWS * TURNS)))
+
+    def ask(turn: int):
+        def run(block: pa.Table) -> pa.Table:
+            texts, found, _ = opened(revive(Lexicon, shared.value), block)
+            now = found % np.uint64(TURNS) == turn
+            h, at = np.unique(found[now], return_inverse=True)
+            n = np.bincount(at, weights=np.repeat(block["copies"].to_numpy(), texts.sizes)[now], minlength=len(h)).astype(np.int64)
+            shard = h // np.uint64(TURNS) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            ends = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(ends))
+            parts = lambda x: pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in some], pa.binary())
+            return pa.table({"shard": pa.array(some, pa.int64()), "block": pa.array(np.full(len(some), block["block"][0].as_py()), pa.int64()), "h": parts(h), "c": parts(n)})
+
+        return run
+
+    def answer(rows: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint64) for x in rows["h"].to_pylist()]
+        _, at = np.unique(np.concatenate(lists), return_inverse=True)
+        n = np.bincount(at, weights=np.frombuffer(b"".join(rows["c"].to_pylist()), np.int64)).astype(np.int64)[at]
+        out, begin = [], 0
+        for h in lists:
+            c = n[begin : begin + len(h)]
+            begin += len(h)
+            out.append((h[c > 1].tobytes(), c[c > 1].tobytes()))
+        return pa.table({"block": rows["block"], "h": pa.array([x for x, _ in out], pa.binary()), "c": pa.array([x for _, x in out], pa.binary())})
+
+    parts = []
+    for turn in range(TURNS):
+        asked = texts.select("block", "copies", "ids", "odd").groupBy("block").applyInArrow(ask(turn), "shard bigint, block bigint, h binary, c binary")
+        parts.append(cut(asked.groupBy("shard").applyInArrow(answer, "block bigint, h binary, c binary").where("length(h) > 0"), "lm-memory"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def train_round(texts: DataFrame, shared, start: np.ndarray, turn: int, rounds: int, shards: int) -> np.ndarray:
@@ -467,44 +511,42 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lex = lexicon(docs)
     shared = spark.sparkContext.broadcast(lex.__dict__)  # VOCAB words
     encoded = cut(encode(docs, shared), "lm-ids")
-    one = encoded.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "ids", "spell", "anchors")])
-    texts = cut(one.where("n > 0"), "lm-texts")
+    one = encoded.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "ids", "spell", "odd")])
+    texts = cut(one, "lm-texts")
+    whole, encoded = encoded, cut(encoded.select("doc_id", "key", "n"), "lm-documents")
+    done(whole)
     total = texts.agg(F.sum("n")).first()[0] or 0
     shards = min(MAX_SHARDS, -(-total // SHARD_TOKENS))
     flat = Net(lex).flat()
     for i in range(rounds if shards else 0):
         flat = train_round(texts, shared, flat, i, rounds, shards)
     given = spark.sparkContext.broadcast(flat)
-    memory = cut(recurring(texts), "lm-memory")
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // BLOCK_TOKENS)))))
+    memory = recurring(texts, shared, total)
 
-    def run(batches):
+    def run(block: pa.Table, memory: pa.Table) -> pa.Table:
         lex = revive(Lexicon, shared.value)
         net = Net(lex).load(given.value)
-        for b in batches:
-            lists = b.column(1).to_pylist()
-            texts = Texts(lists, lex.end)
-            lp = np.empty(len(texts.ids))
-            for i in range(0, len(lp), 8192):
-                k = slice(i, i + 8192)
-                lp[k] = net.log_probs(texts.contexts(k), lex.first[texts.ids[k]], lex.second[texts.ids[k]])
-            plain = np.diff(np.concatenate([[0], np.cumsum(lp)])[texts.ends]) + b.column(2).to_numpy()
-            sizes = b.column(3).value_lengths().to_numpy()
-            at = b.column(3).flatten().to_numpy() + np.repeat(texts.ends[:-1], sizes)
-            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(lp[at], pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plain), parts], names=["key", "plain", "parts"])
-
-    scored = texts.select("key", "ids", "spell", F.col("anchors.at").alias("at")).mapInArrow(tidy(run), "key binary, plain double, parts array<double>")
-    scored = cut(scored.join(memory, "key", "left"), "lm-scores")
+        texts, found, spell = opened(lex, block)
+        lp = np.empty(len(texts.ids))
+        for i in range(0, len(lp), 8192):
+            k = slice(i, i + 8192)
+            lp[k] = net.log_probs(texts.contexts(k), lex.first[texts.ids[k]], lex.second[texts.ids[k]])
+        by_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[texts.ends])
+        at = HashIndex(np.frombuffer(b"".join(memory["h"].to_pylist()), np.uint64)).find(found)
+        more = np.append(np.frombuffer(b"".join(memory["c"].to_pylist()), np.int64), 1)[at] - 1
+        # half of each prediction is the memory's: nothing, but where a window recurs
+        half = np.log(2.0)
+        mixed = np.where(at >= 0, np.log(np.exp(lp + spell) + more / (more + 1)) - half, 0.0)
+        share = by_text(at >= 0) / texts.sizes
+        alone = by_text(lp) + block["spell"].to_numpy() - texts.sizes * half
+        return pa.table({"key": block["key"], "log_prob": pa.array((1 - share) * alone + by_text(mixed))})
+
+    scored = texts.select("block", "key", "ids", "spell", "odd").groupBy("block").cogroup(memory.groupBy("block")).applyInArrow(run, "key binary, log_prob double")
+    scored = cut(scored, "lm-scores")
     given.destroy()
     shared.destroy()
-    out = encoded.select("doc_id", "key", "n").join(scored, "key", "left")
-    # half of each prediction is the memory's: nothing, but where a window recurs
-    half = F.log(F.lit(2.0))
-    mixed = F.aggregate("recur", F.lit(0.0), lambda sum_, r: sum_ + F.log(F.exp(F.get("parts", r["i"]) + r["spell"]) + r["more"] / (r["more"] + 1)) - half)
-    share = F.size("recur") / F.size("parts")
-    alone = F.col("plain") - F.col("n") * half
-    total = F.when(F.col("recur").isNull(), alone).otherwise((1 - share) * alone + share * F.col("n") * mixed / F.size("recur"))
-    out = out.withColumn("log_prob", F.coalesce(total, F.lit(0.0)))
+    out = encoded.join(scored, "key", "left").withColumn("log_prob", F.coalesce("log_prob", F.lit(0.0)))
     mean = F.when(F.col("n") > 0, F.col("log_prob") / F.col("n"))
     return out.select("doc_id", F.col("n").alias("n_tokens"), "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))
 
