@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
 import itertools
+import pathlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from veilspark.llm import jaccard_join, language, lm_score, nearest, quality
 
@@ -118,3 +120,37 @@ def test_lm_counts_every_window_of_long_texts(spark, monkeypatch):
     # told to the block of either text, once if both are in one
     assert set(seen) == {2} and 4 * len(shorts) <= len(seen) <= 8 * len(shorts)
     assert min(got[i] for i in range(1, len(shorts) + 1)) > max(got[i] for i in range(len(shorts) + 1, len(rows))) + 1
+
+
+def test_quality_model_and_answers_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SHARD", 6000)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60)), "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)], "doc_id bigint, quality int, toxic int")
+    live, peak, answers = {}, [0], []
+    cut, done, ask = quality.cut, quality.done, PandasCogroupedOps.applyInArrow
+
+    def kept(df, name):
+        out = cut(df, name)
+        live[out._cut_to] = sum(f.stat().st_size for f in pathlib.Path(out._cut_to).glob("*.parquet")) if name not in ("quality-training", "quality-words") else 0
+        peak[0] = max(peak[0], sum(live.values()))
+        return out
+
+    def removed(*tables):
+        for t in tables:
+            live.pop(t._cut_to)
+        done(*tables)
+
+    def asked(self, *a):
+        answers.append(ask(self, *a).count())
+        return ask(self, *a)
+
+    monkeypatch.setattr(quality, "cut", kept)
+    monkeypatch.setattr(quality, "done", removed)
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", asked)
+    assert quality.judge(docs, labels).count() == 3000
+    print("bytes a trigram", peak[0] / (1500 * 61), "answers", sum(answers))
+    # no row for each text and shard; about a trigram and a pair for each token are kept
+    assert sum(answers) < len(rows)
+    assert peak[0] < 28 * 1500 * 61

@@ -1,16 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Trusted documents are those labelled of good quality and not toxic.  All those
-of one fold (by a hash of the id) train the model: trigram counts are summed by
-Spark, sharded by n-gram; continuation counts, discounts and context weights
+of one fold (by a hash of the id) train the model: trigrams are counted in shards
+by their first two words; continuation counts, discounts and context weights
 are aggregates of those.  The words are all that they hold more than twice (the
 LISTED most frequent, if more); any other is its shape (case, marks, length),
 so invented words are no surprise but odd marks are.  Words and shapes are
 64-bit hashes, whose equality is taken for theirs.
 
 A log-probability is a sum of terms by word, which are broadcast, and of a
-bonus for each n-gram that training has met.  These stay in shards, whose
-number follows from theirs: texts ask shards for the sums of their n-grams, in
+bonus for each n-gram that training has met.  These stay in shards by an
+n-gram's last two words, whose number follows from that of all words: texts ask
+shards for the sums of their n-grams, one question for a trigram and its pair, in
 TURNS parts, so that the questions of one part are on disk at once; only the
 HOT most frequent are known to every task.  A document's perplexity is held
 against its language's quantile over all trusted documents that did not train; short
@@ -26,10 +27,13 @@ that start with ``_q_`` are reserved.
 
 from __future__ import annotations
 
+import functools
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +52,10 @@ LEAST = 30
 QUANTILE, MARGIN = 0.99, 1.25
 #: A short text's mean is drawn to its language's median as by so many further tokens.
 PRIOR = 8
-#: N-grams of a shard of the model, about; the most n-grams that every task knows; parts in which texts are looked up.
-SHARD, HOT, TURNS = 500_000, 1 << 18, 6
+#: N-grams of a shard of the model, about; the most n-grams that every task knows; parts in which texts are looked up, and in which trigrams change shards.
+SHARD, HOT, TURNS, PARTS = 500_000, 1 << 18, 6, 3
+#: Bits of a word in a key, and masks of the last word and the last two.
+LOW, LOW_ONE, LOW_TWO = np.uint64(20), np.uint64((1 << 20) - 1), np.uint64((1 << 40) - 1)
 START, END = 0, 1
 
 
@@ -107,35 +113,84 @@ class Lower:
         return np.log(self.uni), np.log(self.w / self.t)
 
 
-def discounts(counts: DataFrame) -> list[float]:
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed, after their count."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def swell(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def squeeze_sorted(key: np.ndarray) -> bytes:
+    return squeeze(np.diff(key, prepend=key.dtype.type(0)))
+
+
+def swell_sorted(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.cumsum(swell(data, kind), dtype=kind)
+
+
+def gathered(column: pa.ChunkedArray, read: Callable, kind: type) -> np.ndarray:
+    """What read finds in all values of a column, end to end."""
+    return np.concatenate([np.zeros(0, kind), *(read(x, kind) for x in column.to_pylist())])
+
+
+def shard_of(two: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(two) % np.uint64(shards)).astype(np.uint16 if shards < 65536 else np.uint32)
+
+
+def deal(shard: np.ndarray, shards: int) -> dict[int, np.ndarray]:
+    """The places of each shard that occurs, in order."""
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    return {int(s): order[ends[s] : ends[s + 1]] for s in np.flatnonzero(np.diff(ends))}
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return begin, np.diff(np.append(begin, len(x)))
+
+
+def histogram(counted: DataFrame) -> dict[int, int]:
+    """How many rows each n has, from counted(n, rows)."""
+    return {r["n"]: r["rows"] for r in counted.groupBy("n").agg(F.sum("rows").alias("rows")).collect()}
+
+
+def discounts(counts: dict[int, int]) -> np.ndarray:
     """Modified Kneser-Ney discounts of counts 1, 2 and more, from the numbers of n-grams of counts 1 to 4."""
-    n = [float(x or 0) for x in counts.agg(*[F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]).first()]
+    n = [float(counts.get(i, 0)) for i in (1, 2, 3, 4)]
     if min(n) <= 0:
-        return [0.5, 0.75, 0.9]
+        return np.array([0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+    return np.array([min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)])
 
 
-def least(counts: DataFrame, most: int, low: int) -> int:
-    """The least n, low or more, that no more than most rows of counts(n) reach."""
+def least(counts: dict[int, int], most: int, low: int) -> int:
+    """The least n, low or more, that no more than most rows reach."""
     held = 0
-    for r in sorted(counts.where(F.col("n") >= low).groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
-        held += r["rows"]
+    for n in sorted((n for n in counts if n >= low), reverse=True):
+        held += counts[n]
         if held > most:
-            return r["n"] + 1
+            return n + 1
     return low
 
 
-def off(d: list[float]):
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-
-
-def train(sample: DataFrame) -> tuple[Lower, DataFrame, DataFrame]:
-    """Of sample(text): what is kept by word; key, bonus of all n-grams; those of them that are met most often.
+def train(sample: DataFrame) -> tuple[Lower, int, DataFrame]:
+    """Of sample(text): what is kept by word, the number of shards, and the model: a row for each shard.
 
     log p(c | a, b) is l[c] + b[b] + bonus(a, b) + bonus(b, c) + bonus(a, b, c),
     where an n-gram that training has not met has bonus 0: a bigram's holds what
     it adds as an n-gram and its share of discounts as a context.
+
+    N-grams travel as sorted arrays.  Trigrams are counted by shards of their
+    first two words, where the contexts are whole; then they go to those of
+    their last two, where the lower n-grams are whole, in PARTS parts by shard.
     """
     spark = sample.sparkSession
 
@@ -151,9 +206,11 @@ def train(sample: DataFrame) -> tuple[Lower, DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([False] * len(words) + [True] * len(shapes)), pa.array([*n.tolist(), *shapes.values()], pa.int64())], names=["h", "s", "n"])
 
     words = cut(sample.mapInArrow(tidy(count), "h bigint, s boolean, n bigint").groupBy("h").agg(F.first("s").alias("s"), F.sum("n").alias("n")), "quality-words")
-    listed = words.where(F.col("s") | (F.col("n") >= least(words.where("not s"), LISTED, 3))).select("h").toArrow()["h"].to_numpy()  # LISTED at most, and shapes
+    by_n = histogram(words.where("not s").select("n", F.lit(1).alias("rows")))
+    listed = words.where(F.col("s") | (F.col("n") >= least(by_n, LISTED, 3))).select("h").toArrow()["h"].to_numpy()  # LISTED at most, and shapes
     listed = np.sort(listed.view(np.uint64))
     done(words)
+    size, shards = len(listed) + 3, max(1, -(-sum(n * rows for n, rows in by_n.items()) // SHARD))
     given = spark.sparkContext.broadcast(listed)
 
     def grams(batches):
@@ -161,141 +218,197 @@ def train(sample: DataFrame) -> tuple[Lower, DataFrame, DataFrame]:
         for b in batches:
             x, sizes = ids.ids(b.column(0))
             key, n = np.unique(trigrams(x, np.repeat(np.arange(len(sizes)), sizes + 3))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+            parts = deal(shard_of(key >> LOW, shards), shards)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(parts, pa.int32()), "keys": pa.array([squeeze_sorted(key[i]) for i in parts.values()], pa.binary()), "n": pa.array([squeeze(n[i]) for i in parts.values()], pa.binary())})
 
-    tri = cut(sample.mapInArrow(tidy(grams), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "quality-trigrams")
+    def summed(group: pa.Table) -> pa.Table:
+        key, at = np.unique(gathered(group["keys"], swell_sorted, np.uint64), return_inverse=True)
+        n = np.bincount(at, weights=gathered(group["n"], swell, np.int64)).astype(np.int64)
+        return pa.table({"shard": group["shard"][:1], "keys": pa.array([squeeze_sorted(key)], pa.binary()), "n": pa.array([squeeze(n)], pa.binary())})
+
+    packed = "shard int, keys binary, n binary"
+    tri = cut(sample.mapInArrow(tidy(grams), packed).groupBy("shard").applyInArrow(summed, packed), "quality-trigrams")
     given.destroy()
-    bc, ab = F.col("key").bitwiseAND((1 << 40) - 1), F.shiftright("key", 20)
-    bi = cut(tri.groupBy(bc.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("met")), "quality-bigrams")
-    d3, d2 = discounts(tri), discounts(bi)
-    size = len(listed) + 3
-    rows = bi.groupBy(F.col("key").bitwiseAND((1 << 20) - 1).alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each listed word
-    p = np.zeros(size)
-    p[rows["c"].to_numpy()] = rows["n"].to_numpy()
+
+    def times(of: Callable):
+        def run(batches):
+            for b in batches:
+                n, rows = np.unique(np.concatenate([np.zeros(0, np.int64), *map(of, b.column(0).to_pylist())]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(rows)], names=["n", "rows"])
+
+        return tidy(run)
+
+    met = histogram(tri.select("n").mapInArrow(times(lambda x: swell(x, np.int64)), "n bigint, rows bigint"))
+    d3, limit = discounts(met), least(met, HOT, 2)
+
+    def turned(part: int):
+        def run(batches):
+            for b in batches:
+                for keys, ns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    key, n = swell_sorted(keys), swell(ns, np.int64)
+                    off = d3[np.minimum(n, 3) - 1]
+                    begin, length = runs(key >> LOW)
+                    ab, w = key[begin] >> LOW, np.add.reduceat(off, begin)
+                    back = np.log(w / np.add.reduceat(n, begin)).astype(np.float32)
+                    ratio = ((n - off) / np.repeat(w, length)).astype(np.float32)
+                    # the last two words first
+                    key = (key & LOW_TWO) << LOW | key >> (LOW + LOW)
+                    order = np.argsort(key)
+                    key, ratio, n = key[order], ratio[order], n[order]
+                    three, two = (deal(shard_of(x, shards), shards) for x in (key >> LOW, ab))
+                    none = np.zeros(0, np.int64)
+                    rows = [(s, three.get(s, none), two.get(s, none)) for s in sorted(three.keys() | two.keys()) if s % PARTS == part]
+                    columns = [pa.array([s for s, _, _ in rows], pa.int32()), *(pa.array(v, pa.binary()) for v in ([squeeze_sorted(key[i]) for _, i, _ in rows], [squeeze(ratio[i]) for _, i, _ in rows], [squeeze(n[i]) for _, i, _ in rows], [squeeze_sorted(ab[i]) for _, _, i in rows], [squeeze(back[i]) for _, _, i in rows]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "ratio", "n", "contexts", "back"])
+
+        return tidy(run)
+
+    def met_here(group: pa.Table) -> pa.Table:
+        key, ab = gathered(group["keys"], swell_sorted, np.uint64), gathered(group["contexts"], swell_sorted, np.uint64)
+        i, j = np.argsort(key), np.argsort(ab)
+        columns = squeeze_sorted(key[i]), squeeze(gathered(group["ratio"], swell, np.float32)[i]), squeeze(gathered(group["n"], swell, np.int64)[i]), squeeze_sorted(ab[j]), squeeze(gathered(group["back"], swell, np.float32)[j])
+        return pa.table({"shard": group["shard"][:1]} | {name: pa.array([v], pa.binary()) for name, v in zip(("keys", "ratio", "n", "contexts", "back"), columns, strict=True)})
+
+    packed = "shard int, keys binary, ratio binary, n binary, contexts binary, back binary"
+    parts = [cut(tri.select("keys", "n").mapInArrow(turned(i), packed).groupBy("shard").applyInArrow(met_here, packed), "quality-turned") for i in range(PARTS)]
+    done(tri)
+    whole = functools.reduce(DataFrame.unionByName, parts)
+
+    # a bigram's n is the number of words that it follows
+    d2 = discounts(histogram(whole.select("keys").mapInArrow(times(lambda x: runs(swell_sorted(x) >> LOW)[1]), "n bigint, rows bigint")))
+
+    def by_word(batches):
+        t, w, p = np.zeros(size, np.int64), np.zeros((size, 3), np.int64), np.zeros(size, np.int64)
+        for b in batches:
+            for keys in b.column(0).to_pylist():
+                two = swell_sorted(keys) >> LOW
+                begin, n = runs(two)
+                b_, c = (two[begin] >> LOW).astype(np.int64), (two[begin] & LOW_ONE).astype(np.int64)
+                t += np.bincount(b_, weights=n, minlength=size).astype(np.int64)
+                w += np.bincount(3 * b_ + np.minimum(n, 3) - 1, minlength=3 * size).reshape(size, 3)
+                p += np.bincount(c, minlength=size)
+        some = np.flatnonzero(t + p)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, p[some], t[some], *w[some].T)], names=["word", "p", "t", "w1", "w2", "w3"])
+
+    # a row for each listed word
+    rows = whole.select("keys").mapInArrow(tidy(by_word), ", ".join(f"{x} bigint" for x in ("word", "p", "t", "w1", "w2", "w3")))
+    rows = rows.groupBy("word").agg(*[F.sum(x).alias(x) for x in ("p", "t", "w1", "w2", "w3")]).select("word", "p", "t", (F.col("w1") * float(d2[0]) + F.col("w2") * float(d2[1]) + F.col("w3") * float(d2[2])).alias("w")).toArrow()
+    p, t, w = np.zeros(size), np.ones(size), np.ones(size)
+    at, total = rows["word"].to_numpy(), rows["t"].to_numpy()
+    p[at] = rows["p"].to_numpy()
+    t[at[total > 0]], w[at[total > 0]] = total[total > 0], rows["w"].to_numpy()[total > 0]
     p = (np.maximum(p - 0.5, 0) + 0.5 * max(1, (p > 0).sum()) / len(p)) / max(1.0, p.sum())
-    rows = bi.groupBy(ab.alias("b")).agg(F.sum("n").alias("t"), F.sum(off(d2)).alias("w")).toArrow()  # a row for each listed word
-    t, w = np.ones(size), np.ones(size)
-    t[rows["b"].to_numpy()], w[rows["b"].to_numpy()] = rows["t"].to_numpy(), rows["w"].to_numpy()
     lower = Lower(listed, p, t, w)
     shared = spark.sparkContext.broadcast(lower.__dict__)
 
     def second(batches):
         m = revive(Lower, shared.value)
-        l, back = m.logs()  # noqa: E741
+        l, share = m.logs()  # noqa: E741
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            b, c = key >> 20, key & ((1 << 20) - 1)
-            p2 = (batch.column(1).to_numpy() + m.w[b] * m.uni[c]) / m.t[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p2), pa.array(np.log(p2) - l[c] - back[b]), batch.column(2)], names=["key", "p", "adds", "met"])
-
-    bi, whole = cut(bi.select("key", (F.col("n") - off(d2)).alias("v"), "met").mapInArrow(tidy(second), "key bigint, p double, adds double, met bigint"), "quality-second"), bi
-    done(whole)
+            for shard, keys, ratio, n, contexts, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, ab = swell_sorted(keys), swell_sorted(contexts)
+                begin, times = runs(key >> LOW)
+                two = key[begin] >> LOW
+                b, c = (two >> LOW).astype(np.int64), (two & LOW_ONE).astype(np.int64)
+                p2 = (times - d2[np.minimum(times, 3) - 1] + m.w[b] * m.uni[c]) / m.t[b]
+                bonus = np.log1p(swell(ratio, np.float32) / np.repeat(p2, times))
+                pairs = np.union1d(two, ab)
+                of = np.searchsorted(pairs, two)
+                adds = np.zeros(len(pairs))
+                adds[of] = np.log(p2) - l[c] - share[b]
+                adds[np.searchsorted(pairs, ab)] += swell(back, np.float32)
+                hot = swell(n, np.int64) >= limit
+                first = float(adds[0]) if len(pairs) and not pairs[0] else None
+                columns = squeeze_sorted(key), squeeze(bonus.astype(np.float32)), squeeze_sorted(pairs), squeeze(adds.astype(np.float32)), squeeze_sorted(key[hot]), squeeze((bonus + adds[np.repeat(of, times)])[hot].astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([v], pa.binary()) for v in columns), pa.array([first], pa.float64())], names=["shard", "keys", "bonus", "pairs", "adds", "hot", "whole", "start"])
+
+    model = cut(whole.mapInArrow(tidy(second), "shard int, keys binary, bonus binary, pairs binary, adds binary, hot binary, whole binary, start double"), "quality-model")
+    done(*parts)
     shared.destroy()
-    ctx = cut(tri.groupBy(ab.alias("key")).agg(F.sum("n").alias("t"), F.sum(off(d3)).alias("w")), "quality-contexts")
-    # a bigram's key is marked by a bit that no trigram's has
-    two = bi.join(ctx, "key", "full").select(F.col("key").bitwiseOR(1 << 62).alias("key"), (F.coalesce("adds", F.lit(0.0)) + F.coalesce(F.log(F.col("w") / F.col("t")), F.lit(0.0))).cast("float").alias("bonus"), F.coalesce("met", "t").alias("n"))
-    three = tri.withColumn("ab", ab).withColumn("bc", bc).join(ctx.select(F.col("key").alias("ab"), "w"), "ab").join(bi.select(F.col("key").alias("bc"), "p"), "bc")
-    three = three.select("key", F.log1p((F.col("n") - off(d3)) / (F.col("w") * F.col("p"))).cast("float").alias("bonus"), "n")
-    model = cut(two.unionByName(three), "quality-model")
-    done(tri, bi, ctx)
-    return lower, model.select("key", "bonus"), model.where(F.col("n") >= least(model, HOT, 2)).select("key", "bonus")
+    return lower, shards, model
 
 
-def perplexities(docs: DataFrame, lower: Lower, model: DataFrame, hot: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, lower: Lower, shards: int, model: DataFrame) -> DataFrame:
     """_q_k, nats (mean negative log-probability of a token, null without words) and n (tokens) of each distinct _q_k of docs, as a table.
 
-    Each batch of texts asks each shard of the model once; shards answer with
-    sums by text.  The n-grams that are met most often are known to every task.
+    Each batch of texts asks each shard of the model once, for the trigrams and
+    their last two words together; answers are sums by text, which are added by
+    batch first.  The trigrams that are met most often are known to every task.
     """
     spark = docs.sparkSession
-    shards = max(1, -(-model.count() // SHARD))
-    hot = hot.toArrow()  # HOT rows at most
-    shared = spark.sparkContext.broadcast(lower.__dict__ | {"hot": (hot["key"].to_numpy().astype(np.uint64), hot["bonus"].to_numpy())})
-    where = lambda key: mix64(key.astype(np.uint64)) % np.uint64(shards)
-
-    def spread(batches):
-        for b in batches:
-            key = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(where(key).astype(np.int32)), *b.columns], names=["shard", "key", "bonus"])
-
-    def gather(group: pa.Table) -> pa.Table:
-        key, bonus = group["key"].to_numpy(), group["bonus"].to_numpy()
-        return pa.table({"shard": group["shard"][:1], "keys": pa.array([key.tobytes()], pa.binary()), "bonuses": pa.array([bonus.tobytes()], pa.binary())})
-
-    model = cut(model.mapInArrow(tidy(spread), "shard int, key bigint, bonus float").groupBy("shard").applyInArrow(gather, "shard int, keys binary, bonuses binary"), "quality-shards")
-    asked = "shard int, k binary, at binary, keys binary, base binary, n binary"
+    known = model.select("hot", "whole", "start").toArrow()  # HOT n-grams at most
+    hot = gathered(known["hot"], swell_sorted, np.uint64), gathered(known["whole"], swell, np.float32)
+    # all texts begin with the same pair, which is no trigram's end
+    start = sum(x for x in known["start"].to_pylist() if x is not None)
+    shared = spark.sparkContext.broadcast(lower.__dict__ | {"hot": hot})
+    names = ["shard", "batch", "k", "at", "keys", "base", "n"]
 
     def ask(batches):
         m = revive(Lower, shared.value)
         (l, back), ids = m.logs(), Words(m.listed)  # noqa: E741
-        known, bonus = HashIndex(m.hot[0]), m.hot[1]
+        known, whole = HashIndex(m.hot[0]), m.hot[1]
         for b in batches:
             if not len(b):
                 continue
             k = b.column(0).to_numpy()
             x, sizes = ids.ids(b.column(1))
-            text = np.repeat(np.arange(len(sizes)), sizes + 3)
-            three, of3 = trigrams(x, text)
-            same = text[1:] == text[:-1]
-            two, of2 = pack(x[:-1], x[1:])[same] | np.uint64(1 << 62), text[1:][same]
-            key, of = np.concatenate([two, three]), np.concatenate([of2, of3])
+            key, of = trigrams(x, np.repeat(np.arange(len(sizes)), sizes + 3))
             # each trigram's last word and the one before it
-            inner = text[2:] == text[:-2]
-            base = np.bincount(of3, weights=(l[x[2:]] + back[x[1:-1]])[inner], minlength=len(k))
+            last = (key & LOW_ONE).astype(np.int64), (key >> LOW & LOW_ONE).astype(np.int64)
+            base = start + np.bincount(of, weights=l[last[0]] + back[last[1]], minlength=len(k))
+            key = (key & LOW_TWO) << LOW | key >> (LOW + LOW)
             at = known.find(key)
             here = at >= 0
-            base += np.bincount(of[here], weights=bonus[at[here]], minlength=len(k))
-            key, of = key[~here], of[~here].astype(np.uint32)
-            shard = where(key)
-            order = np.argsort(shard.astype(np.uint16 if shards < 65536 else np.uint32), kind="stable")
-            begin = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-            key, of, own = key[order], of[order], int(k[0] % shards)
-            rows = {name: [] for name in ("shard", "k", "at", "keys", "base", "n")}
-            for s in range(shards):
-                i, j = begin[s], begin[s + 1]
-                if i == j and s != own:
-                    continue
-                # one of the shards returns what is known here as well
-                some, place = (np.arange(len(k)), of[i:j]) if s == own else np.unique(of[i:j], return_inverse=True)
-                for name, v in zip(rows, (s, k[some].tobytes(), place.astype(np.uint32).tobytes(), key[i:j].tobytes(), base.tobytes() if s == own else None, sizes.astype(np.int64).tobytes() if s == own else None), strict=True):
-                    rows[name].append(v)
-                if sum(map(len, rows["keys"][-64:])) > 4 << 20:
-                    yield pa.RecordBatch.from_pydict(rows | {"shard": pa.array(rows["shard"], pa.int32())}, schema=shape_of)
-                    rows = {name: [] for name in rows}
-            yield pa.RecordBatch.from_pydict(rows | {"shard": pa.array(rows["shard"], pa.int32())}, schema=shape_of)
-
-    shape_of = pa.schema([("shard", pa.int32()), *[(name, pa.binary()) for name in ("k", "at", "keys", "base", "n")]])
+            base += np.bincount(of[here], weights=whole[at[here]], minlength=len(k))
+            key, of = key[~here], of[~here]
+            parts = deal(shard_of(key >> LOW, shards), shards)
+            # one of the shards returns what is known here as well
+            own, batch, rows = int(k[0] % shards), int(np.int64(xxhash.xxh3_64_intdigest(k.tobytes()) - (1 << 63))), []
+            for s in sorted(parts.keys() | {own}):
+                i = parts.get(s, np.zeros(0, np.int64))
+                some, place = (np.arange(len(k)), of[i]) if s == own else np.unique(of[i], return_inverse=True)
+                rows.append((s, batch, k[some].tobytes(), squeeze_sorted(place.astype(np.int64)), squeeze(key[i]), base.tobytes() if s == own else None, sizes.astype(np.int64).tobytes() if s == own else None))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=names)
 
     def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-        index = HashIndex(np.frombuffer(model["keys"][0].as_py(), np.uint64) if len(model) else np.zeros(0, np.uint64))
-        bonus = np.frombuffer(model["bonuses"][0].as_py(), np.float32) if len(model) else np.zeros(0, np.float32)
-        ks, sums, sizes, rows = [], [], [], []
-        for r in range(len(asked)):
-            k, of, key = (np.frombuffer(asked[c][r].as_py(), kind) for c, kind in (("k", np.int64), ("at", np.uint32), ("keys", np.uint64)))
-            at = index.find(key)
-            here = at >= 0
-            total, n, own = np.bincount(of[here], weights=bonus[at[here]], minlength=len(k)), np.zeros(len(k), np.int64), asked["base"][r].as_py()
-            if own is not None:
-                total, n = total + np.frombuffer(own), np.frombuffer(asked["n"][r].as_py(), np.int64)
-            some = slice(None) if own is not None else total != 0
-            ks.append(k[some]), sums.append(total[some]), sizes.append(n[some]), rows.append(np.full(len(ks[-1]), own is not None, np.int64))
-        join = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]))
-        return pa.table({"_q_k": join(ks, np.int64), "total": join(sums, np.float64), "words": join(sizes, np.int64), "rows": join(rows, np.int64)})
+        ks, at = [np.frombuffer(x, np.int64) for x in asked["k"].to_pylist()], [swell_sorted(x, np.int64) for x in asked["at"].to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in ks])]).astype(np.int64)
+        key, total = gathered(asked["keys"], swell, np.uint64), np.zeros(ends[-1])
+        of = np.concatenate([np.zeros(0, np.int64), *(x + i for x, i in zip(at, ends, strict=False))])
+        for keys, bonus, sought in (("keys", "bonus", key), ("pairs", "adds", key >> LOW)) if len(model) else ():
+            found = HashIndex(swell_sorted(model[keys][0].as_py())).find(sought)
+            here = found >= 0
+            total += np.bincount(of[here], weights=swell(model[bonus][0].as_py(), np.float32)[found[here]], minlength=len(total))
+        rows = []
+        for batch, k, x, base, n in zip(asked["batch"].to_pylist(), ks, np.split(total, ends[1:-1]), asked["base"].to_pylist(), asked["n"].to_pylist(), strict=False):
+            if base is not None:
+                rows.append((batch, k.tobytes(), (x + np.frombuffer(base)).tobytes(), n))
+            elif x.any():
+                rows.append((batch, k[x != 0].tobytes(), x[x != 0].tobytes(), None))
+        return pa.table({name: pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i, name in enumerate(("batch", "k", "total", "n"))})
+
+    def add(group: pa.Table) -> pa.Table:
+        ks = [np.frombuffer(x, np.int64) for x in group["k"].to_pylist()]
+        k, at = np.unique(np.concatenate(ks), return_inverse=True)
+        # rows of the same text and id are asked for each by itself
+        own = [np.frombuffer(n, np.int64) if n is not None else None for n in group["n"].to_pylist()]
+        words, rows = (np.concatenate([f(n) if n is not None else np.zeros(len(x), np.int64) for n, x in zip(own, ks, strict=True)]) for f in (lambda n: n, np.ones_like))
+        total = gathered(group["total"], np.frombuffer, np.float64)
+        sums = np.bincount(at, weights=total), *(np.bincount(at, weights=x).astype(np.int64) for x in (words, rows))
+        return pa.table({name: pa.array(x) for name, x in zip(("_q_k", "total", "words", "rows"), (k, *sums), strict=True)})
 
     parts = []
     for turn in range(TURNS):
         some = docs.where(F.pmod(F.xxhash64("_q_k"), F.lit(TURNS)) == turn).select("_q_k", "text")
-        sums = some.mapInArrow(tidy(ask), asked).groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "_q_k bigint, total double, words bigint, rows bigint")
-        # rows of the same text and id are asked for each by itself
+        asked = some.mapInArrow(tidy(ask), "shard int, batch bigint, k binary, at binary, keys binary, base binary, n binary")
+        answers = asked.groupBy("shard").cogroup(model.select("shard", "keys", "bonus", "pairs", "adds").groupBy("shard")).applyInArrow(answer, "batch bigint, k binary, total binary, n binary")
+        sums = answers.groupBy("batch").applyInArrow(add, "_q_k bigint, total double, words bigint, rows bigint")
         one = sums.groupBy("_q_k").agg(*[F.sum(c).alias(c) for c in ("total", "words", "rows")])
         n = F.expr("words div rows + 1")
         parts.append(cut(one.select("_q_k", F.when(F.col("words") > 0, -F.col("total") / F.col("rows") / n).alias("nats"), n.alias("n")), "quality-scores"))
     shared.destroy()
     done(model)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,9 +421,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = trusted.where("fold = 0").select("doc_id")
     some = docs.where("text is not null").where(may_hold(*build_filter(ids, "doc_id"), F.col("doc_id"))).join(ids, "doc_id", "left_semi")
     sample = cut(some.select("_q_k", "text").dropDuplicates(["_q_k"]).select("text"), "quality-training")
-    lower, model, hot = train(sample)
+    model = train(sample)
     done(sample)
-    scored = docs.select("_q_k", "doc_id", "lang").join(perplexities(docs, lower, model, hot), "_q_k")
+    scored = docs.select("_q_k", "doc_id", "lang").join(perplexities(docs, *model), "_q_k")
     # medians and thresholds cover every trusted document that was not in the training fold; a row for each language
     l = F.coalesce("lang", F.lit("")).alias("l")  # noqa: E741
     held = cut(scored.join(trusted.where("fold = 1"), "doc_id").where("nats is not null").select(l, "nats", "n"), "quality-held")
