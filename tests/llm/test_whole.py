@@ -154,3 +154,27 @@ def test_quality_model_and_answers_stay_small(spark, monkeypatch):
     # no row for each text and shard; about a trigram and a pair for each token are kept
     assert sum(answers) < len(rows)
     assert peak[0] < 28 * 1500 * 61
+
+
+def test_lm_step_moves_words_by_the_sums_of_their_gradients():
+    words = [f"w{i}" for i in range(300)]
+    lex = lm_score.Lexicon(words, np.arange(300, 0, -1), np.ones(lm_score.SHAPES), np.ones(65536))
+    rng = np.random.default_rng(7)
+    ids = rng.integers(0, lex.end, 2000).astype(np.uint16)
+    texts, net = lm_score.Texts([ids.tobytes()], lex.end), lm_score.Net(lex)
+    at = np.arange(1500)
+    y, ctx, before = texts.ids[at], texts.contexts(at), net.words.copy()
+    loss = lambda: -net.log_probs(ctx, lex.first[y], lex.second[y]).mean()
+    slopes = []
+    for row, i in ((int(ctx[5, 0]), 3), (int(ctx[9, 2]), 8)):
+        net.words[row, i] = before[row, i] + 0.02
+        high = loss()
+        net.words[row, i] = before[row, i] - 0.02
+        slopes.append((row, i, (high - loss()) / 0.04))
+        net.words[row, i] = before[row, i]
+    seen = [np.full(p.shape, 1e-4, np.float32) for p in net.parts()]
+    net.step(ctx, lex.first[y], lex.second[y], seen)
+    for row, i, g in slopes:
+        assert abs(before[row, i] - net.words[row, i] - lm_score.RATE * g / np.sqrt(1e-4 + g * g)) < 1e-3
+    absent = np.setdiff1d(np.arange(lex.end + 1), ctx)
+    assert (net.words[absent] == before[absent]).all()

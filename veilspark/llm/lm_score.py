@@ -45,7 +45,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, HashIndex, cut, done, mix64, revive, small_batches, table, tidy
+from .common import MIX, HashIndex, cut, done, kept, mix64, revive, small_batches, table, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -248,9 +248,11 @@ class Net:
 
     def log_probs(self, ctx: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         _, h = self.hidden(ctx)
-        z = h @ self.top
-        z += self.top_bias
-        out = self.softmax(z, first)[2]
+        out = np.empty(len(h))
+        for i in range(0, len(h), 1024):  # what a processor's cache holds
+            z = h[i : i + 1024] @ self.top
+            z += self.top_bias
+            out[i : i + 1024] = self.softmax(z, first[i : i + 1024])[2]
         for c, rows in self.clusters(first):
             out[rows] += self.softmax(h[rows] @ self.inner[c] + self.inner_bias[c], second[rows])[2]
         return out
@@ -281,11 +283,9 @@ class Net:
         self.move(self.top, g_top, seen[3])
         self.move(self.top_bias, g_bias, seen[4])
         # rows that the batch does not hold have no gradient
-        key = ctx.ravel()
-        order = np.argsort(key.astype(np.uint16), kind="stable")
-        key = key[order]
-        begin = np.flatnonzero(np.diff(key, prepend=-1))
-        g, rows = np.add.reduceat(dx[order], begin, axis=0), key[begin]
+        key, dx = ctx.ravel(), dx.T
+        rows = np.flatnonzero(np.bincount(key))
+        g = np.stack([np.bincount(key, weights=d)[rows] for d in dx], axis=1).astype(np.float32)
         seen[0][rows] += g * g
         self.words[rows] -= RATE * g / np.sqrt(seen[0][rows])
 
@@ -445,6 +445,7 @@ def train_round(texts: DataFrame, shared, start: np.ndarray, turn: int, rounds:
     given = spark.sparkContext.broadcast(start)
 
     def run(batches):
+        kept()
         lex = revive(Lexicon, shared.value)
         state: dict[str, object] = {}
         held: list[tuple[bytes, int]] = []
@@ -525,6 +526,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     memory = recurring(texts, shared, total)
 
     def run(block: pa.Table, memory: pa.Table) -> pa.Table:
+        kept()
         lex = revive(Lexicon, shared.value)
         net = Net(lex).load(given.value)
         texts, found, spell = opened(lex, block)
