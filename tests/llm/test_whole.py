@@ -88,6 +88,47 @@ def test_large_group_of_near_copies_is_not_compared_in_all_pairs(spark, monkeypa
     assert sum(tried) < 20 * len(texts)
 
 
+def test_jaccard_parities_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n, m, both = (int(x) for x in rng.integers(1, 700, 3))
+        s = rng.integers(0, 2**64, n + m + both, np.uint64, endpoint=False)
+        x, y = np.unique(s[: n + both]), np.unique(s[n:])
+        apart = jaccard_join.differing(jaccard_join.parities(x), jaccard_join.parities(y))
+        exact = len(np.setxor1d(x, y))
+        assert apart <= exact and (exact - apart) % 2 == 0
+        # of sets that sizes let link, a good part of the difference shows
+        assert apart > exact / 4 or exact < 50 or min(len(x), len(y)) < 0.8 * max(len(x), len(y))
+        assert jaccard_join.differing(jaccard_join.parities(y), jaccard_join.parities(x)) == apart
+
+
+def test_sets_of_long_texts_that_only_share_passages_do_not_travel(spark, monkeypatch):
+    # 60 % of the shingles are shared: prefixes meet, and 512 parities are too few to tell such sets apart
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    shared, rows = word(2400), []
+    for _ in range(20):
+        own = word(800)
+        rows.append((len(rows), " ".join([*shared, *own])))
+    near = rows[3][1].split(" ")
+    near[500] = near[2900] = "z"
+    rows.append((len(rows), " ".join(near)))
+    whole, plain = [], jaccard_join.cut
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "join-tried":
+            whole.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute.jaccard(rows)
+    assert got[20][1] == 3
+    print("pairs whose whole sets were joined", whole)
+    assert sum(whole) < 10
+
+
 def test_quality_trains_on_all_trusted_documents(spark, monkeypatch):
     # many shards, and few n-grams that every task knows; over 2,000 trusted documents in the fold that trains
     monkeypatch.setattr(quality, "SHARD", 3000)

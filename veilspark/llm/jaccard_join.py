@@ -20,6 +20,8 @@ spill and be split.
 
 The result is exact.  Pairs are met only if sizes, positions and parities of
 64 parts of the sets allow a link, and verified only if those of 512 parts do.
+As these are too few for long texts, parities of as many parts as a set has
+tokens, twice to four times, are compared before whole sets travel for a pair.
 Many texts that share frequent shingles
 without being alike still cost such a look for each pair; that is the limit of
 a prefix filter.  Text is
@@ -102,7 +104,11 @@ def heavy_tokens(docs: DataFrame) -> np.ndarray:
 
     seen = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tidy(count), "token bigint, n bigint")
     top = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "token").limit(LISTED)
-    return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
+    # as a table, as shuffle files are given back with its end
+    top = cut(top.select("token"), "join-heavy")
+    out = np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
+    done(top)
+    return out
 
 
 SIGNATURES = "doc_id bigint, k bigint, n bigint, u bigint, g bigint, x bigint, w array<bigint>, light array<bigint>, heavy array<bigint>"
@@ -167,12 +173,27 @@ def wide(a: str, b: str, sizes: str, percent: int) -> str:
     return f"({differ}) * {100 + percent} <= ({sizes}) * {100 - percent}"
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens in each of some parts, two to four times as many as a set has tokens, as 64-bit words."""
+    parts = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many of their parities two sets differ, in the coarser division of the two; its parts are pairs of the finer one's."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of pairs(a, ka, b, kb) of classes whose whole sets, taken from the documents ka and kb, link.
 
-    Sets travel as 32-bit halves of their hashes at first.  Pairs that these
-    leave nearer to the limit than chance collisions could matter are decided
-    by whole hashes.
+    Only parities travel at first, which most pairs that do not link fail, then
+    sets as 32-bit halves of their hashes.  Pairs that these leave nearer to the
+    limit than chance collisions could matter are decided by whole hashes.
     """
     pairs = cut(pairs, "join-pairs")
     if pairs.isEmpty():
@@ -184,7 +205,10 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> DataFrame:
-    """pairs with linked: whether the sets, hashes cut to kind, link; null if collisions might decide that.  As a table."""
+    """pairs with linked: whether the sets, hashes cut to kind, link; null if collisions might decide that.  As a table.
+
+    Those whose parities rule out a link are left out.
+    """
     wanted = cut(pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct(), "join-wanted")
     # a filter keeps most other texts out of the join
     some = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text")
@@ -193,11 +217,19 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
     def sets(batches):
         hashes = WordHashes()
         for b in batches:
-            out = [np.unique(shingles(t, hashes).astype(kind)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "s"])
-
-    whole = cut(some.mapInArrow(tidy(sets), "k bigint, s binary").dropDuplicates(["k"]), "join-sets")
-    both = pairs.join(whole.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(whole.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb").select("a", "ka", "b", "kb", "sa", "sb")
+            own = [shingles(t, hashes) for t in b.column(1).to_pylist()]
+            out = [pa.array(map(len, own), pa.int64()), pa.array([parities(s).tobytes() for s in own], pa.binary()), pa.array([np.unique(s.astype(kind)).tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["k", "n", "p", "s"])
+
+    whole = cut(some.mapInArrow(tidy(sets), "k bigint, n bigint, p binary, s binary").dropDuplicates(["k"]), "join-sets")
+    used, close, needed = [wanted, whole], pairs, whole
+    # whole hashes are asked for when parities have been
+    if kind is np.uint32:
+        close = may_link(pairs, whole, percent)
+        left = cut(close.select(F.explode(F.array("ka", "kb")).alias("k")).distinct(), "join-wanted")
+        needed = whole.where(may_hold(*build_filter(left, "k"), F.col("k")))
+        used += [close, left]
+    both = close.join(needed.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(needed.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb").select("a", "ka", "b", "kb", "sa", "sb")
 
     def check(batches):
         for b in batches:
@@ -215,10 +247,24 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, kind: type) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], names=["a", "ka", "b", "kb", "linked"])
 
     out = cut(both.mapInArrow(tidy(check), "a bigint, ka bigint, b bigint, kb bigint, linked boolean"), "join-tried")
-    done(wanted, whole)
+    done(*used)
     return out
 
 
+def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets may link by their sizes n and parities p.  As a table."""
+    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
+    both = pairs.join(side("a"), "ka").join(side("b"), "kb").select("a", "ka", "b", "kb", "na", "pa", "nb", "pb")
+
+    def check(batches):
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in range(4, 8)), strict=True)
+            stay = [differing(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) * (100 + percent) <= (n + m) * (100 - percent) for n, x, m, y in rows]
+            yield b.select(["a", "ka", "b", "kb"]).filter(pa.array(stay, pa.bool_()))
+
+    return cut(both.mapInArrow(tidy(check), "a bigint, ka bigint, b bigint, kb bigint"), "join-close")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of all nodes of edges(a, b).
 
@@ -273,16 +319,16 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     carriers = cut(carriers.select("g", "c.n", F.expr("if(one, c.x, null)").alias("x"), "c.light", "c.heavy"), "join-carriers")
     whole, signed = signed, cut(signed.select("doc_id", "k", "n", "u"), "join-documents")
     done(whole)
-    # tokens are met without parities: most are found once
-    light = carriers.select("g", F.col("n").cast("int").alias("n"), F.posexplode("light").alias("pos", "token"))
+    # tokens are met without sizes and parities: most are found once
+    light = carriers.select("g", F.posexplode("light").alias("pos", "token"))
     light = light.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
     light = cut(light, "join-light")
-    small = light.where(F.col("m") <= BLOCK).select("token", "g", "n", "pos").join(carriers.select("g", "x"), "g")
+    small = light.where(F.col("m") <= BLOCK).select("token", "g", "pos").join(carriers.select("g", "n", "x"), "g")
     small = cut(small, "join-small")
     pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.token = y.token and x.g < y.g and {can_link('x', 'y', percent)}")).selectExpr("x.g as ga", "y.g as gb").distinct()
 
     heavy = carriers.where(F.size("heavy") > 0).select("g", "n", "x", F.size("light").alias("at"), F.posexplode("heavy").alias("i", "token"))
-    large = light.where(F.col("m") > BLOCK).select("token", "g", "n", "pos").join(carriers.select("g", "x"), "g").select("token", "g", "n", "x", "pos")
+    large = light.where(F.col("m") > BLOCK).select("token", "g", "pos").join(carriers.select("g", "n", "x"), "g").select("token", "g", "n", "x", "pos")
     blocks = large.unionByName(heavy.select("token", "g", "n", "x", (F.col("at") + F.col("i")).alias("pos")))
     blocks = cut(blocks.dropDuplicates(["token", "g"]), "join-blocks")
     done(light, carriers)
