@@ -219,3 +219,45 @@ def test_lm_step_moves_words_by_the_sums_of_their_gradients():
         assert abs(before[row, i] - net.words[row, i] - lm_score.RATE * g / np.sqrt(1e-4 + g * g)) < 1e-3
     absent = np.setdiff1d(np.arange(lex.end + 1), ctx)
     assert (net.words[absent] == before[absent]).all()
+
+
+def test_lm_step_takes_all_clusters_at_once(monkeypatch):
+    words = [f"w{i}" for i in range(lm_score.VOCAB)]
+    lex = lm_score.Lexicon(words, np.arange(len(words), 0, -1), np.ones(lm_score.SHAPES), np.ones(65536))
+    rng = np.random.default_rng(8)
+    texts, net = lm_score.Texts([rng.integers(0, lex.end, lm_score.BATCH).astype(np.uint16).tobytes()], lex.end), lm_score.Net(lex)
+    y, ctx = texts.ids, texts.contexts(slice(None))
+    first, second = lex.first[y], lex.second[y]
+    assert set(first[second >= 0]) == set(range(lm_score.OWN + lm_score.SHAPES, lm_score.FIRST))
+    # the same step, cluster by cluster in double precision
+    x = net.words[ctx].reshape(len(y), -1).astype(float)
+    h = np.tanh(x @ net.place + net.bias)
+    top, inner, dh = np.zeros(net.top.shape), np.zeros(net.inner.shape), np.zeros(h.shape)
+
+    def level(rows, w, bias, own, g):
+        z = np.exp(h[rows] @ w + bias)
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(len(rows)), own] -= 1
+        z /= len(y)
+        dh[rows] += z @ w.T
+        g += h[rows].T @ z
+        return z.sum(0)
+
+    top_bias = level(np.arange(len(y)), net.top, net.top_bias, first, top)
+    inner_bias = np.zeros(net.inner_bias.shape)
+    for c in range(lm_score.CLUSTERS):
+        rows = np.flatnonzero(first == lm_score.OWN + lm_score.SHAPES + c)
+        inner_bias[c] = level(rows, net.inner[c], net.inner_bias[c], second[rows], inner[c])
+    dh *= 1 - h * h
+    g_words = np.zeros(net.words.shape)
+    np.add.at(g_words, ctx, (dh @ net.place.T).reshape(*ctx.shape, -1))
+    slopes = {"words": g_words, "place": x.T @ dh, "bias": dh.sum(0), "top": top, "top_bias": top_bias, "inner": inner, "inner_bias": inner_bias}
+    want = {k: getattr(net, k) - lm_score.RATE * g / np.sqrt(1e-4 + g * g) for k, g in slopes.items()}
+    calls, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    net.step(ctx, first, second, [np.full(p.shape, 1e-4, np.float32) for p in net.parts()])
+    monkeypatch.undo()
+    for k, w in want.items():
+        assert abs(getattr(net, k) - w).max() < 1e-4, k
+    # a handful of passes over all outputs, instead of one for each cluster
+    assert len(calls) < lm_score.CLUSTERS // 2

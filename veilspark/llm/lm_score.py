@@ -57,6 +57,8 @@ FIRST = OWN + SHAPES + CLUSTERS
 SIDE, HIDDEN = 2, 16
 ROUNDS = 1
 BATCH, RATE = 4096, 0.15
+#: Rows of outputs that a processor's cache holds.
+CACHED = 512
 #: Tokens of a shard, about, and the most shards.
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
 #: Slices of the parameters, and networks that are summed at once.
@@ -206,11 +208,14 @@ class Net:
         self.words = small(lexicon.end + 1, HIDDEN)
         self.place = small(2 * SIDE * HIDDEN, HIDDEN) * np.float32(3)
         self.bias = np.zeros(HIDDEN, np.float32)
-        self.top, self.top_bias = small(HIDDEN, FIRST), lexicon.log_first.copy()
-        self.inner, self.inner_bias = small(CLUSTERS, HIDDEN, lexicon.width), lexicon.log_second.copy()
+        # the biases are a last row of the weights: the hidden layer ends with a 1
+        self.outer = np.concatenate([small(HIDDEN, FIRST), lexicon.log_first[None]])
+        self.inside = np.concatenate([small(CLUSTERS, HIDDEN, lexicon.width), lexicon.log_second[:, None]], axis=1)
+        self.top, self.top_bias = self.outer[:-1], self.outer[-1]
+        self.inner, self.inner_bias = self.inside[:, :-1], self.inside[:, -1]
 
     def parts(self) -> list[np.ndarray]:
-        return [self.words, self.place, self.bias, self.top, self.top_bias, self.inner, self.inner_bias]
+        return [self.words, self.place, self.bias, self.outer, self.inside]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -223,76 +228,106 @@ class Net:
         return self
 
     def hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.words[ctx].reshape(len(ctx), -1)
-        return x, np.tanh(x @ self.place + self.bias)
+        """The input, and the hidden layer with a 1 at its end."""
+        x = self.words.take(ctx, axis=0).reshape(len(ctx), -1)
+        h = np.ones((len(ctx), HIDDEN + 1), np.float32)
+        z = x @ self.place
+        z += self.bias
+        h[:, :-1] = np.tanh(z, out=z)
+        return x, h
 
     @staticmethod
-    def softmax(z: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The exponentials of each row, in place of z, their sums, and the log-probability of each row's own column."""
-        mine = z[np.arange(len(z)), own].astype(np.float64)
-        high = z.max()
-        if high > 60:  # beyond what single precision holds
-            top = z.max(1, keepdims=True)
-            z -= top
-            mine -= top[:, 0]
+    def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """The sums of the exponentials of each row, which take the place of z, and what was taken from each row before."""
+        top = 0.0
+        if z.size and z.max() > 60:  # beyond what single precision holds
+            top = z.max(1)
+            z -= top[:, None]
         np.exp(z, out=z)
-        total = z.sum(1)
-        return z, total, mine - np.log(total)
+        return z @ np.ones(z.shape[1], np.float32), top
 
     @staticmethod
-    def clusters(first: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(cluster, rows) of the tokens that are in one."""
+    def clusters(first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """The rows of the tokens that are in a cluster, in the clusters' order, and each cluster's part of them."""
         order = np.argsort(first.astype(np.uint8), kind="stable")
-        begin = np.searchsorted(first[order], OWN + SHAPES + np.arange(CLUSTERS + 1))
-        return [(c, order[begin[c] : begin[c + 1]]) for c in range(CLUSTERS) if begin[c] < begin[c + 1]]
+        begin = np.searchsorted(first.take(order), OWN + SHAPES + np.arange(CLUSTERS + 1))
+        order, begin = order[begin[0] :], begin - begin[0]
+        return order, [(c, slice(begin[c], begin[c + 1])) for c in range(CLUSTERS) if begin[c] < begin[c + 1]]
+
+    def within(self, h: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """The second level's outputs: of each row, those of its own cluster."""
+        z = np.empty((len(h), self.inside.shape[2]), np.float32)
+        for c, k in parts:
+            np.matmul(h[k], self.inside[c], out=z[k])
+        return z
 
     def log_probs(self, ctx: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        _, h = self.hidden(ctx)
-        out = np.empty(len(h))
-        for i in range(0, len(h), 1024):  # what a processor's cache holds
-            z = h[i : i + 1024] @ self.top
-            z += self.top_bias
-            out[i : i + 1024] = self.softmax(z, first[i : i + 1024])[2]
-        for c, rows in self.clusters(first):
-            out[rows] += self.softmax(h[rows] @ self.inner[c] + self.inner_bias[c], second[rows])[2]
+        out = np.empty(len(ctx))
+
+        def level(z, own):
+            mine = z.ravel().take(np.arange(len(z)) * z.shape[1] + own).astype(np.float64)
+            total, top = self.exponentials(z)
+            return mine - top - np.log(total)
+
+        h = np.empty((len(ctx), HIDDEN + 1), np.float32)
+        for i in range(0, len(ctx), CACHED):
+            k = slice(i, i + CACHED)
+            h[k] = self.hidden(ctx[k])[1]
+            out[k] = level(h[k] @ self.outer, first[k])
+        rows, parts = self.clusters(first)
+        out[rows] += level(self.within(h.take(rows, axis=0), parts), second.take(rows))
         return out
 
     def step(self, ctx: np.ndarray, first: np.ndarray, second: np.ndarray, seen: list[np.ndarray]) -> None:
         """One step of Adagrad on a batch."""
-        n = np.float32(len(ctx))
+        n = len(ctx)
         x, h = self.hidden(ctx)
-        z = h @ self.top
-        z += self.top_bias
-        z, total, _ = self.softmax(z, first)
-        z *= (1 / (total * n))[:, None]
-        z[np.arange(len(z)), first] -= 1 / n
-        dh = z @ self.top.T
-        g_top, g_bias = h.T @ z, z.sum(0)
-        for c, rows in self.clusters(first):
-            some = h[rows]
-            y, total, _ = self.softmax(some @ self.inner[c] + self.inner_bias[c], second[rows])
-            y *= (1 / (total * n))[:, None]
-            y[np.arange(len(y)), second[rows]] -= 1 / n
-            dh[rows] += y @ self.inner[c].T
-            self.move(self.inner[c], some.T @ y, seen[5][c])
-            self.move(self.inner_bias[c], y.sum(0), seen[6][c])
-        dh *= 1 - h * h
-        dx = (dh @ self.place.T).reshape(-1, HIDDEN)
+
+        def slopes(z, own):
+            """The outputs' gradients in place of z, but for a factor of each row, and these factors."""
+            total, _ = self.exponentials(z)
+            z.ravel()[np.arange(len(z)) * z.shape[1] + own] -= total
+            return z, (1 / (total * np.float32(n)))[:, None]
+
+        dh, g = np.empty((n, HIDDEN), np.float32), np.zeros_like(self.outer)
+        for i in range(0, n, CACHED):
+            k = slice(i, i + CACHED)
+            z, by = slopes(h[k] @ self.outer, first[k])
+            dh[k] = z @ self.top.T * by
+            g += (h[k] * by).T @ z
+        rows, parts = self.clusters(first)
+        some = h.take(rows, axis=0)
+        z, by = slopes(self.within(some, parts), second.take(rows))
+        d, g_inside = np.empty((len(rows), HIDDEN), np.float32), np.zeros_like(self.inside)
+        some *= by
+        for c, k in parts:
+            np.matmul(z[k], self.inner[c].T, out=d[k])
+            np.matmul(some[k].T, z[k], out=g_inside[c])
+        dh[rows] += d * by
+        dh *= 1 - h[:, :-1] ** 2
+        dx = self.place @ dh.T
         self.move(self.place, x.T @ dh, seen[1])
         self.move(self.bias, dh.sum(0), seen[2])
-        self.move(self.top, g_top, seen[3])
-        self.move(self.top_bias, g_bias, seen[4])
+        self.move(self.outer, g, seen[3])
+        self.move(self.inside, g_inside, seen[4])  # clusters that the batch does not hold have no gradient
         # rows that the batch does not hold have no gradient
-        key, dx = ctx.ravel(), dx.T
-        rows = np.flatnonzero(np.bincount(key))
-        g = np.stack([np.bincount(key, weights=d)[rows] for d in dx], axis=1).astype(np.float32)
-        seen[0][rows] += g * g
-        self.words[rows] -= RATE * g / np.sqrt(seen[0][rows])
+        key = ctx.T.ravel()
+        there = np.bincount(key, minlength=len(self.words)) > 0
+        rows, key = np.flatnonzero(there), (np.cumsum(there) - 1).take(key)
+        dx = dx.reshape(-1, HIDDEN, n)
+        g = np.stack([np.bincount(key, weights=dx[:, i].ravel()) for i in range(HIDDEN)], axis=1).astype(np.float32)
+        words, past = self.words.take(rows, axis=0), seen[0].take(rows, axis=0)
+        self.move(words, g, past)
+        self.words[rows], seen[0][rows] = words, past
 
     @staticmethod
     def move(p: np.ndarray, g: np.ndarray, seen: np.ndarray) -> None:
-        seen += g * g
-        p -= RATE * g / np.sqrt(seen)
+        """p by its gradient g, which is used up."""
+        by = g * g
+        seen += by
+        g /= np.sqrt(seen, out=by)
+        g *= np.float32(RATE)
+        p -= g
 
 
 AROUND = np.array([i for i in range(-SIDE, SIDE + 1) if i])
@@ -311,7 +346,7 @@ class Texts:
 
     def contexts(self, at: np.ndarray | slice) -> np.ndarray:
         """Of some positions: the ids at -SIDE..-1 and 1..SIDE."""
-        return self.padded[self.place[at][:, None] + AROUND]
+        return self.padded.take(self.place[at][:, None] + AROUND)
 
 
 def masked(key: int, n: int, turn: int, rounds: int) -> np.ndarray:
@@ -325,10 +360,12 @@ def windows(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     padded = np.full(len(hashes) + SIDE * (len(sizes) + 1), MIX)
     at = np.arange(len(hashes)) + gap
     padded[at] = hashes
-    out = np.zeros(len(hashes), np.uint64)
-    for i in range(-SIDE, SIDE + 1):
-        out = mix64(out * MIX + padded[at + i])
-    return out
+    out = np.zeros(len(padded), np.uint64)
+    for begin in range(0, len(padded) - 2 * SIDE, CACHED * 32):
+        end = min(begin + CACHED * 32, len(padded) - 2 * SIDE)
+        for i in range(2 * SIDE + 1):
+            out[begin:end] = mix64(out[begin:end] * MIX + padded[begin + i : end + i])
+    return out.take(at - SIDE)
 
 
 # ---- plan --------------------------------------------------------------------------------------------------------
@@ -392,9 +429,9 @@ def opened(lex: Lexicon, block: pa.Table) -> tuple[Texts, np.ndarray, np.ndarray
     """A block's texts, and the window and the spelling (0: listed) at each of their positions."""
     texts = Texts(block["ids"].to_pylist(), lex.end)
     odd = np.frombuffer(b"".join(block["odd"].to_pylist()), np.uint64)
-    rare = texts.ids < SHAPES
-    hashes, spell = np.empty(len(rare), np.uint64), np.zeros(len(rare))
-    hashes[~rare], hashes[rare] = lex.hashes[texts.ids[~rare] - SHAPES] & KEEP, odd & KEEP
+    rare = np.flatnonzero(texts.ids < SHAPES)
+    hashes, spell = np.append(np.zeros(SHAPES, np.uint64), lex.hashes & KEEP).take(texts.ids), np.zeros(len(texts.ids))
+    hashes[rare] = odd & KEEP
     spell[rare] = (odd & ~KEEP).astype(np.uint16).view(np.float16)
     return texts, windows(hashes, texts.sizes), spell
 
@@ -410,7 +447,7 @@ def recurring(texts: DataFrame, shared, total: int) -> DataFrame:
             h, at = np.unique(found[now], return_inverse=True)
             n = np.bincount(at, weights=np.repeat(block["copies"].to_numpy(), texts.sizes)[now], minlength=len(h)).astype(np.int64)
             shard = h // np.uint64(TURNS) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
+            order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")  # numpy sorts 16 bits in linear time
             ends = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(ends))
             parts = lambda x: pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in some], pa.binary())
